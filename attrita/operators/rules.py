@@ -24,12 +24,13 @@ def rule_scores(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGR
     capped rule score when given, as on the prediction page."""
     score_h = R.score_hundredths(high_risk_geography)
     factors = R.factor_texts(high_risk_geography)
-    base = df.select("*", score_h.alias("_score_h"), factors.alias("risk_factors"))
-    prob = probability if probability is not None else R.capped_probability(F.col("_score_h"))
+    prob = probability if probability is not None else R.capped_probability(score_h)
+    base = df.select("*", score_h.alias("_score_h"), factors.alias("risk_factors"), prob.alias("_prob"))
+    keep = [c for c in base.columns if c not in ("churn_probability", "_prob", "rule_score")]
     return base.select(
-        "*",
+        *keep,
         (F.col("_score_h") / F.lit(100.0)).alias("rule_score"),
-        prob.alias("churn_probability"),
+        F.col("_prob").alias("churn_probability"),
     ).select(
         "*",
         R.risk_level(F.col("churn_probability")).alias("risk_level"),

@@ -1,3 +1,159 @@
-"""Named ML queries (no SQL twin): filled in by attrita.ml."""
+"""Named ML and streaming queries: (spark, sf_dir) -> DataFrame, no SQL twin.
 
-ML_QUERIES = {}
+Models here use fewer trees than the library defaults (20 instead of 100) so
+the driver's checks stay quick; ``attrita.ml.models`` keeps the full settings.
+Fitted models are memoised per session and folder, so queries that share a
+model (scores, importance, leaderboard) fit it once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attrita import config as C
+from attrita.ml import clustering as cl
+from attrita.ml import explain as xp
+from attrita.ml import models as md
+from attrita.operators import rules as ru
+from attrita.operators import segments as sg
+from attrita.operators.features import engineer_features
+from attrita.sources.profile import build_customer_profile
+
+QUERY_TREES = 20
+GEO = C.TEST_HIGH_RISK_REGION
+_MEMO: dict = {}
+
+
+def _memo(spark, sf_dir, what, make):
+    key = (id(spark), sf_dir, what)
+    if key not in _MEMO:
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def _profile(spark, sf_dir) -> DataFrame:
+    return build_customer_profile(spark, sf_dir)
+
+
+def _trained(spark, sf_dir, kind="gbt"):
+    params = {"gbt": dict(maxIter=QUERY_TREES), "rf": dict(numTrees=QUERY_TREES)}.get(kind, {})
+    return _memo(spark, sf_dir, ("model", kind),
+                 lambda: md.train_model(_profile(spark, sf_dir), kind, **params))
+
+
+def _segmentation(spark, sf_dir):
+    def make():
+        feats = engineer_features(_profile(spark, sf_dir))
+        return cl.segment_customers(feats), feats
+    return _memo(spark, sf_dir, "kmeans", make)
+
+
+def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2-M4 + R5-R7: model probability per customer with its risk level."""
+    trained, feats = _trained(spark, sf_dir)
+    scored = md.score(trained, feats)
+    out = ru.rule_scores(scored.select(*feats.columns, "churn_probability"), GEO,
+                         probability=F.col("churn_probability"))
+    return out.select("customer_id", "split", "churn_probability", "risk_level", "confidence",
+                      "n_factors", "expected_ltv_loss")
+
+
+def q_gbt_test_metrics(spark, sf_dir):
+    """M5/M6 on the held-out rows."""
+    trained, feats = _trained(spark, sf_dir)
+    m = md.evaluate(md.score(trained, feats.where(F.col("split") == "test")), "gbt")
+    return spark.createDataFrame([m])
+
+
+def q_model_leaderboard(spark, sf_dir):
+    """M7-M9, M11, M12."""
+    return md.leaderboard(_profile(spark, sf_dir),
+                          params={"gbt": dict(maxIter=QUERY_TREES), "rf": dict(numTrees=QUERY_TREES)})
+
+
+def q_feature_importance(spark, sf_dir):
+    """E1 + W3."""
+    trained, feats = _trained(spark, sf_dir)
+    return xp.tree_importance(trained, feats)
+
+
+def q_top_features(spark, sf_dir):
+    """O2: top-10 features by importance."""
+    trained, feats = _trained(spark, sf_dir)
+    return xp.top_features(xp.tree_importance(trained, feats), 10)
+
+
+def q_linear_contributions(spark, sf_dir):
+    """E2 + E3: mean |coef * z| per feature of the logistic model."""
+    trained, feats = _trained(spark, sf_dir, "lr")
+    return xp.mean_abs_contribution(xp.linear_contributions(trained, feats))
+
+
+def q_contribution_by_age_band(spark, sf_dir):
+    """Mean contribution of age per age band."""
+    trained, feats = _trained(spark, sf_dir, "lr")
+    return xp.contribution_by_band(xp.linear_contributions(trained, feats), feats, "age", xp.age_band())
+
+
+def q_kmeans_segments(spark, sf_dir):
+    """G1-G2 + A21/A22 + W1 + G5/G6: cluster profiles ranked by churn."""
+    seg, feats = _segmentation(spark, sf_dir)
+    return sg.segment_profile(seg.assign(feats), "cluster")
+
+
+def q_kmeans_strategy(spark, sf_dir):
+    """G7 + J1 on the K-means clusters."""
+    seg, feats = _segmentation(spark, sf_dir)
+    return sg.segment_strategy(seg.assign(feats), "cluster")
+
+
+def q_kmeans_impact(spark, sf_dir):
+    """G8/G9 on the K-means clusters."""
+    seg, feats = _segmentation(spark, sf_dir)
+    return sg.segment_budget(seg.assign(feats), "cluster")
+
+
+def q_pca_variance(spark, sf_dir):
+    """Explained variance of the two principal components."""
+    seg, _ = _segmentation(spark, sf_dir)
+    ev = seg.explained_variance
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ev)] +
+                                 [(0, float(sum(ev)))], "component int, explained_variance double")
+
+
+def q_stream_scores(spark, sf_dir):
+    """The same scoring as a Structured Streaming query (availableNow)."""
+    from attrita.streaming.scoring import replay_profile_scoring
+    trained, _ = _trained(spark, sf_dir)
+    return replay_profile_scoring(spark, _profile(spark, sf_dir), trained, GEO)
+
+
+def q_stream_weekly_activity(spark, sf_dir):
+    """T3 as a stream: weekly activity with a watermark."""
+    from attrita.streaming.monitor import replay_weekly_activity
+    return replay_weekly_activity(spark, sf_dir)
+
+
+def q_stream_inactivity_alerts(spark, sf_dir):
+    """T2 as a stateful stream (event-time timeouts)."""
+    from attrita.streaming.monitor import replay_inactivity_alerts
+    return replay_inactivity_alerts(spark, sf_dir, 1.0)
+
+
+ML_QUERIES = {
+    "stream_inactivity_alerts": q_stream_inactivity_alerts,
+    "gbt_scores": q_gbt_scores,
+    "gbt_test_metrics": q_gbt_test_metrics,
+    "model_leaderboard": q_model_leaderboard,
+    "feature_importance": q_feature_importance,
+    "top_features": q_top_features,
+    "linear_contributions": q_linear_contributions,
+    "contribution_by_age_band": q_contribution_by_age_band,
+    "kmeans_segments": q_kmeans_segments,
+    "kmeans_strategy": q_kmeans_strategy,
+    "kmeans_budget": q_kmeans_impact,
+    "pca_variance": q_pca_variance,
+    "stream_scores": q_stream_scores,
+    "stream_weekly_activity": q_stream_weekly_activity,
+}
