@@ -117,12 +117,35 @@ def split_features(profile: DataFrame, test_fraction: float = C.TEST_FRACTION):
     return feats, median
 
 
+ROWS_PER_TRAINING_PARTITION = 200_000
+
+
+def sized_for_training(df: DataFrame) -> DataFrame:
+    """Persist the training rows in as many partitions as their size needs.
+
+    Iterative fits run one job per iteration (per tree level for trees); a
+    partition count tied to the data - ~200k rows each, at most the cluster's
+    parallelism - avoids paying thousands of near-empty tasks on small inputs
+    and uses every core on large ones.  The count also materialises the cache.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(par, -(-n // ROWS_PER_TRAINING_PARTITION)))
+    if parts >= cached.rdd.getNumPartitions():
+        return cached
+    sized = cached.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    sized.count()
+    cached.unpersist()
+    return sized
+
+
 def train_model(profile: DataFrame, kind: str = "gbt", test_fraction: float = C.TEST_FRACTION,
                 feats: DataFrame | None = None, median: float | None = None, **params) -> tuple[TrainedModel, DataFrame]:
     """M3: fit on the training split; returns the model and the split feature table."""
     if feats is None:
         feats, median = split_features(profile, test_fraction)
-    train = feats.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    train = sized_for_training(feats.where(F.col("split") == "train"))
     try:
         t = time.time()
         model = build_pipeline(kind, **params).fit(train)
