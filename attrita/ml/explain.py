@@ -18,6 +18,7 @@ from attrita.ml.models import LABEL, TrainedModel, feature_inputs, score
 from attrita.operators.evaluation import roc_auc
 from attrita.operators.prefix import ordered_cumulative
 from attrita.operators.split import split_hash
+from attrita.sources.sinks import materialize
 
 
 def expanded_feature_names(trained: TrainedModel, feats: DataFrame) -> list[str]:
@@ -72,7 +73,8 @@ def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: lis
     h = feats.withColumn("_h", F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))).withColumn("_one", F.lit(1))
     ranked, stats = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
     n = stats[0]["total__one"]
-    pos = ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one")
+    pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one"),
+                      "permutation-positions")
     shift = max(1, n // 2)
     rows = []
     for c in columns:

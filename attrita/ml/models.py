@@ -210,7 +210,10 @@ def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"
     spark = profile.sparkSession
     board = spark.createDataFrame(rows, "model string, roc_auc double, f1 double, accuracy double, "
                                         "precision double, recall double, fit_seconds double")
-    return board.orderBy(F.desc_nulls_last("roc_auc"), "model")
+    # relative AUC improvement over the first (baseline) model.
+    base = rows[0][1] if rows and rows[0][1] else None
+    lift = F.lit(None).cast("double") if base is None else F.round((F.col("roc_auc") - base) / F.lit(base), 6)
+    return board.withColumn("auc_lift_vs_baseline", lift).orderBy(F.desc_nulls_last("roc_auc"), "model")
 
 
 def tune_gbt(profile: DataFrame, max_depth=(3, 5), step_size=(0.05, 0.1), max_iter=(50, 100),

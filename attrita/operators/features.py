@@ -68,3 +68,14 @@ def align_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Select ``columns`` in order; a column the frame lacks becomes 0."""
     have = set(df.columns)
     return df.select(*[F.col(c) if c in have else F.lit(0).alias(c) for c in columns])
+
+
+def one_hot_drop_first(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
+    """P14 in SQL form: one 0/1 column per level but the alphabetically first.
+
+    ``levels`` are the training levels (a parameter, so scoring one row cannot
+    lose its dummies); the model pipeline uses StringIndexer + OneHotEncoder
+    with the same drop-first rule.
+    """
+    kept = sorted(levels)[1:]
+    return df.select("*", *[(F.col(col) == lvl).cast("int").alias(f"{col}_{lvl}") for lvl in kept])

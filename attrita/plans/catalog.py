@@ -27,6 +27,8 @@ from attrita.sources.profile import build_customer_profile
 from attrita.streaming import activity as act
 
 GEO = C.TEST_HIGH_RISK_REGION
+# The five TPC-H regions: the training levels of the geography column.
+GEOGRAPHY_LEVELS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 INACTIVITY_DAYS = 1.0
 
 
@@ -67,6 +69,20 @@ def q_class_counts(spark, sf_dir):
     return ex.class_counts(_profile(spark, sf_dir))
 
 
+def q_one_hot_features(spark, sf_dir):
+    """P14 (SQL form) + P13: the model's input columns with drop-first dummies."""
+    from attrita.operators.features import one_hot_drop_first
+    prof = _profile(spark, sf_dir)
+    out = one_hot_drop_first(one_hot_drop_first(prof, "gender", ["Female", "Male"]),
+                             "geography", GEOGRAPHY_LEVELS)
+    return out.drop("gender", "geography", "segment", "exited")
+
+
+def q_churned_only(spark, sf_dir):
+    """Churned customers' numeric columns (filter by class)."""
+    return _profile(spark, sf_dir).where(F.col("exited") == 1).select("customer_id", *C.NUMERIC_COLUMNS)
+
+
 def q_churn_by_geography(spark, sf_dir):
     return ex.churn_rate_by(_profile(spark, sf_dir), "geography")
 
@@ -205,6 +221,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_features": q_customer_features,
     "median_balance": q_median_balance,
     "kpis": q_kpis,
+    "one_hot_features": q_one_hot_features,
+    "churned_only": q_churned_only,
     "describe_numeric": q_describe_numeric,
     "describe_by_class": q_describe_by_class,
     "class_counts": q_class_counts,

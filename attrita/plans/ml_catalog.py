@@ -122,6 +122,27 @@ def q_pca_variance(spark, sf_dir):
                                  [(0, float(sum(ev)))], "component int, explained_variance double")
 
 
+def q_kmeans_quality(spark, sf_dir):
+    """Within-cluster cost of the best restart, silhouette, PCA variance."""
+    seg, feats = _segmentation(spark, sf_dir)
+    ev = seg.explained_variance
+    return spark.createDataFrame(
+        [(seg.seed, seg.training_cost, cl.silhouette(seg, feats), float(ev[0]), float(ev[1]))],
+        "best_seed int, training_cost double, silhouette double, pc1_variance double, pc2_variance double")
+
+
+def q_pca_projection(spark, sf_dir):
+    """2-D coordinates per customer with its cluster."""
+    seg, feats = _segmentation(spark, sf_dir)
+    return cl.pca_projection(seg, feats)
+
+
+def q_permutation_importance(spark, sf_dir):
+    """Exact AUC drop per permuted input column (one shuffle join each)."""
+    trained, feats = _trained(spark, sf_dir)
+    return xp.permutation_importance(trained, feats.where(F.col("split") == "test"))
+
+
 def q_stream_scores(spark, sf_dir):
     """The same scoring as a Structured Streaming query (availableNow)."""
     from attrita.streaming.scoring import replay_profile_scoring
@@ -154,6 +175,9 @@ ML_QUERIES = {
     "kmeans_strategy": q_kmeans_strategy,
     "kmeans_budget": q_kmeans_impact,
     "pca_variance": q_pca_variance,
+    "kmeans_quality": q_kmeans_quality,
+    "pca_projection": q_pca_projection,
+    "permutation_importance": q_permutation_importance,
     "stream_scores": q_stream_scores,
     "stream_weekly_activity": q_stream_weekly_activity,
 }

@@ -413,6 +413,17 @@ def oracle_sql() -> dict[str, str]:
         "customer_profile": _with(PROFILE, "\nSELECT * FROM profile"),
         "customer_features": _with(FEATURES, "\nSELECT * FROM features"),
         "median_balance": _with(PROFILE, "\nSELECT round(median(balance), 6) AS median_balance FROM profile"),
+        "one_hot_features": _with(PROFILE, """
+SELECT customer_id, credit_score, age, tenure, balance, num_products, has_cr_card, is_active_member,
+       estimated_salary,
+       CAST(gender = 'Male' AS INTEGER) AS gender_Male,
+       CAST(geography = 'AMERICA' AS INTEGER) AS geography_AMERICA,
+       CAST(geography = 'ASIA' AS INTEGER) AS geography_ASIA,
+       CAST(geography = 'EUROPE' AS INTEGER) AS geography_EUROPE,
+       CAST(geography = 'MIDDLE EAST' AS INTEGER) AS "geography_MIDDLE EAST"
+FROM profile"""),
+        "churned_only": _with(PROFILE, f"""
+SELECT customer_id, {', '.join(NUM)} FROM profile WHERE exited = 1"""),
         "kpis": _with(PROFILE, f"""
 SELECT count(*) AS total_customers, round({_pct('sum(exited)', 'count(*)')}, 6) AS churn_rate_pct,
        CAST(sum(exited) AS BIGINT) AS churned, CAST(count(*) - sum(exited) AS BIGINT) AS retained,

@@ -1,6 +1,7 @@
 """Exact distributed statistics checked against brute force on small fixtures."""
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -36,10 +37,11 @@ def test_median_even_count_and_single_value(spark):
     assert exact_median(spark.createDataFrame([(5.0,)] * 7, "b double"), "b") == 5.0
 
 
-def test_prefix_sums_equal_sorted_cumsum(spark):
+@pytest.mark.parametrize("n_buckets", [2, 16, 1000])
+def test_prefix_sums_equal_sorted_cumsum(spark, n_buckets):
     pdf, df = _data(spark)
     vc = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
-    out, stats = ordered_cumulative(vc, ["g"], "x", ["n"], n_buckets=16)
+    out, stats = ordered_cumulative(vc, ["g"], "x", ["n"], n_buckets=n_buckets)
     got = out.toPandas().sort_values(["g", "x"])
     ref = pdf.groupby(["g", "x"]).size().rename("n").reset_index().sort_values(["g", "x"])
     ref["cum"] = ref.groupby("g")["n"].cumsum()
