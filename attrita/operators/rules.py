@@ -2,12 +2,13 @@
 
 Scoring is a single projection per customer (no shuffle); the only joins are
 to the three-row plan table, which is broadcast.  The factor explode and the
-waterfall window are partitioned by customer, at most nine rows each.
+waterfall work inside each customer's row (at most nine factors), so they
+need no shuffle either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrita import config as C
@@ -56,15 +57,25 @@ def factor_weights(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GE
 
 def waterfall(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY) -> DataFrame:
     """E5 + W4: factor contributions in ascending order with the running total;
-    the last step's total is the rule score."""
-    fw = df.select("customer_id", F.inline(R.weight_entries(high_risk_geography)))
-    w = Window.partitionBy("customer_id").orderBy("weight_hundredths", "factor")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return fw.select("customer_id",
-                     F.row_number().over(w).alias("step"),
-                     "factor",
-                     (F.col("weight_hundredths") / F.lit(100.0)).alias("contribution"),
-                     (F.sum("weight_hundredths").over(run) / F.lit(100.0)).alias("running_total"))
+    the last step's total is the rule score.
+
+    The running total is computed inside each customer's row (sort the at
+    most nine factors, sum each prefix), so no window and no shuffle.
+    """
+    entries = F.array_sort(
+        R.weight_entries(high_risk_geography),
+        lambda a, b: F.when(a["weight_hundredths"] < b["weight_hundredths"], -1)
+                      .when(a["weight_hundredths"] > b["weight_hundredths"], 1)
+                      .when(a["factor"] < b["factor"], -1)
+                      .when(a["factor"] > b["factor"], 1).otherwise(0))
+    steps = F.transform(entries, lambda e, i: F.struct(
+        (i + 1).alias("step"), e["factor"].alias("factor"), e["weight_hundredths"].alias("w"),
+        F.aggregate(F.slice(entries, 1, i + 1), F.lit(0), lambda acc, x: acc + x["weight_hundredths"])
+         .alias("run")))
+    return (df.select("customer_id", F.inline(steps))
+            .select("customer_id", F.col("step").cast("int").alias("step"), "factor",
+                    (F.col("w") / F.lit(100.0)).alias("contribution"),
+                    (F.col("run") / F.lit(100.0)).alias("running_total")))
 
 
 def plan_dimension(spark) -> DataFrame:
