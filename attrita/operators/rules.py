@@ -87,19 +87,28 @@ def plan_dimension(spark) -> DataFrame:
                                        "expected_outcome string, investment string, roi_x double")
 
 
-def retention_actions(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,
-                      probability: Column | None = None) -> DataFrame:
-    """R8-R10 + J4: per customer, its level's plan and the targeted actions."""
+def scores_with_actions(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,
+                        probability: Column | None = None) -> DataFrame:
+    """R1-R10 in one pass: score, level, factors, the level's plan and the
+    targeted actions, all from the same probability (model or rule)."""
     s = rule_scores(df, high_risk_geography, probability)
     acts = R.actions(F.col("risk_level"), high_risk_geography)
-    plans = F.broadcast(plan_dimension(df.sparkSession))
-    return (s.select("customer_id", "risk_level", acts.alias("actions"))
+    plans = F.broadcast(plan_dimension(df.sparkSession))      # three rows
+    return (s.select("*", acts.alias("actions"))
             .join(plans, "risk_level", "left")
-            .select("customer_id", "risk_level", "plan", "timeframe", "roi_x",
-                    F.size("actions").alias("n_actions"),
+            .select("customer_id", "churn_probability", "rule_score", "risk_level", "confidence", "n_factors",
+                    "expected_ltv_loss", F.array_join("risk_factors", " | ").alias("factor_text"),
+                    "plan", "timeframe", "roi_x", F.size("actions").alias("n_actions"),
                     F.array_join("actions", " | ").alias("action_text")))
 
 
+def retention_actions(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,
+                      probability: Column | None = None) -> DataFrame:
+    """R8-R10 + J4: per customer, its level's plan and the targeted actions."""
+    return scores_with_actions(df, high_risk_geography, probability).select(
+        "customer_id", "risk_level", "plan", "timeframe", "roi_x", "n_actions", "action_text")
+
+
 def risk_portfolio(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,
                    probability: Column | None = None) -> DataFrame:
     """Customers, mean probability and expected LTV loss per risk level."""
