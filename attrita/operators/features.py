@@ -7,6 +7,8 @@ instead of recomputing it on whatever rows are being scored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,4 +80,9 @@ def one_hot_drop_first(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
     with the same drop-first rule.
     """
     kept = sorted(levels)[1:]
-    return df.select("*", *[(F.col(col) == lvl).cast("int").alias(f"{col}_{lvl}") for lvl in kept])
+    return df.select("*", *[(F.col(col) == lvl).cast("int").alias(dummy_name(col, lvl)) for lvl in kept])
+
+
+def dummy_name(col: str, level: str) -> str:
+    """Column name of a dummy: non-identifier characters become underscores."""
+    return f"{col}_" + re.sub(r"\W+", "_", level)

@@ -420,7 +420,7 @@ SELECT customer_id, credit_score, age, tenure, balance, num_products, has_cr_car
        CAST(geography = 'AMERICA' AS INTEGER) AS geography_AMERICA,
        CAST(geography = 'ASIA' AS INTEGER) AS geography_ASIA,
        CAST(geography = 'EUROPE' AS INTEGER) AS geography_EUROPE,
-       CAST(geography = 'MIDDLE EAST' AS INTEGER) AS "geography_MIDDLE EAST"
+       CAST(geography = 'MIDDLE EAST' AS INTEGER) AS geography_MIDDLE_EAST
 FROM profile"""),
         "churned_only": _with(PROFILE, f"""
 SELECT customer_id, {', '.join(NUM)} FROM profile WHERE exited = 1"""),
