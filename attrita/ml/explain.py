@@ -122,6 +122,25 @@ def contribution_by_band(contribs: DataFrame, feats: DataFrame, feature: str, ba
             .agg(rnd(F.avg("contribution")).alias("mean_contribution"), F.count(F.lit(1)).alias("customers")))
 
 
+def contributions_by_bands(contribs: DataFrame, feats: DataFrame) -> DataFrame:
+    """E4 for the four banded views at once: age bands, products 1..4, active
+    0/1, balance bands.  One explode and one grouped aggregate (with partial
+    aggregation), joined to the customer's bands on the unique key."""
+    bands = feats.select("customer_id",
+                         F.array(F.struct(F.lit("age").alias("feature"), age_band().alias("band")),
+                                 F.struct(F.lit("num_products").alias("feature"),
+                                          F.col("num_products").cast("string").alias("band")),
+                                 F.struct(F.lit("is_active_member").alias("feature"),
+                                          F.col("is_active_member").cast("string").alias("band")),
+                                 F.struct(F.lit("balance").alias("feature"), balance_band().alias("band")))
+                         .alias("bands"))
+    ex = (contribs.select("customer_id", F.inline("contributions"))
+          .where(F.col("feature").isin("age", "num_products", "is_active_member", "balance")))
+    per = bands.select("customer_id", F.inline("bands"))
+    return (ex.join(per, ["customer_id", "feature"]).groupBy("feature", "band")
+            .agg(rnd(F.avg("contribution")).alias("mean_contribution"), F.count(F.lit(1)).alias("customers")))
+
+
 def age_band() -> F.Column:
     a = F.col("age")
     return (F.when(a < 30, "<30").when(a < 45, "30-45").when(a < 60, "45-60").otherwise(">60"))

@@ -117,14 +117,14 @@ def split_features(profile: DataFrame, test_fraction: float = C.TEST_FRACTION):
     return feats, median
 
 
-ROWS_PER_TRAINING_PARTITION = 200_000
+ROWS_PER_TRAINING_PARTITION = 10_000
 
 
 def sized_for_training(df: DataFrame) -> DataFrame:
     """Persist the training rows in as many partitions as their size needs.
 
     Iterative fits run one job per iteration (per tree level for trees); a
-    partition count tied to the data - ~200k rows each, at most the cluster's
+    partition count tied to the data - ~10k rows each, at most the cluster's
     parallelism - avoids paying thousands of near-empty tasks on small inputs
     and uses every core on large ones.  The count also materialises the cache.
     """

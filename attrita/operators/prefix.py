@@ -15,7 +15,6 @@ few group keys - which would put each group in one task - is ever planned.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -31,25 +30,48 @@ def default_buckets(spark) -> int:
     return int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * par)))
 
 
-def _lits(values: list[float]) -> Column:
-    return F.array(*[F.lit(x) for x in values]) if values else F.array().cast("array<double>")
+def sql_lit(v) -> str:
+    """A SQL literal for a Python value (doubles round-trip exactly via repr)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "CAST('NaN' AS DOUBLE)"
+        if math.isinf(v):
+            return f"CAST('{'-' if v < 0 else ''}Infinity' AS DOUBLE)"
+        return f"{v!r}D"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values: list[float]) -> str:
+    return "array(" + ", ".join(sql_lit(float(x)) for x in values) + ")" if values \
+        else "CAST(array() AS ARRAY<DOUBLE>)"
+
+
+def _ident(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
 
 
 def group_lookup(group_cols: list[str], rows: list[Row], value) -> Column:
-    """CASE over the collected group rows: the literal ``value(row)`` of this row's group."""
+    """CASE over the collected group rows; ``value(row)`` is a SQL expression.
+
+    Built as one SQL string, so a lookup over many groups and long literal
+    arrays costs one call into the JVM rather than one per literal.
+    """
+    if not rows:
+        return F.expr("NULL")
     if not group_cols:
-        return value(rows[0]) if rows else F.lit(None)
-    branches = []
+        return F.expr(value(rows[0]))
+    parts = []
     for r in rows:
-        cond = reduce(lambda a, b: a & b,
-                      [(F.col(c).isNull() if r[c] is None else (F.col(c) == F.lit(r[c]))) for c in group_cols])
-        branches.append((cond, value(r)))
-    if not branches:
-        return F.lit(None)
-    expr = F.when(branches[0][0], branches[0][1])
-    for cond, val in branches[1:]:
-        expr = expr.when(cond, val)
-    return expr
+        cond = " AND ".join(f"{_ident(c)} IS NULL" if r[c] is None else f"{_ident(c)} = {sql_lit(r[c])}"
+                            for c in group_cols)
+        parts.append(f"WHEN {cond} THEN {value(r)}")
+    return F.expr("CASE " + " ".join(parts) + " END")
 
 
 def group_stats(df: DataFrame, group_cols: list[str], order_col: str, weight_cols: list[str],
@@ -81,26 +103,26 @@ def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
     g = list(group_cols)
     if stats is None:
         stats = group_stats(df, g, order_col, weight_cols, n_buckets)
-    v = F.col(order_col).cast("double")
+    v = f"CAST({_ident(order_col)} AS DOUBLE)"
     k = max((len(r["_bounds"] or []) for r in stats), default=0)
     fan = max(1, math.isqrt(k + 1))
 
     # Two-level search: the coarse boundaries (every fan-th) pick a slice, the
     # slice's own boundaries finish the count - about 2 sqrt(B) comparisons
     # per row instead of B, and the result equals #{boundaries < v}.
-    def coarse_of(r: Row) -> Column:
+    def coarse_of(r: Row) -> str:
         bounds = [float(b) for b in (r["_bounds"] or [])]
         coarse = bounds[fan - 1::fan]
-        return F.size(F.filter(_lits(coarse), lambda b: b < v)) if coarse else F.lit(0)
+        return f"size(filter({sql_array(coarse)}, b -> b < {v}))" if coarse else "0"
 
-    def bucket_of(r: Row) -> Column:
+    def bucket_of(r: Row) -> str:
         bounds = [float(b) for b in (r["_bounds"] or [])]
         if not bounds:
-            return F.lit(0)
+            return "0"
         n_coarse = len(bounds[fan - 1::fan])
-        slices = F.array(*[_lits(bounds[c * fan: c * fan + fan - 1]) for c in range(n_coarse + 1)])
-        fine = F.element_at(slices, F.col("_coarse") + 1)
-        return F.col("_coarse") * F.lit(fan) + F.size(F.filter(fine, lambda b: b < v))
+        slices = "array(" + ", ".join(sql_array(bounds[c * fan: c * fan + fan - 1])
+                                      for c in range(n_coarse + 1)) + ")"
+        return f"_coarse * {fan} + size(filter(element_at({slices}, _coarse + 1), b -> b < {v}))"
 
     bucketed = (df.withColumn("_coarse", group_lookup(g, stats, coarse_of))
                 .withColumn("_bucket", group_lookup(g, stats, bucket_of))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.operators.prefix import group_lookup, ordered_cumulative
+from attrita.operators.prefix import group_lookup, ordered_cumulative, sql_lit
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -38,11 +38,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     for p in probs:
         def rank_at(r, which, p=p):
             pos = (r["total_n"] - 1) * p
-            return F.lit(int(math.floor(pos)) if which == "lo" else int(math.ceil(pos)))
+            return sql_lit(int(math.floor(pos)) if which == "lo" else int(math.ceil(pos)))
 
         def frac_at(r, p=p):
             pos = (r["total_n"] - 1) * p
-            return F.lit(float(pos - math.floor(pos)))
+            return sql_lit(float(pos - math.floor(pos)))
 
         lo = group_lookup(keys, stats, lambda r: rank_at(r, "lo"))
         hi = group_lookup(keys, stats, lambda r: rank_at(r, "hi"))

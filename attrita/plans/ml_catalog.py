@@ -96,6 +96,12 @@ def q_contribution_by_age_band(spark, sf_dir):
     return xp.contribution_by_band(xp.linear_contributions(trained, feats), feats, "age", xp.age_band())
 
 
+def q_contribution_by_bands(spark, sf_dir):
+    """Mean contribution per band of age, products, activity and balance."""
+    trained, feats = _trained(spark, sf_dir, "lr")
+    return xp.contributions_by_bands(xp.linear_contributions(trained, feats), feats)
+
+
 def q_kmeans_segments(spark, sf_dir):
     """G1-G2 + A21/A22 + W1 + G5/G6: cluster profiles ranked by churn."""
     seg, feats = _segmentation(spark, sf_dir)
@@ -171,6 +177,7 @@ ML_QUERIES = {
     "top_features": q_top_features,
     "linear_contributions": q_linear_contributions,
     "contribution_by_age_band": q_contribution_by_age_band,
+    "contribution_by_bands": q_contribution_by_bands,
     "kmeans_segments": q_kmeans_segments,
     "kmeans_strategy": q_kmeans_strategy,
     "kmeans_budget": q_kmeans_impact,
