@@ -17,6 +17,12 @@ from attrita import config as C
 from attrita.operators.broadcast import bounded_broadcast
 from attrita.sources.tables import load_table
 
+def wall_clock(t: dt.datetime) -> F.Column:
+    """A TIMESTAMP_NTZ literal: compared with the NTZ order dates it needs no
+    time zone, so results do not depend on the session's zone."""
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 # Region dimension: nation joined to region.  TPC-H fixes it at 25 rows; the
 # check allows some headroom before falling back to a shuffle join.
 GEO_MAX_ROWS = 10_000
@@ -30,7 +36,7 @@ def order_history(orders: DataFrame, cutoff: dt.datetime, active_since: dt.datet
     customer holding a large share of all orders still reaches the reducer as
     one partial row per map task.
     """
-    before = F.col("o_orderdate") < F.lit(cutoff)
+    before = F.col("o_orderdate") < wall_clock(cutoff)
     return (orders
             .groupBy(F.col("o_custkey").alias("customer_id"))
             .agg(F.count(F.when(before, 1)).alias("n_before"),
@@ -75,7 +81,7 @@ def build_customer_profile(spark: SparkSession, sf_dir: str,
                 (F.greatest(F.col("c_acctbal"), F.lit(0.0)) * F.lit(balance_scale)).alias("balance"),
                 (1 + F.col("n_before") % 4).cast("int").alias("num_products"),
                 F.col("urgent_before").cast("int").alias("has_cr_card"),
-                (F.col("last_before") >= F.lit(active_since)).cast("int").alias("is_active_member"),
+                (F.col("last_before") >= wall_clock(active_since)).cast("int").alias("is_active_member"),
                 F.col("max_price_before").alias("estimated_salary"),
                 (F.col("n_after") == 0).cast("int").alias("exited"),
             ))

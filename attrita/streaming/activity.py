@@ -24,19 +24,20 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, sf_dir, "events", EVENT_COLUMNS)
 
 
-def _micros(c) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
-
-
 def inactivity_alerts(events: DataFrame, threshold_days: float,
                       as_of: dt.datetime | None = None) -> DataFrame:
     """T2 (batch): per user, days since the last event as of ``as_of``
-    (default: the newest event) and whether it reaches ``threshold_days``."""
+    (default: the newest event) and whether it reaches ``threshold_days``.
+
+    The reference time is a literal of the column's own type, and the gap is
+    a timestamp difference, so no session time zone enters the result."""
+    ts_type = events.schema["ts"].dataType
     if as_of is None:
         as_of = events.agg(F.max("ts").alias("m")).first()["m"]
+    ref = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(ts_type)
     last = events.groupBy("user_id").agg(F.max("ts").alias("last_event"),
                                          F.count(F.lit(1)).alias("events"))
-    days = (_micros(F.lit(as_of)) - _micros("last_event")) / F.lit(float(MICROS_PER_DAY))
+    days = F.timestamp_diff("MICROSECOND", F.col("last_event"), ref) / F.lit(float(MICROS_PER_DAY))
     return last.select("user_id", "last_event", "events", rnd(days).alias("days_inactive"),
                        (days >= F.lit(float(threshold_days))).cast("int").alias("alert"))
 
