@@ -20,7 +20,10 @@ LEHMER_M = 2147483647
 
 
 def split_hash(key: str) -> Column:
-    h1 = F.pmod(F.col(key) * F.lit(LEHMER_A), F.lit(LEHMER_M))
+    """Two Lehmer steps; the key is reduced mod M first, so no product can
+    overflow a long (ANSI mode raises on overflow)."""
+    h0 = F.pmod(F.col(key), F.lit(LEHMER_M))
+    h1 = F.pmod(h0 * F.lit(LEHMER_A), F.lit(LEHMER_M))
     return F.pmod(h1 * F.lit(LEHMER_A), F.lit(LEHMER_M))
 
 

@@ -366,7 +366,7 @@ def _split_cte() -> str:
     pct = int(round(C.TEST_FRACTION * 100))
     return PROFILE + f""",
 hashed AS (SELECT customer_id, exited,
-                  (((customer_id * 48271) % 2147483647) * 48271) % 2147483647 AS h FROM profile),
+                  (((customer_id % 2147483647) * 48271 % 2147483647) * 48271) % 2147483647 AS h FROM profile),
 split AS (SELECT customer_id, exited,
                  CASE WHEN row_number() OVER (PARTITION BY exited ORDER BY h, customer_id)
                            <= (count(*) OVER (PARTITION BY exited) * {pct} + 99) // 100
