@@ -33,32 +33,43 @@ def complain_risk_score() -> F.Column:
             + zero.cast("double") * C.COMPLAIN_WEIGHT_ZERO_BALANCE)
 
 
-def feature_columns(median_balance: float) -> list[F.Column]:
+MEDIAN_COLUMNS = {"is_high_value", "active_high_balance"}
+
+
+def feature_columns(median_balance: float | None) -> list[tuple[str, F.Column]]:
+    """(name, expression) of the engineered columns, in order; without a
+    median the two median-based ones are left out."""
     bal, sal, ten, age = F.col("balance"), F.col("estimated_salary"), F.col("tenure"), F.col("age")
-    high_value = (bal > F.lit(float(median_balance))).cast("int")
-    return [
-        F.try_divide(bal, sal + 1).alias("balance_to_salary_ratio"),
-        F.try_divide(ten.cast("double"), (age + 1).cast("double")).alias("tenure_by_age"),
-        F.try_divide(F.col("num_products").cast("double"), (ten + 1).cast("double")).alias("products_per_year"),
-        high_value.alias("is_high_value"),
-        (bal == 0).cast("int").alias("has_zero_balance"),
-        right_closed_bin(age, C.AGE_EDGES).alias("age_group"),
-        right_closed_bin(F.col("credit_score"), C.CREDIT_EDGES).alias("credit_score_category"),
-        right_closed_bin(ten, C.TENURE_EDGES).alias("tenure_category"),
-        ((F.col("is_active_member") == 1) & (high_value == 1)).cast("int").alias("active_high_balance"),
-        complain_risk_score().alias("complain_risk_score"),
+    high_value = None if median_balance is None else (bal > F.lit(float(median_balance))).cast("int")
+    cols = [
+        ("balance_to_salary_ratio", F.try_divide(bal, sal + 1)),
+        ("tenure_by_age", F.try_divide(ten.cast("double"), (age + 1).cast("double"))),
+        ("products_per_year", F.try_divide(F.col("num_products").cast("double"), (ten + 1).cast("double"))),
+        ("is_high_value", high_value),
+        ("has_zero_balance", (bal == 0).cast("int")),
+        ("age_group", right_closed_bin(age, C.AGE_EDGES)),
+        ("credit_score_category", right_closed_bin(F.col("credit_score"), C.CREDIT_EDGES)),
+        ("tenure_category", right_closed_bin(ten, C.TENURE_EDGES)),
+        ("active_high_balance", None if high_value is None
+         else ((F.col("is_active_member") == 1) & (high_value == 1)).cast("int")),
+        ("complain_risk_score", complain_risk_score()),
     ]
+    return [(n, c) for n, c in cols if c is not None]
 
 
-def engineer_features(df: DataFrame, median_balance: float | None = None) -> DataFrame:
-    """Add the ten engineered columns to a canonical customer table.
+def engineer_features(df: DataFrame, median_balance: float | None = None,
+                      columns: list[str] | None = None) -> DataFrame:
+    """Add the engineered columns (all, or just ``columns``) to a canonical
+    customer table.
 
     Without ``median_balance`` the exact median of ``balance`` over ``df`` is
-    computed first (a distributed job, see ``exact_median``).
+    computed first (a distributed job, see ``exact_median``) - unless the
+    requested columns do not depend on it.
     """
-    if median_balance is None:
+    wanted = set(columns) if columns is not None else set(ENGINEERED_COLUMNS)
+    if median_balance is None and wanted & MEDIAN_COLUMNS:
         median_balance = exact_median(df, "balance")
-    return df.select("*", *feature_columns(median_balance))
+    return df.select("*", *[c.alias(n) for n, c in feature_columns(median_balance) if n in wanted])
 
 
 def yes_no_flag(col: str) -> F.Column:

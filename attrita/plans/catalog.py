@@ -8,6 +8,7 @@ express.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from attrita.operators import segments as sg
 from attrita.operators.features import engineer_features
 from attrita.operators.quantile import exact_quantiles
 from attrita.operators.split import stratified_split
+from attrita.session import scratch_path
 from attrita.sources.profile import build_customer_profile
 from attrita.streaming import activity as act
 
@@ -32,12 +34,30 @@ GEOGRAPHY_LEVELS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 INACTIVITY_DAYS = 1.0
 
 
+_MATERIALIZED: dict[str, str] = {}
+
+
+def use_materialized_profile(spark: SparkSession, sf_dir: str) -> str:
+    """Build the profile of ``sf_dir`` once and write it under the shared
+    checkpoint folder; later queries on ``sf_dir`` read that table (S3), as a
+    deployment would refresh the profile once per day and query it many times."""
+    path = scratch_path(spark, f"profile-{uuid.uuid4().hex[:12]}")
+    build_customer_profile(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _MATERIALIZED[sf_dir] = path
+    return path
+
+
+def drop_materialized_profile(sf_dir: str) -> None:
+    _MATERIALIZED.pop(sf_dir, None)
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_customer_profile(spark, sf_dir)
+    path = _MATERIALIZED.get(sf_dir)
+    return spark.read.parquet(path) if path else build_customer_profile(spark, sf_dir)
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engineer_features(_profile(spark, sf_dir))
+def _features(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    return engineer_features(_profile(spark, sf_dir), columns=columns)
 
 
 def q_customer_profile(spark, sf_dir):
@@ -100,19 +120,22 @@ def q_churn_by_activity(spark, sf_dir):
 
 
 def q_churn_by_age_group(spark, sf_dir):
-    return ex.churn_rate_by_code(_features(spark, sf_dir), "age_group", C.AGE_LABELS)
+    return ex.churn_rate_by_code(_features(spark, sf_dir, ["age_group"]), "age_group", C.AGE_LABELS)
 
 
 def q_churn_by_credit_category(spark, sf_dir):
-    return ex.churn_rate_by_code(_features(spark, sf_dir), "credit_score_category", C.CREDIT_LABELS)
+    return ex.churn_rate_by_code(_features(spark, sf_dir, ["credit_score_category"]), "credit_score_category",
+                                 C.CREDIT_LABELS)
 
 
 def q_churn_by_tenure_category(spark, sf_dir):
-    return ex.churn_rate_by_code(_features(spark, sf_dir), "tenure_category", C.TENURE_LABELS)
+    return ex.churn_rate_by_code(_features(spark, sf_dir, ["tenure_category"]), "tenure_category",
+                                 C.TENURE_LABELS)
 
 
 def q_churn_by_risk_level(spark, sf_dir):
-    return ex.churn_rate_by_equal_width(_features(spark, sf_dir), "complain_risk_score", C.RISK_SCORE_LEVELS)
+    return ex.churn_rate_by_equal_width(_features(spark, sf_dir, ["complain_risk_score"]), "complain_risk_score",
+                                        C.RISK_SCORE_LEVELS)
 
 
 def q_feature_histogram(spark, sf_dir):
@@ -124,7 +147,8 @@ def q_feature_histogram_by_class(spark, sf_dir):
 
 
 def q_risk_score_histogram(spark, sf_dir):
-    return ex.histogram(_features(spark, sf_dir), ["complain_risk_score"], C.RISK_HISTOGRAM_BINS, by_class=True)
+    return ex.histogram(_features(spark, sf_dir, ["complain_risk_score"]), ["complain_risk_score"],
+                        C.RISK_HISTOGRAM_BINS, by_class=True)
 
 
 def q_correlation_matrix(spark, sf_dir):

@@ -18,7 +18,6 @@ from attrita.ml import models as md
 from attrita.operators import rules as ru
 from attrita.operators import segments as sg
 from attrita.operators.features import engineer_features
-from attrita.sources.profile import build_customer_profile
 
 QUERY_TREES = 20
 GEO = C.TEST_HIGH_RISK_REGION
@@ -33,7 +32,8 @@ def _memo(spark, sf_dir, what, make):
 
 
 def _profile(spark, sf_dir) -> DataFrame:
-    return build_customer_profile(spark, sf_dir)
+    from attrita.plans.catalog import _profile as shared_profile
+    return shared_profile(spark, sf_dir)
 
 
 def _trained(spark, sf_dir, kind="gbt"):

@@ -62,3 +62,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written table."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def sized_conf(input_bytes: int, total_cores: int, executor_memory_gb: float = 16.0,
+               cores_per_executor: int = 4) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores``.
+
+    Scan splits of 256 MB; shuffle partitions so that each holds ~200 MB of
+    post-shuffle data (at least two waves of tasks), capped so a task's share
+    of executor memory is never exceeded; AQE then coalesces small partitions
+    and splits skewed ones (a hot key holding a third of the rows is cut into
+    advisory-size pieces for joins; aggregates pre-combine map-side anyway).
+    """
+    mb = 1024 * 1024
+    per_task_mem = executor_memory_gb * 1024 * mb / max(1, cores_per_executor)
+    target = int(min(200 * mb, per_task_mem / 4))
+    partitions = max(2 * total_cores, -(-int(input_bytes) // target))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target),
+        # No broadcast on plan estimates; AQE broadcasts a side only once its
+        # shuffle stage has run and its measured size is below 64 MB.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
+    }

@@ -44,3 +44,11 @@ def test_grid_search_and_leaderboard(spark):
     board = md.leaderboard(prof, kinds=["lr", "gbt"], params={"gbt": dict(maxIter=5)}).collect()
     assert [r.model for r in board].count("vote") == 1 and len(board) == 3
     assert board[0].roc_auc == max(r.roc_auc for r in board)
+
+
+def test_sized_conf_scales_with_input():
+    from attrita.session import sized_conf
+    small = sized_conf(10 * 1024 ** 2, 8)
+    big = sized_conf(100 * 1024 ** 4, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(big["spark.sql.shuffle.partitions"]) >= 100 * 1024 ** 4 // (200 * 1024 ** 2)
