@@ -117,24 +117,29 @@ def split_features(profile: DataFrame, test_fraction: float = C.TEST_FRACTION):
     return feats, median
 
 
-ROWS_PER_TRAINING_PARTITION = 10_000
+# Rows per training partition by model kind.  Tree histograms are CPU-heavy
+# per row (features x bins x nodes), so trees use every core even on small
+# inputs; a linear model's per-row gradient is tiny and task count dominates.
+ROWS_PER_TRAINING_PARTITION = {"gbt": 1_500, "rf": 1_500, "lr": 50_000, "svm": 50_000}
 
 
-def sized_for_training(df: DataFrame) -> DataFrame:
+def sized_for_training(df: DataFrame, rows_per_partition: int = 10_000) -> DataFrame:
     """Persist the training rows in as many partitions as their size needs.
 
     Iterative fits run one job per iteration (per tree level for trees); a
-    partition count tied to the data - ~10k rows each, at most the cluster's
-    parallelism - avoids paying thousands of near-empty tasks on small inputs
-    and uses every core on large ones.  The count also materialises the cache.
+    partition count tied to the data - at most the cluster's parallelism -
+    avoids near-empty tasks on small inputs and uses every core on large
+    ones.  The count also materialises the cache.
     """
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = cached.count()
     par = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(par, -(-n // ROWS_PER_TRAINING_PARTITION)))
-    if parts >= cached.rdd.getNumPartitions():
+    parts = max(1, min(par, -(-n // rows_per_partition)))
+    current = cached.rdd.getNumPartitions()
+    if parts == current:
         return cached
-    sized = cached.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    sized = (cached.coalesce(parts) if parts < current else cached.repartition(parts)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     sized.count()
     cached.unpersist()
     return sized
@@ -145,7 +150,7 @@ def train_model(profile: DataFrame, kind: str = "gbt", test_fraction: float = C.
     """M3: fit on the training split; returns the model and the split feature table."""
     if feats is None:
         feats, median = split_features(profile, test_fraction)
-    train = sized_for_training(feats.where(F.col("split") == "train"))
+    train = sized_for_training(feats.where(F.col("split") == "train"), ROWS_PER_TRAINING_PARTITION.get(kind, 10_000))
     try:
         t = time.time()
         model = build_pipeline(kind, **params).fit(train)
