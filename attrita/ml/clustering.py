@@ -16,7 +16,6 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.ml.models import assembler, encoder_stages

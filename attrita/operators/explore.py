@@ -128,20 +128,30 @@ def histogram(df: DataFrame, cols: list[str], n_bins: int = C.HISTOGRAM_BINS,
         *keys, "bin_lower", "bin_upper", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def describe(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """A3/A4: count, mean, sample std, min, exact 25/50/75 %, max per column (per group).
-
-    Long form (by..., column, stats...): one moments aggregate and one exact
-    quantile job over the same (by, column, value) rows.
+def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
+             approx_accuracy: int | None = None) -> DataFrame:
+    """A3/A4: count, mean, sample std, min, 25/50/75 %, max per column (per group).
+
+    Long form (by..., column, stats...).  Quantiles are exact (linearly
+    interpolated, two jobs) by default; with ``approx_accuracy`` they come
+    from ``percentile_approx`` in the same single aggregate as the moments
+    (bounded memory per group, rank error about 1/accuracy) - the option for
+    many groups or when exact values are not needed.
     """
     by = by or []
     keys = by + ["column"]
+    approx = [] if approx_accuracy is None else [
+        rnd(F.percentile_approx("v", p, approx_accuracy).cast("double")).alias(name)
+        for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
     moments = (long_values(df, cols, by).groupBy(*keys)
                .agg(F.count(F.lit(1)).alias("count"),
                     rnd(F.avg("v")).alias("mean"),
                     rnd(F.stddev_samp("v")).alias("std"),
                     F.min("v").alias("min"),
-                    F.max("v").alias("max")))
+                    F.max("v").alias("max"),
+                    *approx))
+    if approx_accuracy is not None:
+        return moments.select(*keys, *DESCRIBE_STATS)
     q = (exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
          .groupBy(*keys)
          .agg(*[rnd(F.max(F.when(F.col("prob") == p, F.col("value")))).alias(name)
@@ -172,3 +182,20 @@ def class_counts(df: DataFrame) -> DataFrame:
     return (dim.join(counts, "exited", "left")
             .select("exited", "label", n.cast("long").alias("customers"),
                     rnd(pct(n, F.sum(n).over(everyone))).alias("share_pct")))
+
+
+def bin_coverage(df: DataFrame) -> DataFrame:
+    """Rows whose value falls outside every bin of a binned feature (null code)
+    and rows whose value is null, per binned feature; one aggregate pass."""
+    from attrita.functions.bins import right_closed_bin
+    specs = [("age_group", "age", C.AGE_EDGES), ("credit_score_category", "credit_score", C.CREDIT_EDGES),
+             ("tenure_category", "tenure", C.TENURE_EDGES)]
+    aggs = []
+    for name, src, edges in specs:
+        code = right_closed_bin(src, edges)
+        aggs += [F.count(F.when(F.col(src).isNotNull() & code.isNull(), 1)).alias(f"{name}__out"),
+                 F.count(F.when(F.col(src).isNull(), 1)).alias(f"{name}__null")]
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    entries = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(f"{name}__out").alias("out_of_range"),
+                                 F.col(f"{name}__null").alias("null_values")) for name, _, _ in specs])
+    return wide.select("rows", F.inline(entries)).select("feature", "rows", "out_of_range", "null_values")

@@ -66,3 +66,10 @@ def exact_median(df: DataFrame, col: str) -> float | None:
     """The exact median of one column as a Python float (one small row)."""
     row = exact_quantiles(df, [col], [0.5]).select("value").first()
     return None if row is None or row["value"] is None else float(row["value"])
+
+
+def approx_median(df: DataFrame, col: str, accuracy: int = 10_000) -> float | None:
+    """A20, scale option: one aggregate with bounded memory; the result is a
+    value of the column whose rank is within about n/accuracy of the middle."""
+    row = df.agg(F.percentile_approx(F.col(col).cast("double"), 0.5, accuracy).alias("m")).first()
+    return None if row is None or row["m"] is None else float(row["m"])

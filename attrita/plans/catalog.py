@@ -103,6 +103,11 @@ def q_churned_only(spark, sf_dir):
     return _profile(spark, sf_dir).where(F.col("exited") == 1).select("customer_id", *C.NUMERIC_COLUMNS)
 
 
+def q_bin_coverage(spark, sf_dir):
+    """Out-of-range and null rows per binned feature (bins give null, not an error)."""
+    return ex.bin_coverage(_profile(spark, sf_dir))
+
+
 def q_churn_by_geography(spark, sf_dir):
     return ex.churn_rate_by(_profile(spark, sf_dir), "geography")
 
@@ -247,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpis": q_kpis,
     "one_hot_features": q_one_hot_features,
     "churned_only": q_churned_only,
+    "bin_coverage": q_bin_coverage,
     "describe_numeric": q_describe_numeric,
     "describe_by_class": q_describe_by_class,
     "class_counts": q_class_counts,

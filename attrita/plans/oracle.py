@@ -422,6 +422,13 @@ SELECT customer_id, credit_score, age, tenure, balance, num_products, has_cr_car
        CAST(geography = 'EUROPE' AS INTEGER) AS geography_EUROPE,
        CAST(geography = 'MIDDLE EAST' AS INTEGER) AS geography_MIDDLE_EAST
 FROM profile"""),
+        "bin_coverage": _with(PROFILE, "\n" + " UNION ALL ".join(
+            f"SELECT '{name}' AS feature, count(*) AS rows, "
+            f"count(*) FILTER (WHERE {src} IS NOT NULL AND ({_bin_sql(src, edges)}) IS NULL) AS out_of_range, "
+            f"count(*) FILTER (WHERE {src} IS NULL) AS null_values FROM profile"
+            for name, src, edges in [("age_group", "age", C.AGE_EDGES),
+                                     ("credit_score_category", "credit_score", C.CREDIT_EDGES),
+                                     ("tenure_category", "tenure", C.TENURE_EDGES)])),
         "churned_only": _with(PROFILE, f"""
 SELECT customer_id, {', '.join(NUM)} FROM profile WHERE exited = 1"""),
         "kpis": _with(PROFILE, f"""

@@ -73,3 +73,17 @@ def test_split_is_exact_stratified_and_deterministic(spark):
     for cls, grp in s1.groupby("exited"):
         n = len(grp)
         assert (grp.split == "test").sum() == -(-n * 20 // 100)
+
+
+def test_approx_options_are_close(spark):
+    from attrita.operators.explore import describe
+    from attrita.operators.quantile import approx_median
+    pdf, df = _data(spark, n=3000)
+    m = approx_median(df, "x", 10_000)
+    rank = (pdf["x"] < m).mean()
+    assert abs(rank - 0.5) < 0.01
+    exact = {r.column: r for r in describe(df, ["x", "y"]).collect()}
+    approx = {r.column: r for r in describe(df, ["x", "y"], approx_accuracy=10_000).collect()}
+    for c in ("x", "y"):
+        assert exact[c]["count"] == approx[c]["count"] and exact[c].mean == approx[c].mean
+        assert abs(exact[c].p50 - approx[c].p50) <= 0.2

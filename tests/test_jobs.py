@@ -1,7 +1,6 @@
 """Train/score/segment jobs end to end, and seed determinism."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from attrita import jobs
 from attrita.ml import models as md
