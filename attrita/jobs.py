@@ -74,7 +74,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.job == "train":
         print(train_job(spark, customers, a.out, a.kind))
     elif a.job == "score":
-        score_job(spark, a.model or a.out + "/../model", customers, a.out, a.high_risk_geography)
+        if not a.model:
+            p.error("score needs --model (the folder train wrote)")
+        score_job(spark, a.model, customers, a.out, a.high_risk_geography)
     else:
         segment_job(spark, customers, a.out)
 
