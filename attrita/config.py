@@ -140,11 +140,20 @@ STRATEGIES = [
     (2, "Premium Services — Medium Priority", "Medium", 20, 10, "Medium-High", 0.10),
     (3, "Loyalty & Upselling — Maintain & Grow", "Low", 10, 5, "High (Long-term)", 0.05),
 ]
-# Save rates in hundredths for exact integer arithmetic (31, 15, 10, 5).
-STRATEGY_SAVE_PCT = [31, 15, 10, 5]
+# The save rates in whole percent, for exact integer arithmetic.
+STRATEGY_SAVE_PCT = [int(round(rate * 100)) for *_, rate in STRATEGIES]
 CAMPAIGN_INVESTMENT_M = 0.28     # top-cluster campaign, $M
 TOTAL_INVESTMENT_M = 0.7         # all clusters, $M
 
+# --------------------------------------------------------------------------
+# FIXED VALUES: explanation bands (contribution by band)
+# --------------------------------------------------------------------------
+
+# Age bands: < 30, 30-45, 45-60, > 60 (upper bounds exclusive, last open).
+EXPLAIN_AGE_BANDS = [(30, "<30"), (45, "30-45"), (60, "45-60"), (None, ">60")]
+# Balance bands: 0, < 50k, 50k-100k, 100k-150k, >= 150k.
+EXPLAIN_BALANCE_BANDS = [(50000, "<50k"), (100000, "50k-100k"), (150000, "100k-150k"), (None, ">=150k")]
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: model
 # --------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrita import config as C
 from attrita.functions.stats import rnd
 from attrita.ml.models import LABEL, TrainedModel, feature_inputs, score
 from attrita.operators.evaluation import roc_auc
@@ -141,12 +142,19 @@ def contributions_by_bands(contribs: DataFrame, feats: DataFrame) -> DataFrame:
             .agg(rnd(F.avg("contribution")).alias("mean_contribution"), F.count(F.lit(1)).alias("customers")))
 
 
+def _bands(col: str, bands: list, zero_label: str | None = None) -> F.Column:
+    c = F.col(col)
+    expr = F.when(c == 0, F.lit(zero_label)) if zero_label is not None else None
+    for upper, label in bands:
+        if upper is None:
+            return expr.otherwise(F.lit(label)) if expr is not None else F.lit(label)
+        expr = F.when(c < upper, F.lit(label)) if expr is None else expr.when(c < upper, F.lit(label))
+    return expr
+
+
 def age_band() -> F.Column:
-    a = F.col("age")
-    return (F.when(a < 30, "<30").when(a < 45, "30-45").when(a < 60, "45-60").otherwise(">60"))
+    return _bands("age", C.EXPLAIN_AGE_BANDS)
 
 
 def balance_band() -> F.Column:
-    b = F.col("balance")
-    return (F.when(b == 0, "0").when(b < 50000, "<50k").when(b < 100000, "50k-100k")
-             .when(b < 150000, "100k-150k").otherwise(">=150k"))
+    return _bands("balance", C.EXPLAIN_BALANCE_BANDS, zero_label="0")
