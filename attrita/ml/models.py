@@ -64,7 +64,11 @@ def classifier(kind: str = "gbt", **params):
         p.update(params)
         return GBTClassifier(labelCol=LABEL, featuresCol="features", **p)
     if kind == "lr":
-        return LogisticRegression(labelCol=LABEL, featuresCol="scaled", **params)
+        # Convergence tolerance of the usual single-node logistic regression
+        # baseline (1e-4); Spark's default 1e-6 only adds iterations (jobs).
+        p = dict(maxIter=100, tol=1e-4)
+        p.update(params)
+        return LogisticRegression(labelCol=LABEL, featuresCol="scaled", **p)
     if kind == "rf":
         p = dict(numTrees=100, maxDepth=8, seed=C.SEED)
         p.update(params)
