@@ -61,6 +61,8 @@ def build_customer_profile(spark: SparkSession, sf_dir: str,
     nation = load_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
+    nation = bounded_broadcast(nation, GEO_MAX_ROWS)
+    region = bounded_broadcast(region, GEO_MAX_ROWS)
     geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
            .select("n_nationkey", "r_name"))
     geo = bounded_broadcast(geo, GEO_MAX_ROWS)
