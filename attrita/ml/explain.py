@@ -72,15 +72,16 @@ def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: lis
     columns = columns or [c for c in feature_inputs() if not c.endswith("_vec")]
     base = roc_auc(score(trained, feats), LABEL, "churn_probability").first()["roc_auc"]
     h = feats.withColumn("_h", F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))).withColumn("_one", F.lit(1))
-    ranked, stats = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
-    n = stats[0]["total__one"]
+    ranked = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
     pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one"),
                       "permutation-positions")
+    n = pos.count()
     shift = max(1, n // 2)
     rows = []
     for c in columns:
         donor = pos.select(F.pmod(F.col("_pos") - F.lit(shift), F.lit(n)).alias("_pos"), F.col(c).alias("_donor"))
-        permuted = pos.join(donor, "_pos").withColumn(c, F.col("_donor")).drop("_donor", "_pos")
+        permuted = (pos.join(donor, "_pos").withColumn(c, F.col("_donor"))
+                    .drop("_donor", "_pos", "total__one"))
         auc = roc_auc(score(trained, permuted), LABEL, "churn_probability").first()["roc_auc"]
         rows.append((c, float(base - auc) if auc is not None and base is not None else None))
     spark = feats.sparkSession

@@ -40,7 +40,7 @@ def roc_auc(df: DataFrame, label: str = "exited", score: str = "churn_probabilit
                  .groupBy(F.col(score).cast("double").alias("s"))
                  .agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
                       F.sum((F.col(label) != 1).cast("long")).alias("neg")))
-    ranked, _ = ordered_cumulative(per_score, [], "s", ["neg", "pos"])
+    ranked = ordered_cumulative(per_score, [], "s", ["neg", "pos"])
     neg_below = F.col("cum_neg") - F.col("neg")
     # sum over scores of pos * (negatives below + half the tied negatives)
     return ranked.agg(

@@ -7,9 +7,10 @@ bucket its offset, and the running sum runs inside ``PARTITION BY (group,
 bucket)`` windows, so the work spreads over groups x buckets tasks.  The
 result is exact; the approximation only shapes the buckets.
 
-The per-group statistics are one row per group; they are collected (the
-count of groups is checked first) and inlined as literals, so no join on the
-few group keys - which would put each group in one task - is ever planned.
+The per-group statistics are one row per group.  For a few groups they are
+collected (the count is checked first) and inlined as literals, so no join on
+a few hot group keys - which would put each group in one task - is planned;
+for many groups they are joined on the group keys instead.
 """
 
 from __future__ import annotations
@@ -75,41 +76,70 @@ def group_lookup(group_cols: list[str], rows: list[Row], value) -> Column:
 
 
 def group_stats(df: DataFrame, group_cols: list[str], order_col: str, weight_cols: list[str],
-                n_buckets: int | None = None, max_groups: int = MAX_GROUPS) -> list[Row]:
-    """One pass: per group, bucket bounds and the total of each weight."""
-    n_buckets = n_buckets or default_buckets(df.sparkSession)
+                n_buckets: int) -> DataFrame:
+    """Per group: bucket bounds (approximate quantiles) and each weight's total."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    stats = (df.groupBy(*group_cols)
-             .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("_bounds"),
-                  *[F.sum(w).alias(f"total_{w}") for w in weight_cols]))
-    rows = stats.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups; use an approximate method per group")
-    return rows
+    return (df.groupBy(*group_cols)
+            .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("_bounds"),
+                 *[F.sum(w).alias(f"total_{w}") for w in weight_cols]))
 
 
 def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
                        weight_cols: list[str], tiebreak_cols: list[str] | None = None,
-                       n_buckets: int | None = None,
-                       stats: list[Row] | None = None) -> tuple[DataFrame, list[Row]]:
-    """Add ``cum_<w>``: the sum of ``w`` over rows of the same group up to and
-    including this row, ordered by ``order_col`` (then ``tiebreak_cols``).
+                       n_buckets: int | None = None, max_groups: int = MAX_GROUPS) -> DataFrame:
+    """Add ``cum_<w>`` (the sum of ``w`` over rows of the same group up to and
+    including this row, ordered by ``order_col`` then ``tiebreak_cols``) and
+    ``total_<w>`` (the group's total) to every row.
 
-    Returns the frame and the per-group stats rows (with ``total_<w>``).
     ``order_col`` must be non-null and numeric.  Equal order values always
     share a bucket, so ties are ordered by the tiebreak columns alone.
+
+    Up to ``max_groups`` groups, the per-group statistics (one row per group)
+    are collected and inlined as literals: no join on a few hot group keys.
+    With more groups they stay a DataFrame joined on the group keys - each
+    group is then small on average, AQE broadcasts the statistics when their
+    measured size allows, and its skew-join handling splits a hot group.
     """
     tiebreak_cols = tiebreak_cols or []
     g = list(group_cols)
-    if stats is None:
-        stats = group_stats(df, g, order_col, weight_cols, n_buckets)
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
+    stats_df = group_stats(df, g, order_col, weight_cols, n_buckets)
+    rows = stats_df.limit(max_groups + 1).collect() if g else stats_df.collect()
     v = f"CAST({_ident(order_col)} AS DOUBLE)"
-    k = max((len(r["_bounds"] or []) for r in stats), default=0)
+    if len(rows) <= max_groups:
+        bucketed = _bucket_by_literals(df, g, rows, v).select(
+            *df.columns, "_bucket",
+            *[group_lookup(g, rows, lambda r, w=w: sql_lit(r[f"total_{w}"])).alias(f"total_{w}")
+              for w in weight_cols])
+    else:
+        # Many groups: fewer buckets per group suffice (the groups spread the work).
+        few = max(2, min(n_buckets, 16))
+        bucketed = (df.join(group_stats(df, g, order_col, weight_cols, few), g)
+                    .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {v}))"))
+                    .drop("_bounds"))
+    totals = bucketed.groupBy(*g, "_bucket").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
+    before = (Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    # groups x buckets rows: small, so this window is cheap even when unpartitioned.
+    offsets = totals.select(*g, "_bucket", *[F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0))
+                                              .alias(f"_off_{w}") for w in weight_cols])
+    run = (Window.partitionBy(*g, "_bucket").orderBy(order_col, *tiebreak_cols)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The join on (group, bucket) hash-partitions the big side exactly as the
+    # window below needs, so that one shuffle serves both.
+    return bucketed.join(offsets, g + ["_bucket"]).select(
+        *df.columns, *[F.col(f"total_{w}") for w in weight_cols],
+        *[(F.col(f"_off_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weight_cols])
+
+
+def _bucket_by_literals(df: DataFrame, g: list[str], rows: list[Row], v: str) -> DataFrame:
+    """Bucket index from per-group literal bounds, by a two-level search: the
+    coarse boundaries (every fan-th) pick a slice, the slice's own boundaries
+    finish the count - about 2 sqrt(B) comparisons per row instead of B, and
+    the result equals #{boundaries < v}."""
+    k = max((len(r["_bounds"] or []) for r in rows), default=0)
     fan = max(1, math.isqrt(k + 1))
 
-    # Two-level search: the coarse boundaries (every fan-th) pick a slice, the
-    # slice's own boundaries finish the count - about 2 sqrt(B) comparisons
-    # per row instead of B, and the result equals #{boundaries < v}.
     def coarse_of(r: Row) -> str:
         bounds = [float(b) for b in (r["_bounds"] or [])]
         coarse = bounds[fan - 1::fan]
@@ -124,19 +154,6 @@ def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
                                       for c in range(n_coarse + 1)) + ")"
         return f"_coarse * {fan} + size(filter(element_at({slices}, _coarse + 1), b -> b < {v}))"
 
-    bucketed = (df.withColumn("_coarse", group_lookup(g, stats, coarse_of))
-                .withColumn("_bucket", group_lookup(g, stats, bucket_of))
-                .drop("_coarse"))
-    totals = bucketed.groupBy(*g, "_bucket").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
-    before = (Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    # groups x buckets rows: small, so this window is cheap even when unpartitioned.
-    offsets = totals.select(*g, "_bucket", *[F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0))
-                                              .alias(f"_off_{w}") for w in weight_cols])
-    run = (Window.partitionBy(*g, "_bucket").orderBy(order_col, *tiebreak_cols)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # The join on (group, bucket) hash-partitions the big side exactly as the
-    # window below needs, so that one shuffle serves both.
-    out = bucketed.join(offsets, g + ["_bucket"]).select(
-        *df.columns, *[(F.col(f"_off_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weight_cols])
-    return out, stats
+    return (df.withColumn("_coarse", group_lookup(g, rows, coarse_of))
+            .withColumn("_bucket", group_lookup(g, rows, bucket_of))
+            .drop("_coarse"))

@@ -4,18 +4,17 @@ Spark's exact ``percentile`` merges one value->count map per group in a single
 task, which does not survive a continuous column at scale.  Here the values
 are first collapsed to (value, count) by a partial aggregation, then ranked
 with ``ordered_cumulative``; the rows holding each requested rank are picked
-by a filter whose ranks are per-group literals (no join on group keys).
+by a filter on the group total carried by every row (no join on group keys).
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.operators.prefix import group_lookup, ordered_cumulative, sql_lit
+from attrita.operators.prefix import ordered_cumulative
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -32,27 +31,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     by = by or []
     keys = by + ["column"]
     vc = long_values(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked, stats = ordered_cumulative(vc, keys, "v", ["n"])
+    ranked = ordered_cumulative(vc, keys, "v", ["n"])
     conds, hits = [], []
     start = F.col("cum_n") - F.col("n")
     for p in probs:
-        def rank_at(r, which, p=p):
-            pos = (r["total_n"] - 1) * p
-            return sql_lit(int(math.floor(pos)) if which == "lo" else int(math.ceil(pos)))
-
-        def frac_at(r, p=p):
-            pos = (r["total_n"] - 1) * p
-            return sql_lit(float(pos - math.floor(pos)))
-
-        lo = group_lookup(keys, stats, lambda r: rank_at(r, "lo"))
-        hi = group_lookup(keys, stats, lambda r: rank_at(r, "hi"))
+        # Same double arithmetic as pos = (N - 1) * p, lo = floor, hi = ceil.
+        pos = (F.col("total_n") - 1).cast("double") * F.lit(float(p))
+        lo, hi, frac = F.floor(pos), F.ceil(pos), pos - F.floor(pos)
         hit_lo = (start <= lo) & (lo < F.col("cum_n"))
         hit_hi = (start <= hi) & (hi < F.col("cum_n"))
         conds.append(hit_lo | hit_hi)
         hits.append(F.when(hit_lo | hit_hi, F.struct(
             F.lit(float(p)).alias("prob"),
             F.when(hit_lo, F.col("v")).alias("v_lo"), F.when(hit_hi, F.col("v")).alias("v_hi"),
-            group_lookup(keys, stats, frac_at).alias("frac"))))
+            frac.alias("frac"))))
     # One pass over the ranked values: each row emits the targets it holds.
     picked = (ranked.where(reduce(lambda a, b: a | b, conds))
               .select(*keys, F.inline(F.array_compact(F.array(*hits))))

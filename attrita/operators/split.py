@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrita import config as C
-from attrita.operators.prefix import group_lookup, ordered_cumulative, sql_lit
+from attrita.operators.prefix import ordered_cumulative
 
 LEHMER_A = 48271
 LEHMER_M = 2147483647
@@ -32,8 +32,8 @@ def stratified_split(df: DataFrame, key: str = "customer_id", label: str = "exit
     """``df`` plus ``split`` in {"train", "test"}, exactly stratified by ``label``."""
     cols = df.columns
     h = df.withColumn("_h", split_hash(key)).withColumn("_one", F.lit(1))
-    ranked, stats = ordered_cumulative(h, [label], "_h", ["_one"], tiebreak_cols=[key])
+    ranked = ordered_cumulative(h, [label], "_h", ["_one"], tiebreak_cols=[key])
     pct = int(round(test_fraction * 100))      # ceil(n * pct / 100) in integers
-    n_test = group_lookup([label], stats, lambda r: sql_lit((r["total__one"] * pct + 99) // 100))
+    n_test = F.floor((F.col("total__one") * F.lit(pct) + F.lit(99)) / F.lit(100))
     return ranked.select(*cols, F.when(F.col("cum__one") <= n_test, F.lit("test"))
                          .otherwise(F.lit("train")).alias("split"))
