@@ -63,29 +63,39 @@ def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
 
 def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: list[str] | None = None,
                            key: str = "customer_id", seed: int = 7) -> DataFrame:
-    """AUC drop when one input column is permuted across rows.
+    """Exact AUC drop when one input column is permuted across rows.
 
-    Rows get a hash position 0..n-1 (exact, distributed ranks); a column is
-    permuted by taking it from the row at position (p + shift) mod n, an
-    equi-join on the computed position - one shuffle join per column.
+    Rows get a hash position 0..n-1 (exact, distributed ranks).  Permuting a
+    column means taking it from the row at position (p + shift) mod n; one
+    self-join on the computed position brings each row its donor row, one
+    explode makes a variant per permuted column, one scoring pass scores them
+    all, and the exact AUC is computed per permuted column (grouped).
     """
     columns = columns or [c for c in feature_inputs() if not c.endswith("_vec")]
-    base = roc_auc(score(trained, feats), LABEL, "churn_probability").first()["roc_auc"]
     h = feats.withColumn("_h", F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))).withColumn("_one", F.lit(1))
     ranked = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
-    pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one"),
+    pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one", "total__one"),
                       "permutation-positions")
     n = pos.count()
     shift = max(1, n // 2)
-    rows = []
-    for c in columns:
-        donor = pos.select(F.pmod(F.col("_pos") - F.lit(shift), F.lit(n)).alias("_pos"), F.col(c).alias("_donor"))
-        permuted = (pos.join(donor, "_pos").withColumn(c, F.col("_donor"))
-                    .drop("_donor", "_pos", "total__one"))
-        auc = roc_auc(score(trained, permuted), LABEL, "churn_probability").first()["roc_auc"]
-        rows.append((c, float(base - auc) if auc is not None and base is not None else None))
-    spark = feats.sparkSession
-    return spark.createDataFrame(rows, "feature string, auc_drop double").orderBy(F.desc_nulls_last("auc_drop"))
+    donors = pos.select(F.pmod(F.col("_pos") - F.lit(shift), F.lit(n)).alias("_pos"),
+                        F.struct(*[F.col(c) for c in columns]).alias("_donor"))
+    paired = pos.join(donors, "_pos")
+    base_cols = [c for c in feats.columns]
+    variants = F.array(
+        F.struct(F.lit("__none__").alias("permuted"), *[F.col(c).alias(c) for c in base_cols]),
+        *[F.struct(F.lit(p).alias("permuted"),
+                   *[(F.col("_donor")[c] if c == p else F.col(c)).alias(c) for c in base_cols])
+          for p in columns])
+    long = paired.select(F.inline(variants))
+    scored = score(trained, long)
+    # One row per permuted column: collected once, so the scoring pass runs once.
+    aucs = {r["permuted"]: r["roc_auc"]
+            for r in roc_auc(scored, LABEL, "churn_probability", by=["permuted"]).collect()}
+    base_auc = aucs.pop("__none__", None)
+    rows = [(c, None if base_auc is None or a is None else float(base_auc - a)) for c, a in aucs.items()]
+    return (feats.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
+            .orderBy(F.desc_nulls_last("auc_drop"), "feature"))
 
 
 def linear_contributions(trained: TrainedModel, feats: DataFrame) -> DataFrame:

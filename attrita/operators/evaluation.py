@@ -34,16 +34,18 @@ def confusion_metrics(df: DataFrame, label: str = "exited", prob: str = "churn_p
                     rnd(F.try_divide(fp, fp + tn)).alias("false_positive_rate"))
 
 
-def roc_auc(df: DataFrame, label: str = "exited", score: str = "churn_probability") -> DataFrame:
-    """Exact ROC-AUC in one row (null if a class is missing)."""
+def roc_auc(df: DataFrame, label: str = "exited", score: str = "churn_probability",
+            by: list[str] | None = None) -> DataFrame:
+    """Exact ROC-AUC, one row per group of ``by`` (null if a class is missing)."""
+    by = by or []
     per_score = (df.where(F.col(score).isNotNull())
-                 .groupBy(F.col(score).cast("double").alias("s"))
+                 .groupBy(*by, F.col(score).cast("double").alias("s"))
                  .agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"),
                       F.sum((F.col(label) != 1).cast("long")).alias("neg")))
-    ranked = ordered_cumulative(per_score, [], "s", ["neg", "pos"])
+    ranked = ordered_cumulative(per_score, by, "s", ["neg", "pos"])
     neg_below = F.col("cum_neg") - F.col("neg")
     # sum over scores of pos * (negatives below + half the tied negatives)
-    return ranked.agg(
+    return ranked.groupBy(*by).agg(
         rnd(F.try_divide(F.sum(F.col("pos").cast("double") * (neg_below.cast("double") + F.col("neg") / 2.0)),
                          F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc"),
         F.sum("pos").cast("long").alias("positives"),

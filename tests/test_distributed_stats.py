@@ -89,3 +89,11 @@ def test_approx_options_are_close(spark):
     for c in ("x", "y"):
         assert exact[c]["count"] == approx[c]["count"] and exact[c].mean == approx[c].mean
         assert abs(exact[c].p50 - approx[c].p50) <= 0.2
+
+
+def test_grouped_auc_equals_per_group(spark):
+    pdf, df = _data(spark, n=900)
+    grouped = {r.g: r.roc_auc for r in roc_auc(df, "exited", "x", by=["g"]).collect()}
+    for g in range(3):
+        single = roc_auc(df.where(F.col("g") == g), "exited", "x").first()["roc_auc"]
+        assert grouped[g] == single

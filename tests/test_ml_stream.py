@@ -95,3 +95,11 @@ def test_model_save_and_load(spark, tmp_path):
     b = md.score(back, feats).select("customer_id", "churn_probability").toPandas().sort_values("customer_id")
     assert back.median_balance == trained.median_balance
     assert np.allclose(a.churn_probability.to_numpy(), b.churn_probability.to_numpy())
+
+
+def test_permutation_importance_finds_planted_features(spark):
+    prof = _planted(spark, n=1200)
+    trained, feats = md.train_model(prof, "lr")
+    imp = xp.permutation_importance(trained, feats, columns=["is_active_member", "age", "credit_score"]).collect()
+    order = [r.feature for r in imp]
+    assert order[-1] == "credit_score" and imp[0].auc_drop > 0.02
