@@ -63,7 +63,11 @@ def q_gbt_test_metrics(spark, sf_dir):
     """M5/M6 on the held-out rows."""
     trained, feats = _trained(spark, sf_dir)
     m = md.evaluate(md.score(trained, feats.where(F.col("split") == "test")), "gbt")
-    return spark.createDataFrame([m])
+    cols = ["roc_auc", "positives", "negatives", "tp", "fp", "tn", "fn", "precision", "recall", "f1",
+            "accuracy", "false_positive_rate"]
+    schema = ("roc_auc double, positives long, negatives long, tp long, fp long, tn long, fn long, "
+              "precision double, recall double, f1 double, accuracy double, false_positive_rate double")
+    return spark.createDataFrame([tuple(m[c] for c in cols)], schema)
 
 
 def q_model_leaderboard(spark, sf_dir):
