@@ -31,3 +31,23 @@ def test_same_seed_same_model(spark):
     pa = md.score(a, feats).orderBy("customer_id").select("churn_probability").toPandas()
     pb = md.score(b, feats).orderBy("customer_id").select("churn_probability").toPandas()
     assert np.allclose(pa.churn_probability.to_numpy(), pb.churn_probability.to_numpy())
+
+
+def test_cli_train_and_score_from_csv(spark, tmp_path):
+    import pytest
+    from test_sources_tuning import CSV
+    rows = CSV.strip().splitlines()
+    header = rows[0]
+    # 60 well-formed customers, alternating labels.
+    lines = [header] + [",".join([str(i), str(15600000 + i), "S", str(500 + i % 300),
+                                  ["France", "Germany", "Spain"][i % 3], ["Female", "Male"][i % 2],
+                                  str(20 + i % 50), str(i % 10), str(float(i * 1000 % 150000)),
+                                  str(1 + i % 4), str(i % 2), str((i // 2) % 2), str(50000.0 + i), str(i % 2)])
+                         for i in range(60)]
+    csv = tmp_path / "c.csv"
+    csv.write_text("\n".join(lines) + "\n")
+    jobs.main(["train", "--csv", str(csv), "--out", str(tmp_path / "m"), "--kind", "lr"])
+    jobs.main(["score", "--csv", str(csv), "--model", str(tmp_path / "m"), "--out", str(tmp_path / "s")])
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 60
+    with pytest.raises(SystemExit):
+        jobs.main(["score", "--csv", str(csv), "--out", str(tmp_path / "s2")])
