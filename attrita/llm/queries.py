@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_ngram_jaccard_join": "ngram_jaccard",
+    "op2_language_id": "language_id",
+    "op3_pivot_topk": "pivot_topk",
+    "op4_token_files": "token_files",
+    "op5_secret_scan": "secret_scan",
+    "op6_url_filter": "url_filter",
+    "op7_license_scan": "license_scan",
+    "op8_bpe_stream": "bpe_stream",
+    "op9_decontaminate": "decontaminate",
+    "op10_quality_mil": "quality_mil",
 }
 
 
