@@ -34,15 +34,19 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attrita.llm.common import map_text
+from attrita.llm.common import Recent, map_text
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_UNITS = 250_000
+#: Units, words and token pairs that a worker remembers (a generation).
+CACHED_UNITS, CACHED_WORDS = 150_000, 200_000
 CACHED_PAIRS = 500_000
 
 
@@ -67,6 +71,7 @@ class MergeList:
         self.rank = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list | tuple) else m.split(" ") for m in merges)}
         self.spelling = {t: self._symbols(t) for t in vocab}
         self.tokens = {"".join(s): t for t, s in self.spelling.items()}
+        self.endings = {"".join(s[i:]) for s in self.spelling.values() for i in range(len(s))}
         self.longest = max((len(s) for s in self.spelling.values()), default=1)
         self.sufficient_lookahead = max(1, len(self.rank)) * self.longest
         self._whole: dict[str, bool] = {}
@@ -104,6 +109,23 @@ class MergeList:
             w = self._apart[(a, b)] = self.merge(self.spelling[a] + self.spelling[b]) == [a, b]
         return w
 
+    def step(self, symbols: list[str], last: list[tuple[str | None, int]]) -> tuple[str | None, int]:
+        """Last token, and where it starts, of the segmentation that ends with
+        the last symbol; last: the same of all positions before, (None, -1) at a
+        start.  One token alone keeps apart from what stands before it."""
+        spelled = ""
+        for start in range(len(symbols) - 1, -1, -1):
+            spelled = symbols[start] + spelled
+            if spelled not in self.endings:
+                break
+            token = self.tokens.get(spelled)
+            if token is None or not self.whole(token):
+                continue
+            before, at = last[start]
+            if at != -2 and (before is None or self.apart(before, token)):
+                return token, start
+        return None, -2  # a symbol that the vocabulary lacks
+
 
 class Transducer:
     """Symbols in, stable tokens out."""
@@ -119,21 +141,9 @@ class Transducer:
         """Take one symbol; the tokens that became stable."""
         self.symbols.append(symbol)
         n = len(self.symbols)
-        found, spelled = None, ""
-        tokens, m = self.m.tokens, self.m
-        for start in range(n - 1, max(-1, n - 1 - m.longest), -1):
-            spelled = self.symbols[start] + spelled
-            token = tokens.get(spelled)
-            if token is None or not m.whole(token):
-                continue
-            before, at = self.last[start]
-            if at == -2 or before is not None and not m.apart(before, token):
-                continue
-            found = (token, start)
-        # one candidate alone passes the test of the pair; -2: no segmentation ends here (symbol outside the vocabulary)
-        self.last.append(found or (None, -2))
+        self.last.append(self.m.step(self.symbols, self.last))
         self.held = max(self.held, n)
-        return self._stable() if n >= 2 * m.longest and n % 16 == 0 else []
+        return self._stable() if n >= 2 * self.m.longest and n % 16 == 0 else []
 
     def _stable(self) -> list[str]:
         n = len(self.symbols)
@@ -178,7 +188,7 @@ class StreamingBpe:
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.bytes = {c: b for b, c in byte_symbols().items()}
-        self.known: dict[str, tuple[str, str, int]] = {"": ("", "", 0)}
+        self.known, self.known_words = Recent(CACHED_UNITS), Recent(CACHED_WORDS)
 
     def words(self, text: str) -> Iterator[str]:
         """Pre-tokens of a text without special tokens, in the byte alphabet."""
@@ -188,8 +198,8 @@ class StreamingBpe:
             yield word
 
     def encode_word(self, word: str) -> Iterator[int]:
-        stream, vocab = Transducer(self.merges), self.merges.vocab
-        end = len(word) - 1
+        vocab, end = self.merges.vocab, len(word) - 1
+        stream = Transducer(self.merges)
         for i, c in enumerate(word):
             for token in stream.push(c + self.suffix if i == end else c):
                 yield vocab[token]
@@ -223,24 +233,35 @@ class StreamingBpe:
             yield machine.decode(b"".join(bytes([self.bytes[c]]) for c in body)) + (" " if ends else "")
         yield machine.decode(b"", final=True)
 
-    def unit(self, unit: str) -> tuple[str, str, int]:
-        """Decimal ids, token text and number of ids of a white-space unit, remembered."""
-        found = self.known.get(unit)
-        if found is None:
-            ids = list(self.encode(unit))
-            found = (" ".join(map(str, ids)), self.token_text(ids), len(ids))
-            if len(unit) <= 64:
-                if len(self.known) > CACHED_UNITS:
-                    self.known = {"": ("", "", 0)}
-                self.known[unit] = found
-        return found
+    def _word_ids(self, words: list[str]) -> Iterator[list[int]]:
+        for w in words:
+            yield list(self.encode_word(w))
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the decimal ids, sha256 of the token text."""
-        parts = [p for u in (text or "").replace("\n", " ").split(" ") if (p := self.unit(u))[2]] if text else []
-        ids, spelled = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-        return (sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(),
-                hashlib.sha256(spelled.encode("utf-8", "surrogatepass")).hexdigest())
+    def _unit(self, unit: str) -> tuple[bytes, str, str]:
+        """Ids as little-endian 32-bit integers, decimal ids, token text of a white-space unit."""
+        if self.cut and self.cut.search(unit):
+            ids = list(self.encode(unit))
+        else:
+            words = list(self.words(unit))
+            held = self.known_words.hold(words, self._word_ids)
+            ids = [i for w in words for i in held[w]]
+        return array("i", ids).tobytes(), " ".join(map(str, ids)), self.token_text(ids)
+
+    def coded(self, texts: list[str | None]) -> list[tuple[bytes, str, str]]:
+        """Per text: its ids as 32-bit integers, the decimal ids and the token
+        text, each unit worked out once while it is remembered."""
+        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        held = self.known.hold({u for units in cut for u in units}, lambda fresh: map(self._unit, fresh))
+        out = []
+        for units in cut:
+            parts = [p for u in units if (p := held[u])[0]]
+            out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
+        return out
+
+    def digests(self, texts: list[str | None]) -> list[tuple[bytes, int, str, str]]:
+        """Per text: ids as 32-bit integers, n_tokens, sha256 of the decimal ids, sha256 of the token text."""
+        return [(data, len(data) // 4, hashlib.sha256(ids.encode()).hexdigest(),
+                 hashlib.sha256(spelled.encode("utf-8", "surrogatepass")).hexdigest()) for data, ids, spelled in self.coded(texts)]
 
 
 @lru_cache(maxsize=2)
@@ -250,18 +271,26 @@ def tokenizer(file: str) -> StreamingBpe:
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      vocabulary: str | None = None) -> DataFrame:
-    """``id_col``, ids array: the token ids of every whole text."""
+    """``id_col``, ids array, n_tokens, ids_sha256, decoded_sha256 of every whole
+    text (digests of the decimal ids and of the library's decoded text)."""
     file = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_text(docs.select(id_col, text_col), f"doc {kind}, ids array<int>", lambda part, texts: {
-        "doc": part.column(0), "ids": [list(tokenizer(file).encode(t or "")) for t in texts]}).withColumnRenamed("doc", id_col)
+
+    def work(part, texts):
+        data, n, ids, spelled = zip(*tokenizer(file).digests(texts), strict=True)
+        offsets = np.concatenate(([0], np.cumsum(n)))
+        flat = pa.array(np.frombuffer(b"".join(data), dtype="<i4"))
+        return {"doc": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), flat),
+                "n_tokens": n, "ids_sha256": ids, "decoded_sha256": spelled}
+
+    return map_text(docs.select(id_col, text_col), f"doc {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string",
+                    work).withColumnRenamed("doc", id_col)
 
 
 def decode_documents(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
                      vocabulary: str | None = None) -> DataFrame:
     """``id_col``, text: readable text of each id array (null: empty)."""
     file = vocabulary or default_vocabulary()
-    import pyarrow as pa
 
     def run(batches):
         for batch in batches:
@@ -280,8 +309,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(part, texts):
-        bpe = tokenizer(file)
-        n, ids, spelled = zip(*[bpe.digests(t) for t in texts], strict=True)
+        _, n, ids, spelled = zip(*tokenizer(file).digests(texts), strict=True)
         return {"doc": part.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": spelled}
 
     return map_text(docs.select(id_col, text_col), f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,30 @@ def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, list[st
     return df.mapInArrow(run, schema)
 
 
+class Recent:
+    """What a worker has worked out lately, in two generations: once the young
+    one passes ``limit`` entries it becomes the old one, and what is asked for
+    again moves back, so frequent keys stay and memory is bounded."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def hold(self, wanted: Iterable, make: Callable[[list], Iterable]) -> dict:
+        """A mapping that holds all ``wanted`` keys; ``make`` gives the values of the missing ones."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, fresh = self.young, self.old, []
+        for k in wanted:
+            if k not in young:
+                if (v := old.get(k)) is None:
+                    fresh.append(k)
+                else:
+                    young[k] = v
+        if fresh:
+            young.update(zip(fresh, make(fresh), strict=True))
+        return young
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (SplitMix)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.llm.common import U, map_text, text_groups, written
+from attrita.llm.common import Recent, U, map_text, text_groups, written
 
 VOCABULARY = "piece_bpe_32k.model"
 EM_ROUNDS = 2
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
 VECTOR_SYMBOLS = 48
-#: Words whose scores a worker remembers before it starts anew.
-CACHED_WORDS = 250_000
+#: Words whose scores a worker remembers (a generation).
+CACHED_WORDS = 200_000
 #: (language, word) counts a training task holds before it passes them on.
 HELD_COUNTS = 250_000
 _BYTE = 0x110000
@@ -103,16 +103,23 @@ class Pieces:
             at = (at + U(1)) & U((1 << self.bits) - 1)
         return out
 
-    def symbols(self, word: str) -> np.ndarray:
-        """Code points of the word behind its mark; unknown characters as bytes."""
-        codes = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    def spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of all words, each behind its mark, and their lengths;
+        characters that the vocabulary lacks as bytes."""
+        codes = np.frombuffer("".join(["▁" + w for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         at = np.minimum(np.searchsorted(self.single, codes), len(self.single) - 1)
-        if (self.single[at] == codes).all():
-            return codes
-        out = []
-        for c, known in zip(codes.tolist(), (self.single[at] == codes).tolist(), strict=True):
-            out += [c] if known else [_BYTE + b for b in chr(c).encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype=np.uint32)
+        unknown = np.flatnonzero(self.single[at] != codes)
+        if not len(unknown):
+            return codes, lengths
+        spelled = [chr(c).encode("utf-8", "surrogatepass") for c in codes[unknown].tolist()]
+        sizes = np.ones(len(codes), dtype=np.int64)
+        sizes[unknown] = [len(b) for b in spelled]
+        out = np.repeat(codes, sizes)
+        firsts = (np.cumsum(sizes) - sizes)[unknown]
+        for first, data in zip(firsts.tolist(), spelled, strict=True):
+            out[first:first + len(data)] = [_BYTE + b for b in data]
+        return out, np.add.reduceat(sizes, np.cumsum(lengths) - lengths)
 
 
 @lru_cache(maxsize=2)
@@ -123,12 +130,10 @@ def pieces(model_file: str) -> Pieces:
 class Lattice:
     """All pieces of a batch of words, and sums over their segmentations."""
 
-    def __init__(self, vocab: Pieces, words: list[np.ndarray]):
-        lengths = np.array([len(w) for w in words])
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths = lengths[self.order]
-        codes = np.concatenate([words[i] for i in self.order])
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+    def __init__(self, vocab: Pieces, codes: np.ndarray, lengths: np.ndarray):
+        """codes: the words' symbols, longest word first."""
+        self.lengths = lengths
+        self.starts = np.cumsum(lengths) - lengths
         self.longest = int(self.lengths[0])
         n = len(codes)
         up = np.full(n + 1, U(_MULT))
@@ -167,15 +172,12 @@ class Lattice:
         return alpha
 
     def log_probability(self, prob: np.ndarray) -> np.ndarray:
-        alpha = self.forward(prob)
-        out = np.empty((len(self.lengths), prob.shape[1]))
-        out[self.order] = np.log(alpha[self.lengths, np.arange(len(self.lengths))])
-        return out
+        return np.log(self.forward(prob)[self.lengths, np.arange(len(self.lengths))])
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts, each word weighted; prob: one language's (piece, 1)."""
         alpha = self.forward(prob)[:, :, 0]
-        p, weight = prob[:, 0], weight[self.order]
+        p = prob[:, 0]
         at = np.arange(len(self.lengths))
         total = alpha[self.lengths, at]
         beta = np.zeros_like(alpha)
@@ -192,7 +194,7 @@ def _long_sums(vocab: Pieces, codes: np.ndarray, prob: np.ndarray, weight: float
     """Log-probability of one long word per language and, for a weight, its
     expected counts (prob of one language); rescaled at each position."""
     n, m = len(codes), vocab.longest
-    at = Lattice(vocab, [codes]).pieces
+    at = Lattice(vocab, codes, np.array([n])).pieces
     alpha = np.zeros((n + 1, prob.shape[1]))
     scale = np.zeros((n + 1, prob.shape[1]))  # log of what alpha at a position was divided by
     alpha[0] = 1
@@ -222,20 +224,27 @@ def _long_sums(vocab: Pieces, codes: np.ndarray, prob: np.ndarray, weight: float
 
 
 def _batches(vocab: Pieces, words: list[str], size: int = 20_000):
-    """(places, symbol arrays) of the words up to VECTOR_SYMBOLS, then (place, array) of each longer one."""
-    spelled = [vocab.symbols(w) for w in words]
-    short = [i for i, s in enumerate(spelled) if len(s) <= VECTOR_SYMBOLS]
-    short.sort(key=lambda i: len(spelled[i]))
-    blocks = [short[i:i + size] for i in range(0, len(short), size)]
-    return [(b, [spelled[i] for i in b]) for b in blocks], [(i, s) for i, s in enumerate(spelled) if len(s) > VECTOR_SYMBOLS]
+    """(places, codes, lengths) of the words up to VECTOR_SYMBOLS, longest
+    first, and (place, codes) of each longer one."""
+    codes, lengths = vocab.spell(words)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    first = int(np.searchsorted(-lengths[order], -VECTOR_SYMBOLS))
+    blocks = []
+    for i in range(first, len(order), size):
+        own = order[i:i + size]
+        n = lengths[own]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        blocks.append((own, codes[np.repeat(starts[own], n) + inner], n))
+    return blocks, [(i, codes[starts[i]:starts[i] + lengths[i]]) for i in order[:first].tolist()]
 
 
 def word_scores(vocab: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """log P(word | language), over all segmentations: (word, language)."""
     out = np.empty((len(words), prob.shape[1]))
     short, long = _batches(vocab, words)
-    for places, spelled in short:
-        out[places] = Lattice(vocab, spelled).log_probability(prob)
+    for places, codes, lengths in short:
+        out[places] = Lattice(vocab, codes, lengths).log_probability(prob)
     for i, s in long:
         out[i] = _long_sums(vocab, s, prob)[0]
     return out
@@ -244,8 +253,8 @@ def word_scores(vocab: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray
 def expected_counts(vocab: Pieces, words: list[str], weights: np.ndarray, prob: np.ndarray) -> np.ndarray:
     counts = np.zeros(prob.shape[0])
     short, long = _batches(vocab, words)
-    for places, spelled in short:
-        counts += Lattice(vocab, spelled).expected(prob, weights[places])
+    for places, codes, lengths in short:
+        counts += Lattice(vocab, codes, lengths).expected(prob, weights[places])
     for i, s in long:
         counts += _long_sums(vocab, s, prob, float(weights[i]))[1]
     return counts
@@ -309,31 +318,29 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", vocabul
 
 
 class _Scorer:
-    """A worker's scores of the words it has met."""
+    """Sums of word scores; a worker remembers the words it meets often."""
 
     def __init__(self, vocab: Pieces, prob: np.ndarray):
-        self.vocab, self.prob = vocab, prob
-        self.place: dict[str, int] = {}
-        self.scores = np.empty((0, prob.shape[1]))
+        self.vocab, self.prob, self.known = vocab, prob, Recent(CACHED_WORDS)
+
+    def _rows(self, words: list[str]) -> list[bytes]:
+        data, width = word_scores(self.vocab, words, self.prob).tobytes(), 8 * self.prob.shape[1]
+        return [data[i:i + width] for i in range(0, len(data), width)]
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.place) > CACHED_WORDS:
-            self.place, self.scores = {}, self.scores[:0]
-        place, fresh, ids, ends = self.place, [], [], []
+        place: dict[str, int] = {}
+        ids, ends = [], [0]
         for text in texts:
-            for w in text.lower().split() if text else ():
-                i = place.get(w)
-                if i is None:
-                    i = place[w] = len(place)
-                    fresh.append(w)
-                ids.append(i)
+            if text:
+                ids += [place.setdefault(w, len(place)) for w in text.lower().split()]
             ends.append(len(ids))
-        if fresh:
-            self.scores = np.concatenate([self.scores, word_scores(self.vocab, fresh, self.prob)])
-        sums = np.concatenate([np.zeros((1, self.prob.shape[1])), np.cumsum(self.scores[ids], axis=0)]) if ids else \
-            np.zeros((1, self.prob.shape[1]))
-        ends = np.array([0, *ends])
-        return sums[ends[1:]] - sums[ends[:-1]]
+        langs = self.prob.shape[1]
+        if not ids:
+            return np.zeros((len(texts), langs))
+        known = self.known.hold(place, self._rows)
+        scores = np.frombuffer(b"".join(map(known.__getitem__, place))).reshape(-1, langs)
+        total = np.concatenate([np.zeros((1, langs)), np.cumsum(scores[ids], axis=0)])
+        return total[ends[1:]] - total[ends[:-1]]
 
 
 _scorers: dict[str, _Scorer] = {}

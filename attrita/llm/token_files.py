@@ -31,6 +31,7 @@ import os
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
@@ -40,12 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from attrita.llm.common import shuffle_width, text_groups
+from attrita.llm.common import Recent, shuffle_width, text_groups
 from attrita.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_UNITS = 250_000
+#: Units that a worker remembers (a generation).
+CACHED_UNITS = 200_000
 _NO_ID = -(1 << 63)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s|^\s|\s\Z")
@@ -77,7 +79,7 @@ class UnitEncoder:
 
     def __init__(self, file: str):
         self.tokenizer, self.kind = _tokenizer(file), id_type(file)
-        self.known: dict[str, bytes] = {}
+        self.known = Recent(CACHED_UNITS)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -87,16 +89,14 @@ class UnitEncoder:
             head, *rest = text.split(" ")
         return [head, *[" " + u for u in rest]]
 
+    def _fresh(self, units: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(units), 10_000):
+            for e in self.tokenizer.encode_batch(units[i:i + 10_000], add_special_tokens=False):
+                yield np.array(e.ids, dtype=self.kind).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHED_UNITS:
-            known.clear()
         cut = [self.units(t) if t else [] for t in texts]
-        fresh = list({u for units in cut for u in units if u not in known})
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i:i + 10_000]
-            for u, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, dtype=self.kind).tobytes()
+        known = self.known.hold({u for units in cut for u in units}, self._fresh)
         return [b"".join(map(known.__getitem__, units)) for units in cut]
 
 

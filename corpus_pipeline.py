@@ -1,12 +1,68 @@
-"""The training-data pipeline over ``documents``: five operators in a row."""
+"""The training-data pipeline over ``documents``: five operators in a row.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before kept; its result is written and read again as the next one's ``docs``:
+
+1. quality: documents that the classifier rejects go;
+2. near_duplicates: of the documents that links of the n-gram Jaccard join tie
+   together one stays, that with the smallest doc_id;
+3. decontamination: documents that hold a benchmark item go;
+4. secrets: each secret that is not a widely copied example is replaced by
+   ``[SECRET]`` (n_chars follows);
+5. tokens: BPE ids of every text, with the digests of ids and decoded text.
+
+Edge cases: doc_ids are taken to be unique; of rows that repeat one, the near
+duplicate stage keeps one.  A row without doc_id can't be compared and is kept
+there.  Null and empty texts pass stages 2 to 4 unchanged.  Extra columns are
+carried through stages 1 to 4.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attrita.llm import bpe_stream, decontaminate, ngram_jaccard, quality_mil, secret_scan
+from attrita.llm.common import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_mil.keep_good(docs, quality_mil.fit(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.where("doc_id is not null")
+    groups = ngram_jaccard.ngram_jaccard_join(named)
+    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
+        docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secret_scan.redact(docs)
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars"))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("secrets", secrets), ("tokens", tokens)]
 
-STAGES: list = []
+#: A trained classifier, edit matching and BPE have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``: doc_id, ids, n_tokens, ids_sha256, decoded_sha256."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
