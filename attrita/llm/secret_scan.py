@@ -143,9 +143,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id",
-           owner_col: str = "source", mark: str = "[SECRET]") -> DataFrame:
+           owner_col: str = "source", mark: str = "[SECRET]", chars_col: str | None = None) -> DataFrame:
     """The same rows and columns, with each span that is not a widely copied
-    example replaced by ``mark`` (overlapping spans by one)."""
+    example replaced by ``mark`` (overlapping spans by one); ``chars_col``, if
+    given, gets the new length of the texts that change."""
     found = scan_secrets(docs, id_col, text_col, repository_col, owner_col)
     spans = (found.where("findings is not null")
              .select(id_col, "text_hash", F.filter("findings", lambda f: f["verdict"] != "example").alias("f"))
@@ -171,6 +172,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
 
     changed = rows.where("_spans is not null").select(text_col, "_spans", *names).mapInArrow(
         cut, StructType([fields[text_col], *[fields[c] for c in names]]))
+    if chars_col:
+        changed = changed.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     kept = rows.where("_spans is null")
     return kept.select(*docs.columns).unionByName(changed.select(*docs.columns))
 
