@@ -15,9 +15,11 @@ any file system come with it: each row is a run of bytes ending in a zero byte
 separator.  A partition's base in the corpus is the prefix sum of the id files'
 lengths, taken from the listing (one number per file).
 
-Encoding: a single space between two non-space characters always starts a new
-pre-token, so texts are cut there and each different unit is encoded once by
-the tokenizers library and remembered; the ids equal those of the whole text.
+Encoding: a single space before a non-space character always starts a new
+pre-token (unless it stands inside a longer run of white space: such texts are
+cut only between non-space characters), so texts are cut there and each
+different unit is encoded by the tokenizers library once while it is
+remembered; the ids equal those of the whole text.
 
 Edge cases: a null or empty text is the end id alone; repeated doc_ids stay, in
 the order of their texts' hash; ids must be integers, a null doc_id sorts first
@@ -47,10 +49,10 @@ from attrita.session import scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Units that a worker remembers (a generation).
-CACHED_UNITS = 200_000
+CACHED_UNITS = 400_000
 _NO_ID = -(1 << 63)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s|^\s|\s\Z")
+_SPACE_SPACE = re.compile(r" [^\S ]")
 
 
 def default_vocabulary() -> str:
@@ -81,23 +83,39 @@ class UnitEncoder:
         self.tokenizer, self.kind = _tokenizer(file), id_type(file)
         self.known = Recent(CACHED_UNITS)
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        if _RUN.search(text):
-            head, *rest = _CUT.split(text)
-        else:
-            head, *rest = text.split(" ")
-        return [head, *[" " + u for u in rest]]
+    def units(self, text: str) -> list[str]:
+        """The text cut at single spaces, which begin the next unit and are left out."""
+        units = text.split(" ")
+        if "" in units[1:] or _SPACE_SPACE.search(text):
+            return _CUT.split(text)
+        return units
+
+    def _one_by_one(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            yield np.array(e.ids, dtype=self.kind).tobytes()
 
     def _fresh(self, units: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(units), 10_000):
-            for e in self.tokenizer.encode_batch(units[i:i + 10_000], add_special_tokens=False):
-                yield np.array(e.ids, dtype=self.kind).tobytes()
+        """Ids of " " + unit each: a line of units is encoded at once and cut
+        at the tokens' places; units that might touch a neighbour go alone."""
+        width = np.dtype(self.kind).itemsize
+        for i in range(0, len(units), 5_000):
+            part = units[i:i + 5_000]
+            alone = [u for u in part if not u or u[0].isspace() or u[-1].isspace()]
+            held = dict(zip(alone, self._one_by_one([" " + u for u in alone]), strict=True))
+            line = [u for u in part if u not in held] if alone else part
+            e = self.tokenizer.encode(" " + " ".join(line) if line else "", add_special_tokens=False)
+            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            sizes = np.fromiter(map(len, line), dtype=np.int64, count=len(line)) + 1
+            cuts = (np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts)) * width).tolist()
+            ids = np.array(e.ids, dtype=self.kind).tobytes()
+            held.update(zip(line, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            yield from map(held.__getitem__, part)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.units(t) if t else [] for t in texts]
-        known = self.known.hold({u for units in cut for u in units}, self._fresh)
-        return [b"".join(map(known.__getitem__, units)) for units in cut]
+        heads = iter(self._one_by_one([c[0] for c in cut if c]))
+        known = self.known.hold(set().union(*[c[1:] for c in cut]), self._fresh)
+        return [next(heads) + b"".join(map(known.__getitem__, c[1:])) if c else b"" for c in cut]
 
 
 @lru_cache(maxsize=2)
