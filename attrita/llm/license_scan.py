@@ -71,7 +71,8 @@ def template_bigrams(templates) -> list[tuple[str, list[str]]]:
 
 
 def _bounds(size: int, threshold: float) -> tuple[float, float]:
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    """Sizes that can reach the threshold, a little wider than the rounding error."""
+    return size * threshold / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
