@@ -10,27 +10,32 @@ documents need no postings at all.
 Steps, all on Spark:
 
 1. every text -> sorted 64-bit shingle hashes; equal sets become one set (``key``);
-2. tokens go to hash buckets as packed blobs (8 bytes a token), where document
+2. tokens go to hash buckets as packed blobs (6 bytes a token), where document
    frequencies are counted; only tokens of two sets or more travel on, to
    their set;
 3. each set works out its prefixes; sets with no shared prefix token are done;
 4. stars: in each posting list, each member meets a few centres (the smallest
    under some hashes), never all others; pairs found under all orders are
    verified exactly, links become components;
-5. the rest: members of posting lists that still hold several components meet
-   the members of the other components (from the smaller side, deduplicated
-   over tokens, orders intersected), and are verified: no link is lost, and no
-   pair inside a component is spent on.
+5. the rest: posting lists that still hold several components are cut into
+   chunks, and chunk meets chunk: pairs from different components whose parity
+   sketches allow the similarity go on to the filters of the other orders and
+   are verified.  No link is lost, no pair inside a component is spent on, and
+   only pairs past the sketch become rows.
 
-Verification intersects the sets' shared tokens (others can't be common), so
-texts are not read again.
+A parity sketch has one bit per hash class, the parity of the set's shared
+tokens in it; the number of bits in which two sketches differ never exceeds the
+sets' symmetric difference, so the filter is exact.  Verification intersects
+the sets' shared tokens (others can't be common), so texts are not read again.
 
 Edge cases: null, empty or white-space texts have no shingles and link with
 nothing; fewer than ``width`` words make one shingle of the whole sequence;
 repeated rows and ids are kept, one output row each; a null id stays null and
 its set's component id is the smallest non-null id; extra columns are ignored.
-Keys and tokens are 64-bit hashes: the chance of any collision among a billion
-different sets is about 3 %, among 15 million (30 GB) below 1e-5.
+Keys are 64-bit hashes: the chance of any collision among a billion different
+sets is about 3 %, among 15 million (30 GB) below 1e-5.  Set sizes come from
+64-bit shingle hashes; in step 2 a token is its bucket and 48 more bits, so a
+pair of 500-shingle sets miscounts one common token with a chance below 1e-9.
 """
 
 from __future__ import annotations
@@ -49,8 +54,9 @@ from attrita.llm.common import (U, connected_components, grouped_words, map_text
 WIDTH = 4
 PERCENT = 85
 STARS = 4
-CHUNK = 1024
+CHUNK = 512
 ORDERS = 3
+SKETCH_BITS = 512
 
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
@@ -90,6 +96,16 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int = WIDT
     return map_text(docs.select(id_col, text_col), f"doc {kind}, n long, key long", work)
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(data: bytes, bucket: int) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(U) | U(bucket % (1 << 16) << 48)
+
+
 def _token_blobs(docs: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
                         ("tokens", pa.binary())])
@@ -111,7 +127,7 @@ def _token_blobs(docs: DataFrame, text_col: str, width: int, buckets: int) -> Da
                 at = slice(cuts[b], cuts[b + 1])
                 if cuts[b] < cuts[b + 1]:
                     own, counts = np.unique(owner[at], return_counts=True)
-                    rows.append((b, keys[own].tobytes(), counts.astype(np.uint32).tobytes(), tokens[at].tobytes()))
+                    rows.append((b, keys[own].tobytes(), counts.astype(np.uint32).tobytes(), _pack(tokens[at])))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema,
                                                                                         strict=True)], schema=schema)
 
@@ -126,7 +142,7 @@ def _shared_tokens(blobs: DataFrame, buckets: int) -> DataFrame:
     """Tokens that two sets or more hold, with their document frequency, packed for the sets' buckets."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = _joined(pdf["tokens"], U)
+        tokens = _unpack(b"".join(pdf["tokens"]), int(pdf["bucket"].iloc[0]))
         keys = np.repeat(_joined(pdf["keys"], np.int64), _joined(pdf["counts"], np.uint32))
         order = np.lexsort((keys, tokens))
         tokens, keys = tokens[order], keys[order]
@@ -165,16 +181,20 @@ def _prefixes(shared: DataFrame, sets: DataFrame, buckets: int, percent: int) ->
                 take = n - (percent * n + 99) // 100 + 1 - (n - int(b - a))  # the prefix beyond tokens of this set alone
                 if take > 0:
                     heads = [tokens[r[a:min(b, a + take)]].view(np.int64) for r in ranked]
-                    rows.append((owners[a], n, np.sort(tokens[ranked[0][a:b]]).tobytes(), *heads))
-        return pd.DataFrame(rows, columns=["key", "n", "tok", "p1", "p2", "p3"])
+                    own = np.sort(tokens[ranked[0][a:b]])
+                    odd = np.bincount((mix(own) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    rows.append((owners[a], n, own.tobytes(), np.packbits(odd.astype(np.uint8)).tobytes(), *heads))
+        return pd.DataFrame(rows, columns=["key", "n", "tok", "odd", "p1", "p2", "p3"])
 
     return (shared.groupBy("sb").cogroup(sets.withColumn("sb", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("sb"))
-            .applyInPandas(work, "key long, n long, tok binary, p1 array<long>, p2 array<long>, p3 array<long>"))
+            .applyInPandas(work, "key long, n long, tok binary, odd binary, p1 array<long>, p2 array<long>, p3 array<long>"))
 
 
 def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by their exact intersection."""
-    side = lambda c: live.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("tok").alias(f"t{c}"))
+    """The pairs (a, b) that share a prefix token under the other orders too and reach the similarity exactly."""
+    others = [f"p{k}" for k in range(2, ORDERS + 1)]
+    side = lambda c: live.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("tok").alias(f"t{c}"),
+                                 *[F.col(p).alias(p + c) for p in others])
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -192,8 +212,10 @@ def _verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(keep)), col["b"].filter(pa.array(keep))],
                                              schema=schema)
 
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return rows.where(near).mapInArrow(run, "a long, b long")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    for p in others:
+        near = near & F.arrays_overlap(p + "a", p + "b")
+    return rows.where(near).select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _postings(live: DataFrame) -> DataFrame:
@@ -215,29 +237,42 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
             .where(F.col("orders") == 2 ** (ORDERS + 1) - 2).select("a", "b"))
 
 
-def _across(posts: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
+def _across(posts: DataFrame, comps: DataFrame, live: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between different components, each once."""
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    known = comps.join(sizes, "comp").select(F.col("v").alias("key"), F.struct("size", "comp").alias("c"))
-    p = posts.join(known, "key", "left").select(
-        "key", "k", "token", F.coalesce("c", F.struct(F.lit(1).cast("long").alias("size"), F.col("key").alias("comp"))).alias("c"))
-    lists = p.groupBy("k", "token").agg(F.min("c").alias("low"), F.max("c").alias("high"),
-                                        F.count(F.lit(1)).alias("members")).where("low < high")
-    mixed = written(p.join(lists, ["k", "token"]), "mixed")
-    most = mixed.agg(F.max("members")).first()[0]
-    chunks = -(-(most or 1) // CHUNK)
-    held = mixed.groupBy("k", "token", F.col("c").alias("cz"), F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("chunk")).agg(
-        F.collect_list("key").alias("keys"))
-    seekers = mixed.where("c < high").select("k", "token", F.col("key").alias("y"), "c")
-    met = seekers.join(held, ["k", "token"]).where("c < cz")
-    found = met.groupBy("y", "cz", "chunk").agg(*[
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("k") == k, F.col("keys"))))).alias(f"z{k}")
-        for k in range(1, ORDERS + 1)])
-    z = F.col("z1")
-    for k in range(2, ORDERS + 1):
-        z = F.array_intersect(z, F.col(f"z{k}"))
-    pairs = found.select("y", F.explode(z).alias("z")).select(F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b"))
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    p = (posts.where("k = 1").select("token", "key").join(comps.select(F.col("v").alias("key"), "comp"), "key", "left")
+         .withColumn("comp", F.coalesce("comp", "key")))
+    lists = p.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                   F.count(F.lit(1)).alias("members")).where("low < high").select("token", "members")
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / CHUNK))
+    own = live.select("key", "n", (F.col("n") - F.length("tok") / 8).cast("long").alias("alone"), "odd")
+    held = written(p.join(lists, "token").withColumn("chunk", chunk).join(own, "key")
+                   .groupBy("token", "chunk").agg(F.collect_list(F.struct("key", "comp", "n", "alone", "odd")).alias("m")), "chunks")
+    side = lambda c: held.select("token", F.col("chunk").alias(f"c{c}"), F.col("m").alias(c))
+    met = side("x").join(side("y"), "token").where("cx <= cy").select("cx", "cy", "x", "y")
+
+    def columns(members):
+        rows = members.flatten()
+        key, comp, n, alone = (rows.field(f).to_numpy() for f in ("key", "comp", "n", "alone"))
+        return key, comp, n, alone, np.frombuffer(b"".join(rows.field("odd").to_pylist()), dtype=U).reshape(len(key), -1)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kx, cx, nx, ax, ox = columns(batch.column(2).slice(i, 1))
+                ky, cy, ny, ay, oy = columns(batch.column(3).slice(i, 1))
+                a, b = [], []
+                for j in range(len(kx)):
+                    apart = np.bitwise_count(oy ^ ox[j]).sum(axis=1, dtype=np.int64) + ay + ax[j]
+                    near = ((100 - percent) * (ny + nx[j]) >= (100 + percent) * apart) & (cy != cx[j])
+                    near &= 100 * np.minimum(ny, nx[j]) >= percent * np.maximum(ny, nx[j])
+                    if near.any():
+                        a.append(np.minimum(ky[near], kx[j]))
+                        b.append(np.maximum(ky[near], kx[j]))
+                if a:
+                    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -256,17 +291,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = written(_stars(posts, percent), "stars")
     links = written(_verified(stars, live, percent), "links")
     comps = connected_components(links)
-    more = written(_verified(_across(posts, comps, stars), live, percent), "links")
+    more = written(_verified(_across(posts, comps, live, stars, percent), live, percent), "links")
     if not more.isEmpty():
         links = links.union(more)
         comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-    member = comps.select(F.col("v").alias("key"), "comp").join(degree, "key")
-    rows = table.join(member, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("least"))
-    return rows.join(least, "comp", "left").select(
+    least = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("least"))
+    known = (least.join(comps.withColumnRenamed("v", "key"), "key", "left").join(degree, "key", "left")
+             .withColumn("comp", F.coalesce("comp", "key")))
+    heads = known.groupBy("comp").agg(F.min("least").alias("component_id"))
+    known = known.join(heads, "comp").select("key", "component_id", "links")
+    return table.join(known, "key", "left").select(
         F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"),
+        F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
