@@ -111,7 +111,7 @@ def _token_blobs(docs: DataFrame, text_col: str, width: int, buckets: int) -> Da
                         ("tokens", pa.binary())])
 
     def run(batches):
-        for _, texts in text_groups(batches, 0, 8_000_000):
+        for _, texts in text_groups(batches, 0, 4_000_000):
             sets = {set_key(s): s for s in shingle_sets(texts, width) if len(s)}
             if not sets:
                 continue
