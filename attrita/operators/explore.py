@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attrita import config as C
+from attrita.operators.prefix import null_safe_join
 from attrita.functions.bins import equal_width_bin
 from attrita.functions.stats import pct, rnd
 from attrita.operators.quantile import exact_quantiles, long_values
@@ -156,7 +157,7 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
          .groupBy(*keys)
          .agg(*[rnd(F.max(F.when(F.col("prob") == p, F.col("value")))).alias(name)
                 for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
-    return moments.join(q, keys).select(*keys, *DESCRIBE_STATS)
+    return null_safe_join(moments, q, keys).select(*keys, *DESCRIBE_STATS)
 
 
 def describe_transposed(df: DataFrame, cols: list[str]) -> DataFrame:

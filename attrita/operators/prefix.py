@@ -10,7 +10,8 @@ result is exact; the approximation only shapes the buckets.
 The per-group statistics are one row per group.  For a few groups they are
 collected (the count is checked first) and inlined as literals, so no join on
 a few hot group keys - which would put each group in one task - is planned;
-for many groups they are joined on the group keys instead.
+where groups times buckets pass ``MAX_LITERALS`` they are joined on the group
+keys instead.  A NULL group is a group like any other on both ways.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 MAX_GROUPS = 256
+MAX_LITERALS = 20_000
 MIN_BUCKETS, MAX_BUCKETS = 64, 4096
 
 
@@ -84,6 +86,13 @@ def group_stats(df: DataFrame, group_cols: list[str], order_col: str, weight_col
                  *[F.sum(w).alias(f"total_{w}") for w in weight_cols]))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL meets NULL; plain equality on columns that can't be NULL."""
+    own = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if left.schema[k].nullable else F.col(k) == F.col(f"_r_{k}") for k in keys]
+    return left.join(own, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
                        weight_cols: list[str], tiebreak_cols: list[str] | None = None,
                        n_buckets: int | None = None, max_groups: int = MAX_GROUPS) -> DataFrame:
@@ -106,15 +115,15 @@ def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
     stats_df = group_stats(df, g, order_col, weight_cols, n_buckets)
     rows = stats_df.limit(max_groups + 1).collect() if g else stats_df.collect()
     v = f"CAST({_ident(order_col)} AS DOUBLE)"
-    if len(rows) <= max_groups:
+    if len(rows) <= max_groups and len(rows) * n_buckets <= max(MAX_LITERALS, n_buckets):
         bucketed = _bucket_by_literals(df, g, rows, v).select(
             *df.columns, "_bucket",
             *[group_lookup(g, rows, lambda r, w=w: sql_lit(r[f"total_{w}"])).alias(f"total_{w}")
               for w in weight_cols])
     else:
         # Many groups: fewer buckets per group suffice (the groups spread the work).
-        few = max(2, min(n_buckets, 16))
-        bucketed = (df.join(group_stats(df, g, order_col, weight_cols, few), g)
+        few = max(2, min(n_buckets, 64))
+        bucketed = (null_safe_join(df, group_stats(df, g, order_col, weight_cols, few), g)
                     .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {v}))"))
                     .drop("_bounds"))
     totals = bucketed.groupBy(*g, "_bucket").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
@@ -127,7 +136,7 @@ def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # The join on (group, bucket) hash-partitions the big side exactly as the
     # window below needs, so that one shuffle serves both.
-    return bucketed.join(offsets, g + ["_bucket"]).select(
+    return null_safe_join(bucketed, offsets, g + ["_bucket"]).select(
         *df.columns, *[F.col(f"total_{w}") for w in weight_cols],
         *[(F.col(f"_off_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weight_cols])
 
