@@ -46,7 +46,7 @@ from attrita.llm.common import Recent, map_text
 
 VOCABULARY = "word_bpe_49k.json"
 #: Units, words and token pairs that a worker remembers (a generation).
-CACHED_UNITS, CACHED_WORDS = 150_000, 200_000
+CACHED_UNITS, CACHED_WORDS = 400_000, 300_000
 CACHED_PAIRS = 500_000
 
 
@@ -182,6 +182,8 @@ class StreamingBpe:
             spec = json.load(f)
         model = spec["model"]
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        probe = [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str("Ab.,"))] if self.normalizer else []
+        self.plain = probe == ["ab", ".,"]  # letters are lower-cased, a run of marks is one pre-token
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = MergeList(model["vocab"], model["merges"], self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -192,6 +194,11 @@ class StreamingBpe:
 
     def words(self, text: str) -> Iterator[str]:
         """Pre-tokens of a text without special tokens, in the byte alphabet."""
+        if self.plain and text.isascii() and (body := text.rstrip(".,")).isalpha():
+            yield body.lower()
+            if len(body) < len(text):
+                yield text[len(body):]
+            return
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
         for word, _ in self.pre_tokenizer.pre_tokenize_str(text):
