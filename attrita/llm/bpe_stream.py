@@ -113,16 +113,22 @@ class MergeList:
         """Last token, and where it starts, of the segmentation that ends with
         the last symbol; last: the same of all positions before, (None, -1) at a
         start.  One token alone keeps apart from what stands before it."""
-        spelled = ""
-        for start in range(len(symbols) - 1, -1, -1):
-            spelled = symbols[start] + spelled
-            if spelled not in self.endings:
+        endings, tokens, apart = self.endings, self.tokens, self._apart
+        spelled, start, ends = "", len(symbols), []
+        for symbol in reversed(symbols):
+            start -= 1
+            spelled = symbol + spelled
+            if spelled not in endings:
                 break
-            token = self.tokens.get(spelled)
-            if token is None or not self.whole(token):
-                continue
+            if (token := tokens.get(spelled)) is not None:
+                ends.append((token, start))
+        for token, start in reversed(ends):  # one of them at most fits; the longest does most often
             before, at = last[start]
-            if at != -2 and (before is None or self.apart(before, token)):
+            if at == -2:
+                continue
+            if (fits := self.whole(token) if before is None else apart.get((before, token))) is None:
+                fits = self.apart(before, token)
+            if fits:
                 return token, start
         return None, -2  # a symbol that the vocabulary lacks
 
@@ -169,6 +175,19 @@ class Transducer:
     def finish(self) -> list[str]:
         return self._emit(len(self.symbols))
 
+    def short(self, symbols: list[str]) -> list[str]:
+        """All tokens of a whole stream that ends before any could be emitted early."""
+        step = self.m.step
+        for symbol in symbols:
+            self.symbols.append(symbol)
+            self.last.append(step(self.symbols, self.last))
+        self.held = max(self.held, len(symbols))
+        out, at = [], len(symbols)
+        while at > 0:
+            token, at = self.last[at]
+            out.append(token)
+        return out[::-1]
+
 
 class StreamingBpe:
     """A tokenizer file's encoding and decoding."""
@@ -207,6 +226,10 @@ class StreamingBpe:
     def encode_word(self, word: str) -> Iterator[int]:
         vocab, end = self.merges.vocab, len(word) - 1
         stream = Transducer(self.merges)
+        if end < 2 * self.merges.longest:
+            for token in stream.short([*word[:-1], word[-1:] + self.suffix]):
+                yield vocab[token]
+            return
         for i, c in enumerate(word):
             for token in stream.push(c + self.suffix if i == end else c):
                 yield vocab[token]
@@ -240,30 +263,33 @@ class StreamingBpe:
             yield machine.decode(b"".join(bytes([self.bytes[c]]) for c in body)) + (" " if ends else "")
         yield machine.decode(b"", final=True)
 
-    def _word_ids(self, words: list[str]) -> Iterator[list[int]]:
-        for w in words:
-            yield list(self.encode_word(w))
-
-    def _unit(self, unit: str) -> tuple[bytes, str, str]:
-        """Ids as little-endian 32-bit integers, decimal ids, token text of a white-space unit."""
-        if self.cut and self.cut.search(unit):
-            ids = list(self.encode(unit))
-        else:
-            words = list(self.words(unit))
-            held = self.known_words.hold(words, self._word_ids)
-            ids = [i for w in words for i in held[w]]
+    @staticmethod
+    def _joined(parts: list[tuple[bytes, str, str]]) -> tuple[bytes, str, str]:
+        data, ids, spelled = zip(*parts, strict=True) if parts else ((), (), ())
+        return b"".join(data), " ".join(filter(None, ids)), " ".join(filter(None, spelled))
+
+    def _record(self, ids: list[int]) -> tuple[bytes, str, str]:
+        """Ids as little-endian 32-bit integers, decimal ids, token text."""
         return array("i", ids).tobytes(), " ".join(map(str, ids)), self.token_text(ids)
 
+    def _units(self, units: list[str]) -> Iterator[tuple[bytes, str, str]]:
+        """The records of white-space units."""
+        special = {u for u in units if self.cut.search(u)} if self.cut else set()
+        split = [[] if u in special else list(self.words(u)) for u in units]
+        held = self.known_words.hold({w for words in split for w in words},
+                                     lambda fresh: (self._record(list(self.encode_word(w))) for w in fresh))
+        for unit, words in zip(units, split, strict=True):
+            if unit in special:
+                yield self._record(list(self.encode(unit)))
+            else:
+                yield held[words[0]] if len(words) == 1 else self._joined([held[w] for w in words])
+
     def coded(self, texts: list[str | None]) -> list[tuple[bytes, str, str]]:
         """Per text: its ids as 32-bit integers, the decimal ids and the token
         text, each unit worked out once while it is remembered."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        held = self.known.hold({u for units in cut for u in units}, lambda fresh: map(self._unit, fresh))
-        out = []
-        for units in cut:
-            parts = [p for u in units if (p := held[u])[0]]
-            out.append((b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
-        return out
+        held = self.known.hold(set().union(*cut), self._units)
+        return [self._joined([held[u] for u in units]) for units in cut]
 
     def digests(self, texts: list[str | None]) -> list[tuple[bytes, int, str, str]]:
         """Per text: ids as 32-bit integers, n_tokens, sha256 of the decimal ids, sha256 of the token text."""
