@@ -149,10 +149,12 @@ TOTAL_INVESTMENT_M = 0.7         # all clusters, $M
 # FIXED VALUES: explanation bands (contribution by band)
 # --------------------------------------------------------------------------
 
-# Age bands: < 30, 30-45, 45-60, > 60 (upper bounds exclusive, last open).
+# (upper bound, label): bounds are exclusive, but for the last one: the open
+# band after it starts above it.  Age bands: < 30, 30-45, 45-60, > 60.
 EXPLAIN_AGE_BANDS = [(30, "<30"), (45, "30-45"), (60, "45-60"), (None, ">60")]
-# Balance bands: 0, < 50k, 50k-100k, 100k-150k, >= 150k.
-EXPLAIN_BALANCE_BANDS = [(50000, "<50k"), (100000, "50k-100k"), (150000, "100k-150k"), (None, ">=150k")]
+# Balance bands: 0, 1-50k, 50k-150k, > 200k; 150k-200k, for which no figure is
+# given, has a label of its own.
+EXPLAIN_BALANCE_BANDS = [(50000, "1-50k"), (150000, "50k-150k"), (200000, "150k-200k"), (None, ">200k")]
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: model

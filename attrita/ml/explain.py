@@ -154,13 +154,15 @@ def contributions_by_bands(contribs: DataFrame, feats: DataFrame) -> DataFrame:
 
 
 def _bands(col: str, bands: list, zero_label: str | None = None) -> F.Column:
+    """Band label of ``col``; a NULL or NaN value has none."""
     c = F.col(col)
-    expr = F.when(c == 0, F.lit(zero_label)) if zero_label is not None else None
-    for upper, label in bands:
-        if upper is None:
-            return expr.otherwise(F.lit(label)) if expr is not None else F.lit(label)
-        expr = F.when(c < upper, F.lit(label)) if expr is None else expr.when(c < upper, F.lit(label))
-    return expr
+    known = c.isNotNull() & ~F.isnan(c.cast("double"))
+    expr = F.when(~known, F.lit(None).cast("string"))
+    if zero_label is not None:
+        expr = expr.when(c == 0, F.lit(zero_label))
+    for (upper, label), (beyond, _) in zip(bands[:-1], bands[1:], strict=True):
+        expr = expr.when(c <= upper if beyond is None else c < upper, F.lit(label))
+    return expr.otherwise(F.lit(bands[-1][1]))
 
 
 def age_band() -> F.Column:

@@ -64,9 +64,8 @@ def classifier(kind: str = "gbt", **params):
         p.update(params)
         return GBTClassifier(labelCol=LABEL, featuresCol="features", **p)
     if kind == "lr":
-        # Convergence tolerance of the usual single-node logistic regression
-        # baseline (1e-4); Spark's default 1e-6 only adds iterations (jobs).
-        p = dict(maxIter=100, tol=1e-4)
+        # ``tol`` is a parameter; unset, Spark's default (1e-6) holds.
+        p = dict(maxIter=100)
         p.update(params)
         return LogisticRegression(labelCol=LABEL, featuresCol="scaled", **p)
     if kind == "rf":
@@ -97,6 +96,7 @@ class TrainedModel:
     median_balance: float
     fit_seconds: float
     columns: list[str] = field(default_factory=feature_inputs)
+    skipped_rows: int = 0
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path + "/model")
@@ -151,17 +151,24 @@ def sized_for_training(df: DataFrame, rows_per_partition: int = 10_000) -> DataF
 
 def train_model(profile: DataFrame, kind: str = "gbt", test_fraction: float = C.TEST_FRACTION,
                 feats: DataFrame | None = None, median: float | None = None, **params) -> tuple[TrainedModel, DataFrame]:
-    """M3: fit on the training split; returns the model and the split feature table."""
+    """M3: fit on the training split; returns the model and the split feature table.
+
+    A training row with a NULL or NaN label or input (a malformed field, an age
+    outside every bin) can't be fitted and is left out of the fit;
+    ``TrainedModel.skipped_rows`` has the count.  The feature table keeps it."""
     if feats is None:
         feats, median = split_features(profile, test_fraction)
-    train = sized_for_training(feats.where(F.col("split") == "train"), ROWS_PER_TRAINING_PARTITION.get(kind, 10_000))
+    rows = feats.where(F.col("split") == "train")
+    usable = rows.dropna(subset=[LABEL, *NUMERIC_INPUTS, *ENGINEERED_COLUMNS, *CATEGORICAL_INPUTS])
+    train = sized_for_training(usable, ROWS_PER_TRAINING_PARTITION.get(kind, 10_000))
     try:
         t = time.time()
         model = build_pipeline(kind, **params).fit(train)
         secs = time.time() - t
+        skipped = rows.count() - train.count()
     finally:
         train.unpersist()
-    return TrainedModel(kind, model, median, secs), feats
+    return TrainedModel(kind, model, median, secs, skipped_rows=skipped), feats
 
 
 def probability_column(kind: str) -> F.Column:

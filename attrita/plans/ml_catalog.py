@@ -1,7 +1,6 @@
 """Named ML and streaming queries: (spark, sf_dir) -> DataFrame, no SQL twin.
 
-Models here use fewer trees than the library defaults (20 instead of 100) so
-the driver's checks stay quick; ``attrita.ml.models`` keeps the full settings.
+Models have the library's full settings (100 trees).
 Fitted models are memoised per session and folder, so queries that share a
 model (scores, importance, leaderboard) fit it once.
 """
@@ -19,13 +18,12 @@ from attrita.operators import rules as ru
 from attrita.operators import segments as sg
 from attrita.operators.features import engineer_features
 
-QUERY_TREES = 20
 GEO = C.TEST_HIGH_RISK_REGION
 _MEMO: dict = {}
 
 
 def _memo(spark, sf_dir, what, make):
-    key = (id(spark), sf_dir, what)
+    key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _MEMO:
         _MEMO[key] = make()
     return _MEMO[key]
@@ -37,9 +35,8 @@ def _profile(spark, sf_dir) -> DataFrame:
 
 
 def _trained(spark, sf_dir, kind="gbt"):
-    params = {"gbt": dict(maxIter=QUERY_TREES), "rf": dict(numTrees=QUERY_TREES)}.get(kind, {})
     return _memo(spark, sf_dir, ("model", kind),
-                 lambda: md.train_model(_profile(spark, sf_dir), kind, **params))
+                 lambda: md.train_model(_profile(spark, sf_dir), kind))
 
 
 def _segmentation(spark, sf_dir):
@@ -72,8 +69,7 @@ def q_gbt_test_metrics(spark, sf_dir):
 
 def q_model_leaderboard(spark, sf_dir):
     """M7-M9, M11, M12."""
-    return md.leaderboard(_profile(spark, sf_dir),
-                          params={"gbt": dict(maxIter=QUERY_TREES), "rf": dict(numTrees=QUERY_TREES)})
+    return md.leaderboard(_profile(spark, sf_dir))
 
 
 def q_feature_importance(spark, sf_dir):
