@@ -1,168 +1,55 @@
 """Running totals over a globally ordered key, without a single-task window.
 
 A window ``ORDER BY key`` with no PARTITION BY sends every row to one task.
-Here one aggregate pass finds, per group, approximate quantiles of the key;
-they cut the key range into buckets.  A small per-bucket total table gives each
-bucket its offset, and the running sum runs inside ``PARTITION BY (group,
-bucket)`` windows, so the work spreads over groups x buckets tasks.  The
-result is exact; the approximation only shapes the buckets.
-
-The per-group statistics are one row per group.  For a few groups they are
-collected (the count is checked first) and inlined as literals, so no join on
-a few hot group keys - which would put each group in one task - is planned;
-where groups times buckets pass ``MAX_LITERALS`` they are joined on the group
-keys instead.  A NULL group is a group like any other on both ways.
+Here the rows are range-partitioned by (group, key): each partition, called a
+bucket, holds one stretch of the global order, and a group with many rows
+spreads over many buckets.  The rows are written with their bucket number, so
+a recomputed task can't cut the ranges differently.  Each (group, bucket) pair
+has one total, at most groups + buckets rows in all, from which the offset of
+each bucket follows; the running sum itself runs inside ``PARTITION BY (group,
+bucket)`` windows.  The result is exact; the ranges only shape the buckets.
+A NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUPS = 256
-MAX_LITERALS = 20_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 4096
-
-
-def default_buckets(spark) -> int:
-    """Buckets per group: a few per core of the cluster, so the running-sum
-    windows keep every core busy (64 on a laptop, 4096 on 1000+ cores)."""
-    par = spark.sparkContext.defaultParallelism
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * par)))
-
-
-def sql_lit(v) -> str:
-    """A SQL literal for a Python value (doubles round-trip exactly via repr)."""
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return "TRUE" if v else "FALSE"
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "CAST('NaN' AS DOUBLE)"
-        if math.isinf(v):
-            return f"CAST('{'-' if v < 0 else ''}Infinity' AS DOUBLE)"
-        return f"{v!r}D"
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def sql_array(values: list[float]) -> str:
-    return "array(" + ", ".join(sql_lit(float(x)) for x in values) + ")" if values \
-        else "CAST(array() AS ARRAY<DOUBLE>)"
-
-
-def _ident(c: str) -> str:
-    return "`" + c.replace("`", "``") + "`"
-
+from attrita.sources.sinks import materialize
 
-def group_lookup(group_cols: list[str], rows: list[Row], value) -> Column:
-    """CASE over the collected group rows; ``value(row)`` is a SQL expression.
 
-    Built as one SQL string, so a lookup over many groups and long literal
-    arrays costs one call into the JVM rather than one per literal.
-    """
-    if not rows:
-        return F.expr("NULL")
-    if not group_cols:
-        return F.expr(value(rows[0]))
-    parts = []
-    for r in rows:
-        cond = " AND ".join(f"{_ident(c)} IS NULL" if r[c] is None else f"{_ident(c)} = {sql_lit(r[c])}"
-                            for c in group_cols)
-        parts.append(f"WHEN {cond} THEN {value(r)}")
-    return F.expr("CASE " + " ".join(parts) + " END")
-
-
-def group_stats(df: DataFrame, group_cols: list[str], order_col: str, weight_cols: list[str],
-                n_buckets: int) -> DataFrame:
-    """Per group: bucket bounds (approximate quantiles) and each weight's total."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    return (df.groupBy(*group_cols)
-            .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("_bounds"),
-                 *[F.sum(w).alias(f"total_{w}") for w in weight_cols]))
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys`` where NULL meets NULL; plain equality on columns that can't be NULL."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL meets NULL; plain equality on columns that can't be NULL."""
     own = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if left.schema[k].nullable else F.col(k) == F.col(f"_r_{k}") for k in keys]
-    return left.join(own, on).drop(*[f"_r_{k}" for k in keys])
+    return left.join(own, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def ordered_cumulative(df: DataFrame, group_cols: list[str], order_col: str,
                        weight_cols: list[str], tiebreak_cols: list[str] | None = None,
-                       n_buckets: int | None = None, max_groups: int = MAX_GROUPS) -> DataFrame:
+                       n_buckets: int | None = None) -> DataFrame:
     """Add ``cum_<w>`` (the sum of ``w`` over rows of the same group up to and
     including this row, ordered by ``order_col`` then ``tiebreak_cols``) and
     ``total_<w>`` (the group's total) to every row.
 
-    ``order_col`` must be non-null and numeric.  Equal order values always
-    share a bucket, so ties are ordered by the tiebreak columns alone.
-
-    Up to ``max_groups`` groups, the per-group statistics (one row per group)
-    are collected and inlined as literals: no join on a few hot group keys.
-    With more groups they stay a DataFrame joined on the group keys - each
-    group is then small on average, AQE broadcasts the statistics when their
-    measured size allows, and its skew-join handling splits a hot group.
+    ``n_buckets`` defaults to the session's shuffle partitions.  Rows that are
+    equal in group, order and tiebreak columns share a bucket, in any order.
     """
-    tiebreak_cols = tiebreak_cols or []
     g = list(group_cols)
-    n_buckets = n_buckets or default_buckets(df.sparkSession)
-    stats_df = group_stats(df, g, order_col, weight_cols, n_buckets)
-    rows = stats_df.limit(max_groups + 1).collect() if g else stats_df.collect()
-    v = f"CAST({_ident(order_col)} AS DOUBLE)"
-    if len(rows) <= max_groups and len(rows) * n_buckets <= max(MAX_LITERALS, n_buckets):
-        bucketed = _bucket_by_literals(df, g, rows, v).select(
-            *df.columns, "_bucket",
-            *[group_lookup(g, rows, lambda r, w=w: sql_lit(r[f"total_{w}"])).alias(f"total_{w}")
-              for w in weight_cols])
-    else:
-        # Many groups: fewer buckets per group suffice (the groups spread the work).
-        few = max(2, min(n_buckets, 64))
-        bucketed = (null_safe_join(df, group_stats(df, g, order_col, weight_cols, few), g)
-                    .withColumn("_bucket", F.expr(f"size(filter(_bounds, b -> b < {v}))"))
-                    .drop("_bounds"))
+    order = [order_col, *(tiebreak_cols or [])]
+    ranged = df.repartitionByRange(*([n_buckets] if n_buckets else []), *g, *order)
+    bucketed = materialize(ranged.withColumn("_bucket", F.spark_partition_id()), "ordered")
     totals = bucketed.groupBy(*g, "_bucket").agg(*[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
-    before = (Window.partitionBy(*g).orderBy("_bucket") if g else Window.orderBy("_bucket")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    # groups x buckets rows: small, so this window is cheap even when unpartitioned.
-    offsets = totals.select(*g, "_bucket", *[F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0))
-                                              .alias(f"_off_{w}") for w in weight_cols])
-    run = (Window.partitionBy(*g, "_bucket").orderBy(order_col, *tiebreak_cols)
+    # A group has one row per bucket that it reaches, so these windows are small.
+    whole = Window.partitionBy(*g)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *g, "_bucket",
+        *[F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weight_cols],
+        *[F.sum(f"_tot_{w}").over(whole).alias(f"total_{w}") for w in weight_cols])
+    run = (Window.partitionBy(*g, "_bucket").orderBy(*order)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # The join on (group, bucket) hash-partitions the big side exactly as the
-    # window below needs, so that one shuffle serves both.
     return null_safe_join(bucketed, offsets, g + ["_bucket"]).select(
         *df.columns, *[F.col(f"total_{w}") for w in weight_cols],
         *[(F.col(f"_off_{w}") + F.sum(w).over(run)).alias(f"cum_{w}") for w in weight_cols])
-
-
-def _bucket_by_literals(df: DataFrame, g: list[str], rows: list[Row], v: str) -> DataFrame:
-    """Bucket index from per-group literal bounds, by a two-level search: the
-    coarse boundaries (every fan-th) pick a slice, the slice's own boundaries
-    finish the count - about 2 sqrt(B) comparisons per row instead of B, and
-    the result equals #{boundaries < v}."""
-    k = max((len(r["_bounds"] or []) for r in rows), default=0)
-    fan = max(1, math.isqrt(k + 1))
-
-    def coarse_of(r: Row) -> str:
-        bounds = [float(b) for b in (r["_bounds"] or [])]
-        coarse = bounds[fan - 1::fan]
-        return f"size(filter({sql_array(coarse)}, b -> b < {v}))" if coarse else "0"
-
-    def bucket_of(r: Row) -> str:
-        bounds = [float(b) for b in (r["_bounds"] or [])]
-        if not bounds:
-            return "0"
-        n_coarse = len(bounds[fan - 1::fan])
-        slices = "array(" + ", ".join(sql_array(bounds[c * fan: c * fan + fan - 1])
-                                      for c in range(n_coarse + 1)) + ")"
-        return f"_coarse * {fan} + size(filter(element_at({slices}, _coarse + 1), b -> b < {v}))"
-
-    return (df.withColumn("_coarse", group_lookup(g, rows, coarse_of))
-            .withColumn("_bucket", group_lookup(g, rows, bucket_of))
-            .drop("_coarse"))

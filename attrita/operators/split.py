@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrita import config as C
-from attrita.operators.prefix import ordered_cumulative
+from attrita.operators.broadcast import bounded_broadcast
+from attrita.operators.prefix import null_safe_join, ordered_cumulative
+from attrita.sources.sinks import materialize
 
 LEHMER_A = 48271
 LEHMER_M = 2147483647
+MAX_BROADCAST_CLASSES = 10_000      # cut rows, one a class; more are joined by a shuffle
 
 
 def split_hash(key: str) -> Column:
@@ -29,11 +32,20 @@ def split_hash(key: str) -> Column:
 
 def stratified_split(df: DataFrame, key: str = "customer_id", label: str = "exited",
                      test_fraction: float = C.TEST_FRACTION) -> DataFrame:
-    """``df`` plus ``split`` in {"train", "test"}, exactly stratified by ``label``."""
-    cols = df.columns
-    h = df.withColumn("_h", split_hash(key)).withColumn("_one", F.lit(1))
-    ranked = ordered_cumulative(h, [label], "_h", ["_one"], tiebreak_cols=[key])
+    """``df`` plus ``split`` in {"train", "test"}, exactly stratified by ``label``.
+
+    Only (label, position, key) is ranked; the last test position of each class
+    then decides for its rows, so the full rows are not shuffled.  Rows that
+    repeat a key within a class fall on the same side.  A row without key has
+    no position and trains."""
+    h = split_hash(key)
+    narrow = df.where(F.col(key).isNotNull()).select(label, h.alias("_h"), F.col(key).alias("_k"),
+                                                     F.lit(1).alias("_one"))
+    ranked = ordered_cumulative(narrow, [label], "_h", ["_one"], tiebreak_cols=["_k"])
     pct = int(round(test_fraction * 100))      # ceil(n * pct / 100) in integers
     n_test = F.floor((F.col("total__one") * F.lit(pct) + F.lit(99)) / F.lit(100))
-    return ranked.select(*cols, F.when(F.col("cum__one") <= n_test, F.lit("test"))
-                         .otherwise(F.lit("train")).alias("split"))
+    cuts = materialize(ranked.where(F.col("cum__one") == n_test)
+                       .select(label, F.struct("_h", "_k").alias("_cut")), "split-cuts")
+    placed = null_safe_join(df, bounded_broadcast(cuts, MAX_BROADCAST_CLASSES), [label], "left")
+    in_test = F.col(key).isNotNull() & (F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_cut"))
+    return placed.select(*df.columns, F.when(in_test, F.lit("test")).otherwise(F.lit("train")).alias("split"))

@@ -241,6 +241,10 @@ def q_inactivity_alerts(spark, sf_dir):
     return act.inactivity_alerts(act.load_events(spark, sf_dir), INACTIVITY_DAYS)
 
 
+def q_inactivity_silences(spark, sf_dir):
+    return act.inactivity_silences(act.load_events(spark, sf_dir), INACTIVITY_DAYS)
+
+
 def q_weekly_activity(spark, sf_dir):
     return act.weekly_activity(act.load_events(spark, sf_dir))
 
@@ -288,5 +292,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratified_split": q_stratified_split,
     "split_counts": q_split_counts,
     "inactivity_alerts": q_inactivity_alerts,
+    "inactivity_silences": q_inactivity_silences,
     "weekly_activity": q_weekly_activity,
 }

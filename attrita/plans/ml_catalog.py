@@ -163,7 +163,7 @@ def q_stream_weekly_activity(spark, sf_dir):
 
 
 def q_stream_inactivity_alerts(spark, sf_dir):
-    """T2 as a stateful stream (event-time timeouts)."""
+    """T2 as a stream (session windows with a watermark)."""
     from attrita.streaming.monitor import replay_inactivity_alerts
     return replay_inactivity_alerts(spark, sf_dir, 1.0)
 

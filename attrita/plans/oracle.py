@@ -408,6 +408,24 @@ FROM l GROUP BY "column", statistic""")
 EVENTS_AS_OF = "(SELECT max(ts) FROM events)"
 
 
+# T3
+WEEKLY = """
+SELECT user_id, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01 00:00:00') AS week_start,
+       count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+       round(sum(value), 6) AS total_value
+FROM events GROUP BY ALL"""
+
+# Silences of more than a day that reached it a day before the newest event (in whole milliseconds).
+SILENCES = """
+WITH e AS (SELECT user_id, ts, epoch_us(ts) AS t, epoch_us(lead(ts) OVER w) AS next,
+                  row_number() OVER w AS k
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ends AS (SELECT *, k - coalesce(lag(k) OVER (PARTITION BY user_id ORDER BY k), 0) AS events
+         FROM e WHERE next IS NULL OR next - t > 86400000000)
+SELECT user_id, ts AS last_event, CAST(events AS BIGINT) AS events, ts + INTERVAL 1 DAY AS alert_at
+FROM ends WHERE t + 86400000000 <= (SELECT max(t) // 1000 * 1000 FROM e) - 86400000000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "customer_profile": _with(PROFILE, "\nSELECT * FROM profile"),
@@ -527,9 +545,8 @@ SELECT user_id, max(ts) AS last_event, count(*) AS events,
        round((epoch_us({EVENTS_AS_OF}) - epoch_us(max(ts))) / 86400000000.0, 6) AS days_inactive,
        CAST((epoch_us({EVENTS_AS_OF}) - epoch_us(max(ts))) / 86400000000.0 >= 1.0 AS INTEGER) AS alert
 FROM events GROUP BY user_id""",
-        "weekly_activity": """
-SELECT user_id, time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01 00:00:00') AS week_start,
-       count(*) AS events, count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
-       round(sum(value), 6) AS total_value
-FROM events GROUP BY ALL""",
+        "weekly_activity": WEEKLY,
+        "stream_weekly_activity": WEEKLY,
+        "inactivity_silences": SILENCES,
+        "stream_inactivity_alerts": SILENCES,
     }

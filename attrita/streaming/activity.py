@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrita.functions.stats import rnd
@@ -50,3 +50,43 @@ def weekly_activity(events: DataFrame) -> DataFrame:
                  F.count(F.when(F.col("event_type") == "purchase", 1)).alias("purchases"),
                  rnd(F.sum("value")).alias("total_value"))
             .select("user_id", F.col("w.start").alias("week_start"), "events", "purchases", "total_value"))
+
+
+def utc_instant(ts: Column) -> Column:
+    """A zone-less time as the instant it names in UTC, whatever the session zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts))
+
+
+def utc_wall_time(instant: Column) -> Column:
+    """The inverse of ``utc_instant``."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def inactivity_silences(events: DataFrame, threshold_days: float, watermark_days: float = 1.0) -> DataFrame:
+    """T2 (batch twin of the stream): per user every silence longer than
+    ``threshold_days`` that reached it by the newest event minus
+    ``watermark_days``: last event before it, events since the silence before,
+    and the time the threshold was reached.  Rows without user or time count
+    for nothing.
+
+    Events of a user within one time slot shorter than the threshold belong
+    together, so each slot is first reduced to its ends and count (combined
+    before the shuffle): a hot user's window then has one row per slot."""
+    gap = round(threshold_days * MICROS_PER_DAY)
+    instant = utc_instant(F.col("ts")) if events.schema["ts"].dataType.typeName() == "timestamp_ntz" else F.col("ts")
+    timed = events.where("user_id is not null and ts is not null").select("user_id", F.unix_micros(instant).alias("t"))
+    slots = timed.groupBy("user_id", F.floor(F.col("t") / F.lit(max(1, gap // 2))).alias("slot")).agg(
+        F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    by_user = Window.partitionBy("user_id").orderBy("slot")
+    new = F.coalesce((F.col("lo") - F.lag("hi").over(by_user) > F.lit(gap)).cast("int"), F.lit(1))
+    run = by_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sessions = (slots.withColumn("_new", new).withColumn("_session", F.sum("_new").over(run))
+                .groupBy("user_id", "_session").agg(F.max("hi").alias("hi"), F.sum("n").alias("events")))
+    # The watermark works in milliseconds.
+    newest = timed.agg(F.floor(F.max("t") / F.lit(1000)).alias("ms")).first()["ms"]
+    over = F.lit(0 if newest is None else newest * 1000 - round(watermark_days * MICROS_PER_DAY))
+    at = lambda micros: utc_wall_time(F.timestamp_micros(micros))
+    return (sessions.where(F.col("hi") + F.lit(gap) <= over)
+            .select("user_id", at(F.col("hi")).alias("last_event"), "events",
+                    at(F.col("hi") + F.lit(gap)).alias("alert_at")))

@@ -4,8 +4,8 @@ import datetime as dt
 
 import pandas as pd
 
-from attrita.streaming.activity import load_events, weekly_activity
-from attrita.streaming.monitor import inactivity_alert_stream, replay_weekly_activity
+from attrita.streaming.activity import inactivity_silences, load_events, weekly_activity
+from attrita.streaming.monitor import inactivity_alert_stream, replay_inactivity_alerts, replay_weekly_activity
 from conftest import SF001
 
 
@@ -38,3 +38,24 @@ def test_inactivity_alerts_fire_for_silent_users(spark, tmp_path):
     # Watermark = last event (day 9 02:00) - 1 day: only user 1 (silent since day 1) has timed out.
     assert set(got) == {1}
     assert got[1].events == 24 and got[1].last_event == t0 + dt.timedelta(hours=23)
+
+
+def test_silences_inside_a_batch_and_across_files(spark, tmp_path):
+    """One file, or many in time order: the stream gives the batch's rows; a gap of exactly the threshold is none."""
+    t0 = dt.datetime(2024, 1, 1)
+    day = dt.timedelta(days=1)
+    times = [(1, t0), (1, t0 + day), (1, t0 + 2 * day + dt.timedelta(microseconds=1)), (1, t0 + 7 * day),
+             (2, t0 + dt.timedelta(hours=3)), (2, t0 + 9 * day), (None, t0)]
+    rows = [(i, ts, u, "view", 1.0) for i, (u, ts) in enumerate(sorted(times, key=lambda x: x[1]))]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    folders = [str(tmp_path / n) for n in ("one", "many")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folders[0]}/events.parquet")
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{folders[1]}/events.parquet")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    batch = key(inactivity_silences(load_events(spark, folders[0]), 1.0))
+    want = [(1, t0 + day, 2), (1, t0 + 2 * day + dt.timedelta(microseconds=1), 1), (2, t0 + dt.timedelta(hours=3), 1)]
+    assert sorted(r[:3] for r in batch) == sorted(want + [(1, t0 + 7 * day, 1)])
+    assert key(replay_inactivity_alerts(spark, folders[0], 1.0)) == batch
+    assert key(replay_inactivity_alerts(spark, folders[1], 1.0, max_files=1)) == batch
+    assert key(inactivity_silences(load_events(spark, folders[0]).where("user_id = 99"), 1.0)) == []
