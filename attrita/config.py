@@ -105,14 +105,38 @@ ACTION_MEDIUM_INACTIVE = "Reactivation Focus: Digital engagement campaign, app b
 ACTION_MEDIUM_NEW = "New Customer Care: Extra attention during onboarding period, check-in calls, welcome bonus"
 MEDIUM_TENURE_UNDER = 3
 
-# Static plan per risk level: (level, plan, timeframe, expected outcome,
-# investment, roi numerator/denominator).  ROI = (LTV - cost) / cost.
+# Plan per risk level: (level, plan, timeframe, steps, expected outcome,
+# investment, cost for the ROI).  ROI = (LTV - cost) / cost.
 RISK_PLANS = [
-    ("HIGH", "Immediate retention intervention", "Within 24 hours",
+    ("HIGH", "URGENT ACTION REQUIRED - High Risk Customer", "Within 24 hours",
+     ["Priority 1: Personal Contact - Call from senior relationship manager; "
+      "Schedule face-to-face meeting if possible; Address concerns and gather detailed feedback; "
+      "Executive escalation path if needed",
+      "Priority 2: Retention Package - Waive all fees for 12 months (value: $300); "
+      "Offer 0.5% interest rate boost on savings; Complimentary premium services for 6 months; "
+      "Special deals on loans/mortgages if applicable",
+      "Priority 3: Issue Resolution - Fast-track any pending issues/complaints; "
+      "Assign dedicated customer success manager; Weekly check-ins for next 3 months; "
+      "VIP customer status and priority support"],
      "Retention Probability: 70-80%", "$500-800", 800),
-    ("MEDIUM", "Proactive engagement", "Within 1 week",
+    ("MEDIUM", "PROACTIVE ENGAGEMENT RECOMMENDED - Medium Risk", "Within 1 week",
+     ["Step 1: Personalized Communication - Send customized email highlighting unused benefits; "
+      "Showcase relevant products based on profile; Include exclusive offer (e.g., cashback promotion); "
+      "Provide direct contact to relationship manager",
+      "Step 2: Engagement Campaign - Invite to exclusive banking webinar; "
+      "Offer free financial planning consultation; Provide mobile app tutorial and perks; "
+      "Exclusive access to new features/products",
+      "Step 3: Feedback Loop - Send satisfaction survey with incentive; Monitor account activity weekly; "
+      "Alert if behavior signals increase risk; Monthly touchpoint emails"],
      "Retention Improvement: 15-20%", "$100-200", 200),
-    ("LOW", "Optimization and loyalty", "Quarterly",
+    ("LOW", "MAINTAIN & GROW RELATIONSHIP - Low Risk", "Quarterly",
+     ["Opportunity 1: Upselling - Recommend additional products (investment, insurance); "
+      "Offer premium credit card upgrade; Propose wealth management services; Higher tier account benefits",
+      "Opportunity 2: Loyalty Program - Enroll in VIP rewards program; Provide exclusive partner discounts; "
+      "Offer referral bonuses ($100 per referral); Recognition for long-term loyalty",
+      "Opportunity 3: Regular Touchpoints - Quarterly check-in emails; Birthday/anniversary recognition; "
+      "Proactive service updates; Financial planning reviews"],
+     "Additional Revenue: $5,000-10,000/year | Referrals: 1-2 new customers | LTV Increase: 15-20% | "
      "Retention: >95%", "", None),
 ]
 
@@ -140,6 +164,36 @@ STRATEGIES = [
     (2, "Premium Services — Medium Priority", "Medium", 20, 10, "Medium-High", 0.10),
     (3, "Loyalty & Upselling — Maintain & Grow", "Low", 10, 5, "High (Long-term)", 0.05),
 ]
+# Description and actions per risk rank.
+STRATEGY_DESCRIPTIONS = [
+    "Highest churn cluster. Likely disengaged or inactive customers who are at serious risk of leaving.",
+    "Second-highest churn cluster. Moderate engagement; targeted outreach can significantly improve retention.",
+    "Stable and mostly engaged customers. Worth investing in to deepen relationship and increase product holdings.",
+    "Lowest churn cluster — loyal, satisfied customers. Focus on retention and growing wallet share.",
+]
+STRATEGY_ACTIONS = [
+    ["Immediate: Personal call from a senior relationship manager",
+     "Fast Resolution: Address all pending issues and complaints immediately",
+     "Retention Package: Fee waivers for 6–12 months",
+     "Special Rates: Preferential interest rates on savings and loans",
+     "Dedicated Support: Priority customer support line",
+     "Relationship Building: Quarterly check-ins, VIP status, exclusive events"],
+    ["Personalised email / SMS campaigns based on usage patterns",
+     "Product cross-sell and upsell opportunities",
+     "Loyalty points and cashback programmes",
+     "Financial health check-ups and advisory sessions",
+     "Bundled product discounts and incentives"],
+    ["Private banking / wealth management invitations",
+     "Premium credit cards with exclusive perks",
+     "Tailored investment portfolio recommendations",
+     "Travel and lifestyle benefits",
+     "Digital banking feature enhancements"],
+    ["Offer premium investment and savings products",
+     "Cashback programmes and exclusive partner discounts",
+     "Credit limit increases and card upgrades",
+     "Referral bonuses for bringing new customers",
+     "Fee reductions for long-term loyalty"],
+]
 # The save rates in whole percent, for exact integer arithmetic.
 STRATEGY_SAVE_PCT = [int(round(rate * 100)) for *_, rate in STRATEGIES]
 CAMPAIGN_INVESTMENT_M = 0.28     # top-cluster campaign, $M

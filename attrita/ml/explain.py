@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.functions.stats import rnd
-from attrita.ml.models import LABEL, TrainedModel, feature_inputs, score
+from attrita.ml.models import CATEGORICAL_INPUTS, LABEL, TrainedModel, feature_inputs, score
 from attrita.operators.evaluation import roc_auc
 from attrita.operators.prefix import ordered_cumulative
 from attrita.operators.split import split_hash
@@ -45,7 +45,12 @@ def tree_importance(trained: TrainedModel, feats: DataFrame) -> DataFrame:
     names = expanded_feature_names(trained, feats)
     imp = model.featureImportances.toArray().tolist()
     spark = feats.sparkSession
-    df = spark.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double")
+    return cumulative_importance(
+        spark.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double"))
+
+
+def cumulative_importance(df: DataFrame) -> DataFrame:
+    """O1 + W3 over (feature, importance), one row per feature."""
     order = Window.orderBy(F.desc("importance"), "feature")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("importance").over(Window.partitionBy())
@@ -71,7 +76,7 @@ def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: lis
     explode makes a variant per permuted column, one scoring pass scores them
     all, and the exact AUC is computed per permuted column (grouped).
     """
-    columns = columns or [c for c in feature_inputs() if not c.endswith("_vec")]
+    columns = columns or [c for c in feature_inputs() if not c.endswith("_vec")] + CATEGORICAL_INPUTS
     h = feats.withColumn("_h", F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))).withColumn("_one", F.lit(1))
     ranked = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
     pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one", "total__one"),
@@ -98,9 +103,10 @@ def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: lis
             .orderBy(F.desc_nulls_last("auc_drop"), "feature"))
 
 
-def linear_contributions(trained: TrainedModel, feats: DataFrame) -> DataFrame:
+def linear_contributions(trained: TrainedModel, feats: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Per customer, coef_i * z_i for every slot of the linear model
-    (z = standardised features), the base (intercept) and the total logit."""
+    (z = standardised features), the base (intercept) and the total logit;
+    columns in ``keep`` are carried through."""
     if trained.kind != "lr":
         raise ValueError("additive contributions need the logistic-regression model")
     lr = trained.model.stages[-1]
@@ -109,7 +115,7 @@ def linear_contributions(trained: TrainedModel, feats: DataFrame) -> DataFrame:
     out = trained.model.transform(feats)
     z = vector_to_array("scaled")
     contrib = F.zip_with(z, F.array(*[F.lit(c) for c in coef]), lambda a, b: a * b)
-    return out.select("customer_id", LABEL,
+    return out.select("customer_id", LABEL, *(keep or []),
                       F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
                                    contrib.alias("contribution")).alias("contributions"),
                       F.lit(float(lr.intercept)).alias("base"),
@@ -125,32 +131,30 @@ def mean_abs_contribution(contribs: DataFrame) -> DataFrame:
             .orderBy(F.desc("mean_abs_contribution")))
 
 
-def contribution_by_band(contribs: DataFrame, feats: DataFrame, feature: str, band: F.Column) -> DataFrame:
-    """Mean contribution of ``feature`` per band of the customer's value."""
-    ex = (contribs.select("customer_id", F.inline("contributions"))
-          .where(F.col("feature") == feature))
-    bands = feats.select("customer_id", band.alias("band"))
-    return (ex.join(bands, "customer_id").groupBy("band")
-            .agg(rnd(F.avg("contribution")).alias("mean_contribution"), F.count(F.lit(1)).alias("customers")))
-
-
-def contributions_by_bands(contribs: DataFrame, feats: DataFrame) -> DataFrame:
-    """E4 for the four banded views at once: age bands, products 1..4, active
-    0/1, balance bands.  One explode and one grouped aggregate (with partial
-    aggregation), joined to the customer's bands on the unique key."""
-    bands = feats.select("customer_id",
-                         F.array(F.struct(F.lit("age").alias("feature"), age_band().alias("band")),
-                                 F.struct(F.lit("num_products").alias("feature"),
-                                          F.col("num_products").cast("string").alias("band")),
-                                 F.struct(F.lit("is_active_member").alias("feature"),
-                                          F.col("is_active_member").cast("string").alias("band")),
-                                 F.struct(F.lit("balance").alias("feature"), balance_band().alias("band")))
-                         .alias("bands"))
-    ex = (contribs.select("customer_id", F.inline("contributions"))
-          .where(F.col("feature").isin("age", "num_products", "is_active_member", "balance")))
-    per = bands.select("customer_id", F.inline("bands"))
-    return (ex.join(per, ["customer_id", "feature"]).groupBy("feature", "band")
-            .agg(rnd(F.avg("contribution")).alias("mean_contribution"), F.count(F.lit(1)).alias("customers")))
+def contribution_by_band(contribs: DataFrame, feature: str, band: F.Column) -> DataFrame:
+    """Mean contribution of ``feature`` per band of the customer's value;
+    ``contribs`` carries the column that ``band`` reads."""
+    ex = contribs.select(band.alias("band"), F.inline("contributions")).where(F.col("feature") == feature)
+    return ex.groupBy("band").agg(rnd(F.avg("contribution")).alias("mean_contribution"),
+                                  F.count(F.lit(1)).alias("customers"))
+
+
+def band_columns() -> dict[str, F.Column]:
+    """Feature -> band of its value: age bands, products 1..4, active 0/1, balance bands."""
+    return {"age": age_band(), "num_products": F.col("num_products").cast("string"),
+            "is_active_member": F.col("is_active_member").cast("string"), "balance": balance_band()}
+
+
+def contributions_by_bands(contribs: DataFrame, bands: dict[str, F.Column] | None = None) -> DataFrame:
+    """E4 for several banded views at once: each contribution finds its band in
+    its own row, so one explode and one grouped aggregate do it."""
+    bands = bands or band_columns()
+    by_feature = F.create_map(*[x for f, band in bands.items() for x in (F.lit(f), band)])
+    ex = (contribs.select(by_feature.alias("bands"), F.inline("contributions"))
+          .where(F.col("feature").isin(*bands))
+          .select("feature", F.element_at("bands", F.col("feature")).alias("band"), "contribution"))
+    return ex.groupBy("feature", "band").agg(rnd(F.avg("contribution")).alias("mean_contribution"),
+                                             F.count(F.lit(1)).alias("customers"))
 
 
 def _bands(col: str, bands: list, zero_label: str | None = None) -> F.Column:

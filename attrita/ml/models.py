@@ -9,6 +9,7 @@ batch and stream scoring, so nothing is re-fit while scoring.
 from __future__ import annotations
 
 import json
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -20,14 +21,16 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attrita import config as C
+from attrita.functions.stats import rnd
 from attrita.operators.evaluation import confusion_metrics, roc_auc
 from attrita.operators.features import ENGINEERED_COLUMNS, engineer_features
 from attrita.operators.quantile import exact_median
 from attrita.operators.split import stratified_split
+from attrita.sources.sinks import materialize
 
 NUMERIC_INPUTS = ["credit_score", "age", "tenure", "balance", "num_products", "has_cr_card",
                   "is_active_member", "estimated_salary"]
@@ -121,31 +124,33 @@ def split_features(profile: DataFrame, test_fraction: float = C.TEST_FRACTION):
     return feats, median
 
 
-# Rows per training partition by model kind.  Tree histograms are CPU-heavy
-# per row (features x bins x nodes), so trees use every core even on small
-# inputs; a linear model's per-row gradient is tiny and task count dominates.
+# Least rows per training partition by model kind.  Tree histograms are
+# CPU-heavy per row (features x bins x nodes); a linear model's per-row gradient
+# is tiny and task count dominates.
 ROWS_PER_TRAINING_PARTITION = {"gbt": 1_500, "rf": 1_500, "lr": 50_000, "svm": 50_000}
+# Most rows per training partition, so that a cached one fits a task's memory.
+MAX_ROWS_PER_TRAINING_PARTITION = 250_000
 
 
-def sized_for_training(df: DataFrame, rows_per_partition: int = 10_000) -> DataFrame:
-    """Persist the training rows in as many partitions as their size needs.
+def training_partitions(n: int, least: int) -> int:
+    """Partitions for ``n`` training rows: their number and their size both
+    grow with the square root of ``n``, within the two limits on the size."""
+    rows = min(MAX_ROWS_PER_TRAINING_PARTITION, max(least, math.isqrt(n * least // 8)))
+    return max(1, -(-n // rows))
 
-    Iterative fits run one job per iteration (per tree level for trees); a
-    partition count tied to the data - at most the cluster's parallelism -
-    avoids near-empty tasks on small inputs and uses every core on large
-    ones.  The count also materialises the cache.
-    """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.count()
-    par = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(par, -(-n // rows_per_partition)))
-    current = cached.rdd.getNumPartitions()
-    if parts == current:
-        return cached
-    sized = (cached.coalesce(parts) if parts < current else cached.repartition(parts)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+
+def sized_for_training(df: DataFrame, rows_per_partition: int = 10_000, key: str = "customer_id") -> DataFrame:
+    """Persist the training rows in a layout that the rows alone decide.
+
+    Iterative fits run one job per iteration (per tree level for trees) over
+    these partitions, and trees sample rows by partition: rows are placed by a
+    hash of ``key`` and sorted, in a number of partitions that follows from
+    their count, so the model is the same on any cluster.  The count also
+    materialises the cache."""
+    n = df.count()
+    sized = (df.repartition(training_partitions(n, rows_per_partition), key).sortWithinPartitions(key)
+             .persist(StorageLevel.MEMORY_AND_DISK))
     sized.count()
-    cached.unpersist()
     return sized
 
 
@@ -192,6 +197,7 @@ def score_profile(trained: TrainedModel, profile: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, kind: str, threshold: float = 0.5) -> dict:
     """M5/M6: exact AUC plus confusion metrics at ``threshold`` (0 for SVM margins)."""
     thr = 0.0 if kind == "svm" else threshold
+    scored = materialize(scored.select(LABEL, "churn_probability"), "scores")    # the model runs once
     out = roc_auc(scored, LABEL, "churn_probability").first().asDict()
     out.update(confusion_metrics(scored, LABEL, "churn_probability", thr).first().asDict())
     return out
@@ -206,21 +212,21 @@ def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     test = feats.where(F.col("split") == "test")
     rows, voters = [], []
+    columns = test.columns
     for kind in kinds:
         trained, _ = train_model(profile, kind, feats=feats, median=median, **params.get(kind, {}))
+        # Each row carries the probabilities of all models so far: no join for the vote.
         scored = score(trained, test)
         m = evaluate(scored, kind)
         rows.append((kind, m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"],
                      round(trained.fit_seconds, 3)))
         if kind != "svm":
-            voters.append(scored.select("customer_id", LABEL, F.col("churn_probability").alias(f"p{len(voters)}")))
+            voters.append(f"_p{len(voters)}")
+            columns = [*columns, voters[-1]]
+            test = scored.withColumn(voters[-1], F.col("churn_probability")).select(*columns)
     if len(voters) > 1:
-        # Soft vote - mean of the model probabilities, joined on the key.
-        votes = voters[0]
-        for v in voters[1:]:
-            votes = votes.join(v.drop(LABEL), "customer_id")
-        avg = sum((F.col(f"p{i}") for i in range(1, len(voters))), F.col("p0")) / F.lit(float(len(voters)))
-        m = evaluate(votes.withColumn("churn_probability", avg), "vote")
+        # Soft vote - mean of the model probabilities.
+        m = evaluate(test.withColumn("churn_probability", soft_vote(voters)), "vote")
         rows.append(("vote", m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"], None))
     feats.unpersist()
     spark = profile.sparkSession
@@ -228,15 +234,46 @@ def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"
                                         "precision double, recall double, fit_seconds double")
     # relative AUC improvement over the first (baseline) model.
     base = rows[0][1] if rows and rows[0][1] else None
-    lift = F.lit(None).cast("double") if base is None else F.round((F.col("roc_auc") - base) / F.lit(base), 6)
-    return board.withColumn("auc_lift_vs_baseline", lift).orderBy(F.desc_nulls_last("roc_auc"), "model")
+    return (board.withColumn("auc_lift_vs_baseline", relative_improvement(F.col("roc_auc"), F.lit(base).cast("double")))
+            .orderBy(F.desc_nulls_last("roc_auc"), "model"))
+
+
+def soft_vote(columns: list[str]) -> F.Column:
+    """The mean of several probability columns of a row."""
+    return sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / F.lit(float(len(columns)))
+
+
+def relative_improvement(value: F.Column, base: F.Column) -> F.Column:
+    """(value - base) / base; null without a base or for a base of 0."""
+    return rnd(F.try_divide(value - base, base))
+
+
+def score_leaderboard(df: DataFrame, scores: list[str], label: str = LABEL) -> DataFrame:
+    """M11 + M12 + F9 for score columns that exist already: the exact AUC of
+    each and of their soft vote, its rank, and its lift over the first."""
+    named = [F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("score")) for c in scores]
+    # Sums of doubles differ in their last bits by engine: equal votes are equal to nine places.
+    vote = F.struct(F.lit("vote").alias("model"), F.round(soft_vote(scores).cast("double"), 9).alias("score"))
+    aucs = materialize(roc_auc(df.select(label, F.inline(F.array(*named, vote))), label, "score", by=["model"]), "aucs")
+    base = aucs.where(F.col("model") == scores[0]).select(F.col("roc_auc").alias("base"))
+    best = Window.orderBy(F.desc_nulls_last("roc_auc"), "model")         # one row a model
+    return aucs.select("model", "roc_auc", "positives", "negatives", F.row_number().over(best).alias("rank"),
+                       relative_improvement(F.col("roc_auc"), F.lit(_value(base)).cast("double"))
+                       .alias("auc_lift_vs_baseline"))
+
+
+def _value(one: DataFrame):
+    row = one.first()
+    return None if row is None else row[0]
 
 
 def tune_gbt(profile: DataFrame, max_depth=(3, 5), step_size=(0.05, 0.1), max_iter=(50, 100),
              folds: int = 5, parallelism: int = 4) -> tuple[CrossValidator, DataFrame]:
     """K-fold grid search over the boosted trees, on the training split."""
     feats, _ = split_features(profile)
-    train = feats.where(F.col("split") == "train")
+    train = feats.where(F.col("split") == "train").dropna(
+        subset=[LABEL, *NUMERIC_INPUTS, *ENGINEERED_COLUMNS, *CATEGORICAL_INPUTS])
+    train = sized_for_training(train, ROWS_PER_TRAINING_PARTITION["gbt"])
     pipe = build_pipeline("gbt")
     gbt = pipe.getStages()[-1]
     grid = (ParamGridBuilder().addGrid(gbt.maxDepth, list(max_depth))
@@ -244,7 +281,10 @@ def tune_gbt(profile: DataFrame, max_depth=(3, 5), step_size=(0.05, 0.1), max_it
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
                         numFolds=folds, parallelism=parallelism, seed=C.SEED)
-    cv_model = cv.fit(train)
+    try:
+        cv_model = cv.fit(train)
+    finally:
+        train.unpersist()
     spark = profile.sparkSession
     res = [({str(k.name): v for k, v in pm.items()}, float(m))
            for pm, m in zip(grid, cv_model.avgMetrics)]

@@ -20,6 +20,9 @@ ENGINEERED_COLUMNS = ["balance_to_salary_ratio", "tenure_by_age", "products_per_
                       "is_high_value", "has_zero_balance", "age_group", "credit_score_category",
                       "tenure_category", "active_high_balance", "complain_risk_score"]
 
+# Levels of a categorical column that are turned into columns.
+MAX_LEVELS = 1_000
+
 
 def complain_risk_score() -> F.Column:
     """2[age>45] + 1.5[products>=3] + 2[inactive] + 1[zero balance]."""
@@ -83,6 +86,16 @@ def align_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(0).alias(c) for c in columns])
 
 
+def category_levels(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """The sorted levels of each categorical column, in one aggregate.  Each
+    level becomes a column, so past ``MAX_LEVELS`` it is no categorical input."""
+    row = df.agg(*[F.collect_set(c).alias(c) for c in cols]).first()
+    wide = [c for c in cols if len(row[c]) > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"more than {MAX_LEVELS} levels in {', '.join(wide)}")
+    return {c: sorted(row[c]) for c in cols}
+
+
 def one_hot_drop_first(df: DataFrame, col: str, levels: list[str]) -> DataFrame:
     """P14 in SQL form: one 0/1 column per level but the alphabetically first.
 

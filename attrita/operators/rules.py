@@ -80,10 +80,10 @@ def waterfall(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAP
 
 def plan_dimension(spark) -> DataFrame:
     """J4's small side: the static plan per risk level (three rows)."""
-    rows = [(lvl, plan, when, outcome, invest,
+    rows = [(lvl, plan, when, " | ".join(steps), outcome, invest,
              None if cost is None else (C.CUSTOMER_LTV - cost) / cost)
-            for lvl, plan, when, outcome, invest, cost in C.RISK_PLANS]
-    return spark.createDataFrame(rows, "risk_level string, plan string, timeframe string, "
+            for lvl, plan, when, steps, outcome, invest, cost in C.RISK_PLANS]
+    return spark.createDataFrame(rows, "risk_level string, plan string, timeframe string, step_text string, "
                                        "expected_outcome string, investment string, roi_x double")
 
 
@@ -98,7 +98,8 @@ def scores_with_actions(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RI
             .join(plans, "risk_level", "left")
             .select("customer_id", "churn_probability", "rule_score", "risk_level", "confidence", "n_factors",
                     "expected_ltv_loss", F.array_join("risk_factors", " | ").alias("factor_text"),
-                    "plan", "timeframe", "roi_x", F.size("actions").alias("n_actions"),
+                    "plan", "timeframe", "step_text", "expected_outcome", "investment", "roi_x",
+                    F.size("actions").alias("n_actions"),
                     F.array_join("actions", " | ").alias("action_text")))
 
 
@@ -106,7 +107,8 @@ def retention_actions(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK
                       probability: Column | None = None) -> DataFrame:
     """R8-R10 + J4: per customer, its level's plan and the targeted actions."""
     return scores_with_actions(df, high_risk_geography, probability).select(
-        "customer_id", "risk_level", "plan", "timeframe", "roi_x", "n_actions", "action_text")
+        "customer_id", "risk_level", "plan", "timeframe", "step_text", "expected_outcome", "investment", "roi_x",
+        "n_actions", "action_text")
 
 
 def risk_portfolio(df: DataFrame, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,

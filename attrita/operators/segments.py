@@ -107,11 +107,12 @@ def profile_table(df: DataFrame, segment_col: str = SEGMENT) -> DataFrame:
 
 def strategy_dimension(spark) -> DataFrame:
     """J1's small side: the four strategy templates (a parameter table)."""
-    rows = [(r, title, prio, budget, improve, roi, save_pct)
-            for (r, title, prio, budget, improve, roi, _), save_pct
-            in zip(C.STRATEGIES, C.STRATEGY_SAVE_PCT)]
+    rows = [(r, title, prio, budget, improve, roi, save_pct, text, acts)
+            for (r, title, prio, budget, improve, roi, _), save_pct, text, acts
+            in zip(C.STRATEGIES, C.STRATEGY_SAVE_PCT, C.STRATEGY_DESCRIPTIONS, C.STRATEGY_ACTIONS, strict=True)]
     return spark.createDataFrame(rows, "strategy_rank int, title string, priority string, budget_pct int, "
-                                       "retention_improvement_pct int, roi string, save_pct int")
+                                       "retention_improvement_pct int, roi string, save_pct int, "
+                                       "description string, actions array<string>")
 
 
 def _ranked_with_strategy(df: DataFrame, segment_col: str) -> DataFrame:
@@ -123,9 +124,11 @@ def _ranked_with_strategy(df: DataFrame, segment_col: str) -> DataFrame:
 
 
 def segment_strategy(df: DataFrame, segment_col: str = SEGMENT) -> DataFrame:
-    """G7 + J1: each segment with the strategy of its risk rank."""
+    """G7 + J1: each segment with the strategy of its risk rank and its actions."""
     j = _ranked_with_strategy(df, segment_col)
     return j.select(SEGMENT, "rank", _risk_label(F.col("rank")).alias("risk_level"), "title", "priority",
+                    "description", F.size("actions").alias("n_actions"),
+                    F.array_join("actions", " | ").alias("action_text"),
                     "budget_pct", "retention_improvement_pct", "roi",
                     (F.col("save_pct") / F.lit(100.0)).alias("save_rate"),
                     rnd("churn_rate").alias("churn_rate_pct"), "churn_count")

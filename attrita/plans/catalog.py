@@ -21,16 +21,17 @@ from attrita.operators import evaluation as ev
 from attrita.operators import explore as ex
 from attrita.operators import rules as ru
 from attrita.operators import segments as sg
-from attrita.operators.features import engineer_features
-from attrita.operators.quantile import exact_quantiles
+from attrita.operators.features import (align_columns, category_levels, engineer_features, one_hot_drop_first,
+                                        yes_no_flag)
+from attrita.operators.quantile import exact_median, exact_quantiles
 from attrita.operators.split import stratified_split
 from attrita.session import scratch_path
 from attrita.sources.profile import build_customer_profile
 from attrita.streaming import activity as act
 
 GEO = C.TEST_HIGH_RISK_REGION
-# The five TPC-H regions: the training levels of the geography column.
-GEOGRAPHY_LEVELS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+CATEGORIES = ["gender", "geography"]
+YES_NO = ["has_cr_card", "is_active_member"]
 INACTIVITY_DAYS = 1.0
 
 
@@ -90,12 +91,33 @@ def q_class_counts(spark, sf_dir):
 
 
 def q_one_hot_features(spark, sf_dir):
-    """P14 (SQL form) + P13: the model's input columns with drop-first dummies."""
-    from attrita.operators.features import one_hot_drop_first
+    """P14 (SQL form) + P13: every feature, engineered ones too, with drop-first
+    dummies for the levels that the data hold."""
+    return _one_hot(_features(spark, sf_dir), category_levels(_profile(spark, sf_dir), CATEGORIES)).drop("segment", "exited")
+
+
+def _one_hot(feats: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    for c in CATEGORIES:
+        feats = one_hot_drop_first(feats, c, levels[c])
+    return feats.drop(*CATEGORIES)
+
+
+def q_aligned_model_rows(spark, sf_dir):
+    """P1 + P12 + P15 + P20: customers as entered (ids, Yes/No answers) become
+    rows of the training columns: answers to flags, features with the training
+    median, dummies of the training levels, columns in training order (one that
+    the rows lack, here a level that no customer has, is 0)."""
     prof = _profile(spark, sf_dir)
-    out = one_hot_drop_first(one_hot_drop_first(prof, "gender", ["Female", "Male"]),
-                             "geography", GEOGRAPHY_LEVELS)
-    return out.drop("gender", "geography", "segment", "exited")
+    train = stratified_split(prof).where("split = 'train'")
+    levels = category_levels(train, CATEGORIES)
+    median = exact_median(train, "balance")
+    columns = ["customer_id", *_one_hot(engineer_features(train, median), levels).drop(
+        "customer_id", "segment", "exited", "split").columns, "geography_UNSEEN"]
+    answer = lambda c: F.when(F.col(c) == 1, F.lit("Yes")).otherwise(F.lit("No")).alias(c)
+    entered = prof.select(*[answer(c) if c in YES_NO else F.col(c) for c in prof.columns],
+                          F.lit("x").alias("surname"))
+    flags = entered.select(*[yes_no_flag(c).alias(c) if c in YES_NO else F.col(c) for c in entered.columns])
+    return align_columns(_one_hot(engineer_features(flags.drop("surname"), median), levels), columns)
 
 
 def q_churned_only(spark, sf_dir):
@@ -255,6 +277,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "median_balance": q_median_balance,
     "kpis": q_kpis,
     "one_hot_features": q_one_hot_features,
+    "aligned_model_rows": q_aligned_model_rows,
     "churned_only": q_churned_only,
     "bin_coverage": q_bin_coverage,
     "describe_numeric": q_describe_numeric,

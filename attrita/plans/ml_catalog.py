@@ -1,4 +1,5 @@
-"""Named ML and streaming queries: (spark, sf_dir) -> DataFrame, no SQL twin.
+"""Named ML and streaming queries: (spark, sf_dir) -> DataFrame.  Those on a
+fitted model have no SQL twin; those on given weights or scores have.
 
 Models have the library's full settings (100 trees).
 Fitted models are memoised per session and folder, so queries that share a
@@ -14,6 +15,8 @@ from attrita import config as C
 from attrita.ml import clustering as cl
 from attrita.ml import explain as xp
 from attrita.ml import models as md
+from attrita.functions.rules import weight_entries
+from attrita.operators import correlation as corr
 from attrita.operators import rules as ru
 from attrita.operators import segments as sg
 from attrita.operators.features import engineer_features
@@ -93,13 +96,58 @@ def q_linear_contributions(spark, sf_dir):
 def q_contribution_by_age_band(spark, sf_dir):
     """Mean contribution of age per age band."""
     trained, feats = _trained(spark, sf_dir, "lr")
-    return xp.contribution_by_band(xp.linear_contributions(trained, feats), feats, "age", xp.age_band())
+    return xp.contribution_by_band(xp.linear_contributions(trained, feats, ["age"]), "age", xp.age_band())
 
 
 def q_contribution_by_bands(spark, sf_dir):
     """Mean contribution per band of age, products, activity and balance."""
     trained, feats = _trained(spark, sf_dir, "lr")
-    return xp.contributions_by_bands(xp.linear_contributions(trained, feats), feats)
+    return xp.contributions_by_bands(xp.linear_contributions(trained, feats, list(xp.band_columns())))
+
+
+def _rule_contributions(spark, sf_dir) -> DataFrame:
+    """The rule weights as additive contributions to the rule score (E2 on given coefficients)."""
+    parts = F.transform(weight_entries(GEO), lambda e: F.struct(
+        e["factor"].alias("feature"), (e["weight_hundredths"] / F.lit(100.0)).alias("contribution")))
+    return _profile(spark, sf_dir).select("customer_id", "age", "balance", "num_products", "is_active_member",
+                                          parts.alias("contributions"))
+
+
+def q_rule_mean_contribution(spark, sf_dir):
+    """E3 on the rule weights."""
+    return xp.mean_abs_contribution(_rule_contributions(spark, sf_dir))
+
+
+def q_rule_contribution_by_bands(spark, sf_dir):
+    """E4 on the rule weights."""
+    bands = xp.band_columns()
+    return xp.contributions_by_bands(_rule_contributions(spark, sf_dir), {
+        "Age": bands["age"], "NumOfProducts": bands["num_products"], "IsActiveMember": bands["is_active_member"],
+        "Balance": bands["balance"]})
+
+
+def _correlation_importance(spark, sf_dir) -> DataFrame:
+    power = corr.feature_power(engineer_features(_profile(spark, sf_dir)), C.ORIGINAL_FEATURES, C.ENGINEERED_FEATURES)
+    return xp.cumulative_importance(power.select("feature", F.col("abs_corr").alias("importance")))
+
+
+def q_correlation_importance(spark, sf_dir):
+    """O1 + W3 on the absolute correlation with churn."""
+    return _correlation_importance(spark, sf_dir).withColumn("cumulative_pct", F.round("cumulative_pct", 6))
+
+
+def q_top_correlations(spark, sf_dir):
+    """O2: the ten features of the highest absolute correlation."""
+    return xp.top_features(_correlation_importance(spark, sf_dir), 10).select("feature", "importance", "rank")
+
+
+def q_score_leaderboard(spark, sf_dir):
+    """M11 + M12 + F9 on three scores that SQL can compute too."""
+    feats = engineer_features(_profile(spark, sf_dir), columns=["complain_risk_score"])
+    scored = ru.rule_scores(feats, GEO).select(
+        "exited", F.col("rule_score").alias("rule"), (F.col("complain_risk_score") / F.lit(8.0)).alias("complain"),
+        (F.lit(1.0) - F.col("is_active_member")).alias("inactive"))
+    return md.score_leaderboard(scored, ["rule", "complain", "inactive"])
 
 
 def q_kmeans_segments(spark, sf_dir):
@@ -156,6 +204,12 @@ def q_stream_scores(spark, sf_dir):
     return replay_profile_scoring(spark, _profile(spark, sf_dir), trained, GEO)
 
 
+def q_stream_rule_scores(spark, sf_dir):
+    """T1 on the rule score, for which no model is needed."""
+    from attrita.streaming.scoring import replay_profile_scoring
+    return replay_profile_scoring(spark, _profile(spark, sf_dir), None, GEO)
+
+
 def q_stream_weekly_activity(spark, sf_dir):
     """T3 as a stream: weekly activity with a watermark."""
     from attrita.streaming.monitor import replay_weekly_activity
@@ -178,6 +232,11 @@ ML_QUERIES = {
     "linear_contributions": q_linear_contributions,
     "contribution_by_age_band": q_contribution_by_age_band,
     "contribution_by_bands": q_contribution_by_bands,
+    "rule_mean_contribution": q_rule_mean_contribution,
+    "rule_contribution_by_bands": q_rule_contribution_by_bands,
+    "correlation_importance": q_correlation_importance,
+    "top_correlations": q_top_correlations,
+    "score_leaderboard": q_score_leaderboard,
     "kmeans_segments": q_kmeans_segments,
     "kmeans_strategy": q_kmeans_strategy,
     "kmeans_budget": q_kmeans_impact,
@@ -186,5 +245,6 @@ ML_QUERIES = {
     "pca_projection": q_pca_projection,
     "permutation_importance": q_permutation_importance,
     "stream_scores": q_stream_scores,
+    "stream_rule_scores": q_stream_rule_scores,
     "stream_weekly_activity": q_stream_weekly_activity,
 }

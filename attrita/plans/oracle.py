@@ -219,12 +219,14 @@ labelled AS (
   FROM ranked)"""
 
 STRATEGY_VALUES = _values(
-    [(r, title, prio, budget, improve, roi, sp) for (r, title, prio, budget, improve, roi, _), sp
-     in zip(C.STRATEGIES, C.STRATEGY_SAVE_PCT)],
-    ["strategy_rank", "title", "priority", "budget_pct", "retention_improvement_pct", "roi", "save_pct"])
+    [(r, title, prio, budget, improve, roi, sp, text, len(acts), " | ".join(acts))
+     for (r, title, prio, budget, improve, roi, _), sp, text, acts
+     in zip(C.STRATEGIES, C.STRATEGY_SAVE_PCT, C.STRATEGY_DESCRIPTIONS, C.STRATEGY_ACTIONS, strict=True)],
+    ["strategy_rank", "title", "priority", "budget_pct", "retention_improvement_pct", "roi", "save_pct",
+     "description", "n_actions", "action_text"])
 
 SEG_STRATEGY = SEG_STATS + f""",
-strat AS (SELECT l.*, s.title, s.priority, CAST(s.budget_pct AS INTEGER) AS budget_pct,
+strat AS (SELECT l.*, s.title, s.priority, s.description, s.n_actions, s.action_text, CAST(s.budget_pct AS INTEGER) AS budget_pct,
                  CAST(s.retention_improvement_pct AS INTEGER) AS retention_improvement_pct, s.roi,
                  CAST(s.save_pct AS INTEGER) AS save_pct
           FROM labelled l JOIN {STRATEGY_VALUES} s ON s.strategy_rank = least(l.rank, {len(C.STRATEGIES) - 1}))"""
@@ -349,11 +351,13 @@ def _actions() -> str:
         f"CASE WHEN tenure < {C.MEDIUM_TENURE_UNDER} THEN {_q(C.ACTION_MEDIUM_NEW)} END",
     ]
     count = lambda xs: " + ".join(f"CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END" for x in xs)
-    plans = _values([(lvl, plan, when, None if cost is None else (C.CUSTOMER_LTV - cost) / cost)
-                     for lvl, plan, when, _, _, cost in C.RISK_PLANS],
-                    ["risk_level", "plan", "timeframe", "roi_x"])
+    plans = _values([(lvl, plan, when, " | ".join(steps), outcome, invest,
+                      None if cost is None else (C.CUSTOMER_LTV - cost) / cost)
+                     for lvl, plan, when, steps, outcome, invest, cost in C.RISK_PLANS],
+                    ["risk_level", "plan", "timeframe", "step_text", "expected_outcome", "investment", "roi_x"])
     return _with(SCORED, f"""
-SELECT l.customer_id, l.risk_level, p.plan, p.timeframe, CAST(p.roi_x AS DOUBLE) AS roi_x,
+SELECT l.customer_id, l.risk_level, p.plan, p.timeframe, p.step_text, p.expected_outcome,
+       p.investment, CAST(p.roi_x AS DOUBLE) AS roi_x,
        CAST(CASE WHEN l.risk_level = 'HIGH' THEN {count(high)}
                  WHEN l.risk_level = 'MEDIUM' THEN {count(medium)} ELSE 0 END AS INTEGER) AS n_actions,
        CASE WHEN l.risk_level = 'HIGH' THEN concat_ws(' | ', {', '.join(high)})
@@ -426,20 +430,90 @@ SELECT user_id, ts AS last_event, CAST(events AS BIGINT) AS events, ts + INTERVA
 FROM ends WHERE t + 86400000000 <= (SELECT max(t) // 1000 * 1000 FROM e) - 86400000000"""
 
 
+def _aligned() -> str:
+    """Model rows with the training rows' median (P20) and levels."""
+    median = "med AS (SELECT median(balance) AS m FROM profile),"
+    trained = _split_cte()[len(PROFILE):] + """,
+med AS (SELECT median(p.balance) AS m FROM profile p JOIN split s USING (customer_id) WHERE s.split = 'train'),"""
+    assert median in FEATURES
+    return _with(FEATURES.replace(",\n" + median, trained), """
+SELECT features.* EXCLUDE (segment, geography, gender, exited),
+       CAST(gender = 'Male' AS INTEGER) AS gender_Male,
+       CAST(geography = 'AMERICA' AS INTEGER) AS geography_AMERICA,
+       CAST(geography = 'ASIA' AS INTEGER) AS geography_ASIA,
+       CAST(geography = 'EUROPE' AS INTEGER) AS geography_EUROPE,
+       CAST(geography = 'MIDDLE EAST' AS INTEGER) AS geography_MIDDLE_EAST,
+       CAST(0 AS INTEGER) AS geography_UNSEEN
+FROM features""")
+
+
+def _rule_bands() -> str:
+    """E4 on the rule weights."""
+    def case(col: str, bands: list, zero: str | None = None) -> str:
+        parts = [f"WHEN {col} IS NULL THEN NULL"] + ([f"WHEN {col} = 0 THEN {_q(zero)}"] if zero else [])
+        for k, (upper, label) in enumerate(bands[:-1]):
+            op = "<=" if k == len(bands) - 2 else "<"
+            parts.append(f"WHEN {col} {op} {upper} THEN {_q(label)}")
+        return f"CASE {' '.join(parts)} ELSE {_q(bands[-1][1])} END"
+    return _with(FACTORS, f"""
+SELECT f.factor AS feature,
+       CASE f.factor WHEN 'Age' THEN {case('p.age', C.EXPLAIN_AGE_BANDS)}
+            WHEN 'Balance' THEN {case('p.balance', C.EXPLAIN_BALANCE_BANDS, '0')}
+            WHEN 'NumOfProducts' THEN CAST(p.num_products AS VARCHAR)
+            ELSE CAST(p.is_active_member AS VARCHAR) END AS band,
+       round(avg(f.wh / 100.0), 6) AS mean_contribution, count(*) AS customers
+FROM factors f JOIN profile p USING (customer_id)
+WHERE f.factor IN ('Age', 'Balance', 'NumOfProducts', 'IsActiveMember') GROUP BY ALL""")
+
+
+def _importance(columns: str, where: str = "") -> str:
+    power = _feature_power()
+    return f"""
+WITH power AS ({power}),
+ordered AS (SELECT feature, abs_corr AS importance,
+                   CAST(row_number() OVER (ORDER BY abs_corr DESC, feature) AS INTEGER) AS rank,
+                   sum(abs_corr) OVER (ORDER BY abs_corr DESC, feature ROWS UNBOUNDED PRECEDING) * 100.0
+                     / sum(abs_corr) OVER () AS pct FROM power)
+SELECT {columns} FROM ordered {where}"""
+
+
+def _score_board() -> str:
+    return _with(SCORED, """,
+s AS (SELECT l.customer_id, l.exited, CAST(l.rule_score AS DOUBLE) AS r, f.c / 8.0 AS c,
+             1.0 - l.is_active_member AS i
+      FROM leveled l JOIN (SELECT customer_id,
+          CAST(age > %s AS DOUBLE) * %s + CAST(num_products >= %s AS DOUBLE) * %s
+          + CAST(is_active_member = 0 AS DOUBLE) * %s + CAST(balance = 0 AS DOUBLE) * %s AS c FROM profile) f
+        USING (customer_id)),
+long AS (SELECT 'rule' AS model, exited, r AS score FROM s UNION ALL SELECT 'complain', exited, c FROM s
+         UNION ALL SELECT 'inactive', exited, CAST(i AS DOUBLE) FROM s
+         UNION ALL SELECT 'vote', exited, (CAST(c AS DOUBLE) + CAST(i AS DOUBLE) + r) / 3.0 FROM s),
+per AS (SELECT model, round(score, 9) AS score, sum(CAST(exited = 1 AS BIGINT)) AS pos, sum(CAST(exited <> 1 AS BIGINT)) AS neg
+        FROM long GROUP BY ALL),
+run AS (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY score) - neg AS below FROM per),
+auc AS (SELECT model, round(sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) AS roc_auc,
+               CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM run GROUP BY model)
+SELECT model, roc_auc, positives, negatives,
+       CAST(row_number() OVER (ORDER BY roc_auc DESC, model) AS INTEGER) AS rank,
+       round((roc_auc - b) / b, 6) AS auc_lift_vs_baseline
+FROM auc, (SELECT roc_auc AS b FROM auc WHERE model = 'rule')""" % (
+        C.COMPLAIN_AGE_OVER, C.COMPLAIN_WEIGHT_AGE, C.COMPLAIN_PRODUCTS_AT_LEAST, C.COMPLAIN_WEIGHT_PRODUCTS,
+        C.COMPLAIN_WEIGHT_INACTIVE, C.COMPLAIN_WEIGHT_ZERO_BALANCE))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "customer_profile": _with(PROFILE, "\nSELECT * FROM profile"),
         "customer_features": _with(FEATURES, "\nSELECT * FROM features"),
         "median_balance": _with(PROFILE, "\nSELECT round(median(balance), 6) AS median_balance FROM profile"),
-        "one_hot_features": _with(PROFILE, """
-SELECT customer_id, credit_score, age, tenure, balance, num_products, has_cr_card, is_active_member,
-       estimated_salary,
+        "one_hot_features": _with(FEATURES, """
+SELECT features.* EXCLUDE (segment, geography, gender, exited),
        CAST(gender = 'Male' AS INTEGER) AS gender_Male,
        CAST(geography = 'AMERICA' AS INTEGER) AS geography_AMERICA,
        CAST(geography = 'ASIA' AS INTEGER) AS geography_ASIA,
        CAST(geography = 'EUROPE' AS INTEGER) AS geography_EUROPE,
        CAST(geography = 'MIDDLE EAST' AS INTEGER) AS geography_MIDDLE_EAST
-FROM profile"""),
+FROM features"""),
         "bin_coverage": _with(PROFILE, "\n" + " UNION ALL ".join(
             f"SELECT '{name}' AS feature, count(*) AS rows, "
             f"count(*) FILTER (WHERE {src} IS NOT NULL AND ({_bin_sql(src, edges)}) IS NULL) AS out_of_range, "
@@ -489,7 +563,8 @@ SELECT segment, risk_level, size, round(churn_rate, 2) AS churn_pct, churn_count
        round(active_pct, 1) AS active_pct, round(avg_tenure, 1) AS avg_tenure
 FROM labelled"""),
         "segment_strategy": _with(SEG_STRATEGY, """
-SELECT segment, rank, risk_level, title, priority, budget_pct, retention_improvement_pct, roi,
+SELECT segment, rank, risk_level, title, priority, description, CAST(n_actions AS INTEGER) AS n_actions, action_text,
+       budget_pct, retention_improvement_pct, roi,
        save_pct / 100.0 AS save_rate, round(churn_rate, 6) AS churn_rate_pct, churn_count
 FROM strat"""),
         "segment_impact": _segment_impact(),
@@ -503,6 +578,9 @@ SELECT CAST(sum(CAST(round(saved_value_m * 10) AS BIGINT)) AS BIGINT) / 10.0 AS
 FROM budget"""),
         "rule_scores": _with(SCORED, """
 SELECT customer_id, rule_score, churn_probability, risk_level, n_factors, confidence, expected_ltv_loss, factor_text
+FROM leveled"""),
+        "stream_rule_scores": _with(SCORED, """
+SELECT customer_id, churn_probability, risk_level, confidence, n_factors, expected_ltv_loss, rule_score, factor_text
 FROM leveled"""),
         "rule_factor_weights": _with(FACTORS, "\nSELECT customer_id, factor, wh / 100.0 AS weight FROM factors"),
         "rule_waterfall": _with(FACTORS, """
@@ -548,5 +626,14 @@ FROM events GROUP BY user_id""",
         "weekly_activity": WEEKLY,
         "stream_weekly_activity": WEEKLY,
         "inactivity_silences": SILENCES,
+        "aligned_model_rows": _aligned(),
+        "rule_mean_contribution": _with(FACTORS, """
+SELECT factor AS feature, round(avg(abs(wh / 100.0)), 6) AS mean_abs_contribution FROM factors GROUP BY factor"""),
+        "rule_contribution_by_bands": _rule_bands(),
+        "correlation_importance": _importance(
+            "feature, importance, rank, round(pct, 6) AS cumulative_pct, "
+            "rank <= min(CASE WHEN pct >= 80 THEN rank END) OVER () AS within_80pct"),
+        "top_correlations": _importance("feature, importance, rank", "WHERE rank <= 10"),
+        "score_leaderboard": _score_board(),
         "stream_inactivity_alerts": SILENCES,
     }

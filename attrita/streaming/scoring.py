@@ -25,16 +25,20 @@ OUTPUT_COLUMNS = ["customer_id", "churn_probability", "risk_level", "confidence"
                   "expected_ltv_loss", "rule_score", "factor_text"]
 
 
-def score_stream(stream: DataFrame, trained: TrainedModel,
+def score_stream(stream: DataFrame, trained: TrainedModel | None,
                  high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY) -> DataFrame:
-    """The scoring transformation; works on a batch or a streaming frame alike."""
-    feats = engineer_features(stream, trained.median_balance)
-    scored = score(trained, feats).select(*feats.columns, "churn_probability")
-    out = ru.rule_scores(scored, high_risk_geography, probability=F.col("churn_probability"))
+    """The scoring transformation; works on a batch or a streaming frame alike.
+    Without a model the rule score gives the probability."""
+    if trained is None:
+        out = ru.rule_scores(stream, high_risk_geography)
+    else:
+        feats = engineer_features(stream, trained.median_balance)
+        scored = score(trained, feats).select(*feats.columns, "churn_probability")
+        out = ru.rule_scores(scored, high_risk_geography, probability=F.col("churn_probability"))
     return out.select(*OUTPUT_COLUMNS[:-1], F.array_join("risk_factors", " | ").alias("factor_text"))
 
 
-def start_scoring(spark: SparkSession, source_dir: str, schema, trained: TrainedModel, sink_dir: str,
+def start_scoring(spark: SparkSession, source_dir: str, schema, trained: TrainedModel | None, sink_dir: str,
                   checkpoint: str, high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY,
                   available_now: bool = True, max_files_per_trigger: int | None = None):
     """Start the stream from parquet files in ``source_dir`` into ``sink_dir``."""
@@ -48,7 +52,7 @@ def start_scoring(spark: SparkSession, source_dir: str, schema, trained: Trained
     return writer.start(sink_dir)
 
 
-def replay_profile_scoring(spark: SparkSession, profile: DataFrame, trained: TrainedModel,
+def replay_profile_scoring(spark: SparkSession, profile: DataFrame, trained: TrainedModel | None,
                            high_risk_geography: str = C.RULE_HIGH_RISK_GEOGRAPHY) -> DataFrame:
     """Land ``profile`` as files, score them with the stream, read the sink back."""
     run = uuid.uuid4().hex[:12]

@@ -17,6 +17,14 @@ def test_train_then_score_job(spark, tmp_path):
     assert {r.risk_level for r in out.select("risk_level").distinct().collect()} <= {"HIGH", "MEDIUM", "LOW"}
 
 
+def test_score_job_without_a_model_uses_the_rules(spark, tmp_path):
+    prof = _planted(spark, n=60)
+    jobs.score_job(spark, str(tmp_path / "none"), prof, str(tmp_path / "scores"), "Germany")
+    out = spark.read.parquet(str(tmp_path / "scores"))
+    assert out.count() == 60 and [r[0] for r in out.select("score_source").distinct().collect()] == ["rule"]
+    assert out.where("abs(churn_probability - least(rule_score, 0.95)) > 1e-9").isEmpty()
+
+
 def test_segment_job(spark, tmp_path):
     prof = _planted(spark, n=300)
     jobs.segment_job(spark, prof, str(tmp_path / "seg"))
