@@ -141,16 +141,18 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
     """
     by = by or []
     keys = by + ["column"]
-    approx = [] if approx_accuracy is None else [
-        rnd(F.percentile_approx("v", p, approx_accuracy).cast("double")).alias(name)
-        for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    moments = (long_values(df, cols, by).groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias("count"),
-                    rnd(F.avg("v")).alias("mean"),
-                    rnd(F.stddev_samp("v")).alias("std"),
-                    F.min("v").alias("min"),
-                    F.max("v").alias("max"),
-                    *approx))
+
+    def stats(c: str) -> F.Column:
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        approx = [] if approx_accuracy is None else [
+            rnd(F.percentile_approx(v, p, approx_accuracy).cast("double")).alias(name)
+            for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), rnd(F.avg(v)).alias("mean"),
+                        rnd(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *approx)
+
+    # One wide row per group, turned into a row per column afterwards; a column without values has none.
+    wide = df.groupBy(*by).agg(F.array(*[stats(c) for c in cols]).alias("_stats"))
+    moments = wide.select(*by, F.inline("_stats")).where("count > 0")
     if approx_accuracy is not None:
         return moments.select(*keys, *DESCRIBE_STATS)
     q = (exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
