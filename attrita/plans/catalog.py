@@ -103,7 +103,7 @@ def _one_hot(feats: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
 
 
 def q_aligned_model_rows(spark, sf_dir):
-    """P1 + P12 + P15 + P20: customers as entered (ids, Yes/No answers) become
+    """P12 + P15 + P20: customers as entered (a name, Yes/No answers) become
     rows of the training columns: answers to flags, features with the training
     median, dummies of the training levels, columns in training order (one that
     the rows lack, here a level that no customer has, is 0)."""
