@@ -15,8 +15,10 @@ the driver and is broadcast; the word table stays distributed.
 Words are lower-cased and split at white space.  A character that the
 vocabulary lacks is spelled by its UTF-8 bytes, which are pieces too, so any
 text has a probability.  Words of one batch are scored together, position by
-position, in numpy; longer ones than ``VECTOR_SYMBOLS`` go through a scaled
-loop.  Nothing is cut.
+position, in numpy; those whose sum comes near the smallest double in some
+language are summed again in logarithms, and longer ones than
+``VECTOR_SYMBOLS`` go through a scaled loop.  A text's sum is over its own
+words alone.  Nothing is cut.
 
 Edge cases: a null text, or one without a letter, gives ``und`` with score 0;
 without any training text every prediction is ``und``; ties go to the language
@@ -41,6 +43,9 @@ EM_ROUNDS = 2
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
 VECTOR_SYMBOLS = 48
+#: Word sums under this are worked out in logarithms (what a sum above it loses
+#: to underflow is less than its rounding error).
+LEAST_SUM = 1e-280
 #: Words whose scores a worker remembers (a generation).
 CACHED_WORDS = 200_000
 #: (language, word) counts a training task holds before it passes them on.
@@ -132,7 +137,7 @@ class Lattice:
 
     def __init__(self, vocab: Pieces, codes: np.ndarray, lengths: np.ndarray):
         """codes: the words' symbols, longest word first."""
-        self.lengths = lengths
+        self.vocab, self.codes, self.lengths = vocab, codes, lengths
         self.starts = np.cumsum(lengths) - lengths
         self.longest = int(self.lengths[0])
         n = len(codes)
@@ -171,8 +176,27 @@ class Lattice:
             alpha[j, rows] += alpha[j - size, rows] * prob[ids]
         return alpha
 
+    def log_forward(self, prob: np.ndarray) -> np.ndarray:
+        """Logarithms of ``forward``, for sums that a double can't hold."""
+        alpha = np.full((self.longest + 1, len(self.lengths), prob.shape[1]), -np.inf)
+        alpha[0] = 0
+        log_prob = np.log(prob)
+        for j, size, rows, ids in self.steps():
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[j - size, rows] + log_prob[ids])
+        return alpha
+
+    def part(self, rows: np.ndarray) -> Lattice:
+        n = self.lengths[rows]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return Lattice(self.vocab, self.codes[np.repeat(self.starts[rows], n) + inner], n)
+
     def log_probability(self, prob: np.ndarray) -> np.ndarray:
-        return np.log(self.forward(prob)[self.lengths, np.arange(len(self.lengths))])
+        total = self.forward(prob)[self.lengths, np.arange(len(self.lengths))]
+        low = np.flatnonzero((total < LEAST_SUM).any(axis=1))
+        out = np.log(np.maximum(total, LEAST_SUM))
+        if len(low):
+            out[low] = self.part(low).log_forward(prob)[self.lengths[low], np.arange(len(low))]
+        return out
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts, each word weighted; prob: one language's (piece, 1)."""
@@ -180,13 +204,31 @@ class Lattice:
         p = prob[:, 0]
         at = np.arange(len(self.lengths))
         total = alpha[self.lengths, at]
+        low = np.flatnonzero(total < LEAST_SUM)
         beta = np.zeros_like(alpha)
-        beta[self.lengths, at] = weight / total
+        beta[self.lengths, at] = np.where(total < LEAST_SUM, 0, weight / np.maximum(total, LEAST_SUM))
         counts = np.zeros(len(p))
         for j, size, rows, ids in self.steps(backward=True):
             flow = beta[j, rows] * p[ids]
             beta[j - size, rows] += flow
             counts += np.bincount(ids, flow * alpha[j - size, rows], minlength=len(p))
+        if len(low):
+            counts += self.part(low).log_expected(prob, weight[low])
+        return counts
+
+    def log_expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """``expected`` with sums in logarithms."""
+        alpha = self.log_forward(prob)[:, :, 0]
+        log_p = np.log(prob[:, 0])
+        at = np.arange(len(self.lengths))
+        total = alpha[self.lengths, at]
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.lengths, at] = 0
+        counts = np.zeros(len(log_p))
+        for j, size, rows, ids in self.steps(backward=True):
+            flow = beta[j, rows] + log_p[ids]
+            beta[j - size, rows] = np.logaddexp(beta[j - size, rows], flow)
+            counts += np.bincount(ids, weight[rows] * np.exp(flow + alpha[j - size, rows] - total[rows]), minlength=len(log_p))
         return counts
 
 
@@ -339,8 +381,8 @@ class _Scorer:
             return np.zeros((len(texts), langs))
         known = self.known.hold(place, self._rows)
         scores = np.frombuffer(b"".join(map(known.__getitem__, place))).reshape(-1, langs)
-        total = np.concatenate([np.zeros((1, langs)), np.cumsum(scores[ids], axis=0)])
-        return total[ends[1:]] - total[ends[:-1]]
+        owner, ids = np.repeat(np.arange(len(texts)), np.diff(ends)), np.array(ids)
+        return np.stack([np.bincount(owner, scores[ids, k], minlength=len(texts)) for k in range(langs)], axis=1)
 
 
 _scorers: dict[str, _Scorer] = {}

@@ -100,6 +100,28 @@ def test_language_id(spark):
     assert op.identify_languages(frame(spark, [])).count() == 0
 
 
+def test_language_id_of_words_below_the_smallest_double():
+    from attrita.llm import language_id as op
+
+    vocab = op.pieces(op.default_vocabulary())
+    prob = np.full((vocab.size, 2), 1e-10)  # pieces unseen in billions
+    seen = [vocab.ids[k] for k in (tuple(map(ord, "▁the")), tuple(map(ord, "▁house")))]
+    prob[seen] = [[0.6, 0.1], [0.3, 0.1]]
+    rare = "𐎠𐎡𐎢𐎣𐎤𐎥𐎦𐎧𐎨𐎩"  # 40 byte symbols
+    codes = vocab.spell([rare])[0]
+    assert 40 <= len(codes) <= op.VECTOR_SYMBOLS
+    log_z, counts = op._long_sums(vocab, codes, prob[:, :1], 3.0)
+    assert log_z[0] < math.log(5e-324)
+    got = op.word_scores(vocab, ["the", rare, "house"], prob)
+    assert np.isfinite(got).all() and np.allclose(got[1], op._long_sums(vocab, codes, prob)[0])
+    assert np.allclose(op.expected_counts(vocab, [rare], np.array([3.0]), prob[:, :1]), counts)
+    texts = ["the house", None, f"{rare} the", "", "the house", "house the the"]
+    together = op._Scorer(vocab, prob).sums(texts)
+    alone = np.concatenate([op._Scorer(vocab, prob).sums([t]) for t in texts])
+    assert np.isfinite(together).all() and (together == alone).all()
+    assert together[[0, 2, 4, 5]].argmax(axis=1).tolist() == [0] * 4
+
+
 def test_pivot_topk(spark):
     from attrita.llm import pivot_topk as op
 
