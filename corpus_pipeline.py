@@ -5,7 +5,8 @@ before kept; its result is written and read again as the next one's ``docs``:
 
 1. quality: documents that the classifier rejects go;
 2. near_duplicates: of the documents that links of the n-gram Jaccard join tie
-   together one stays, that with the smallest doc_id;
+   together (five words a shingle, a similarity of 0.8) one stays, that with the
+   smallest doc_id;
 3. decontamination: documents that hold a benchmark item go;
 4. secrets: each secret that is not a widely copied example is replaced by
    ``[SECRET]`` (n_chars follows);
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from attrita.llm import bpe_stream, decontaminate, ngram_jaccard, quality_mil, secret_scan
 from attrita.llm.common import written
 
+#: Words a shingle and least similarity (per cent) of the near-duplicate stage.
+WIDTH = 5
+PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.where("doc_id is not null")
-    groups = ngram_jaccard.ngram_jaccard_join(named)
+    groups = ngram_jaccard.ngram_jaccard_join(named, width=WIDTH, percent=PERCENT)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
         docs.where("doc_id is null"))

@@ -350,6 +350,18 @@ def test_pipeline(spark):
         assert (got.n_tokens[d], got.ids_sha256[d], got.decoded_sha256[d]) == (n, ids, spelled)
 
 
+def test_pipeline_near_duplicates_at_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    def pair(name, n):  # n words and a copy with one other word: n - 9 of n + 1 five-word shingles are common
+        w = [f"{name}{i}" for i in range(n)]
+        return [" ".join(w), " ".join([*w[:n // 2], "other", *w[n // 2 + 1:]])]
+
+    texts = [*pair("a", 50), *pair("b", 44), None, ""]  # 41 / 51 = 0.804 (four words: 0.843), 35 / 45 = 0.778
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, texts), SF).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("name", ["op6_url_filter", "op7_license_scan", "op3_pivot_topk", "op1_ngram_jaccard_join"])
 def test_sql_twin(spark, name):
     import duckdb
