@@ -15,6 +15,7 @@ MODULES = {
     "op5_secret_scan": "secret_scan",
     "op6_url_filter": "url_filter",
     "op7_license_scan": "license_scan",
+    "op7_license_passages": "license_passages",
     "op8_bpe_stream": "bpe_stream",
     "op9_decontaminate": "decontaminate",
     "op10_quality_mil": "quality_mil",

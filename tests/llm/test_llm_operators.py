@@ -238,6 +238,40 @@ def test_license_scan(spark):
     assert op.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_license_passages(spark):
+    from attrita.llm import license_passages as op
+
+    r = random.Random(7)
+    known = [(name, op.bigrams(t)) for name, t in op.TEMPLATES + op.PASSAGES]
+    gpl = op._GPL_NOTICE.split(" version. ")[0] + " version."
+    wrapped = [gpl[:58], gpl[58:117], gpl[117:176], gpl[176:]]
+    texts = [None, "", "mit", words(r, 30) + "\n" + "\n".join(wrapped) + "\n" + words(r, 40), op._MIT_GRANT,
+             "This project is released under the MIT License.", "The MIT License (MIT)\n" + op.PASSAGES[7][1],
+             "of the license " * 60, words(r, 300), "Permission is hereby granted to the license license license"]
+    for _, t in op.TEMPLATES[::2] + op.PASSAGES[::3]:
+        texts.append(words(r, 9) + " " + " ".join(x if r.random() > 0.08 else "the" for x in t.split()) + "\n" + words(r, 9))
+    want = {}
+    for i, t in enumerate(texts):
+        g = op.bigrams(t or "")
+        for name, own in known:
+            held = set(own)
+            for a in (a for a in range(len(g)) if g[a] in held):
+                left, common = op.Counter(own), 0
+                for b in range(a, min(len(g), a + int(1.5 * len(own) + 1e-9))):
+                    if left[g[b]] > 0:
+                        left[g[b]] -= 1
+                        common += 1
+                    if (d := 2 * common / (b - a + 1 + len(own))) >= op.THRESHOLD:
+                        want[i, name] = min(want.get((i, name), (0,)), (-d, -common, a + 1, b - a + 1))
+    docs = frame(spark, [*texts, texts[5], texts[5]], ids=[*range(len(texts)), 5, None])
+    rows = [(x.doc_id, x.license, x.dice, x.start, x.bigrams, x.common) for x in op.find_passages(docs).collect()]
+    full = [(i, name, round(-d, 4), a, n, -c) for (i, name), (d, c, a, n) in want.items()]
+    full += [(j, *x[1:]) for x in full if x[0] == 5 for j in (5, None)]
+    assert sorted(map(repr, rows)) == sorted(map(repr, full))
+    assert {(3, "GPL-3.0"), (4, "MIT"), (5, "MIT"), (6, "MIT")} <= set(want) and len(want) > 10
+    assert op.find_passages(frame(spark, [])).count() == 0
+
+
 def test_bpe_stream(spark):
     from attrita.llm import bpe_stream as op
     from tokenizers import Tokenizer
