@@ -12,9 +12,11 @@ before kept; its result is written and read again as the next one's ``docs``:
    ``[SECRET]`` (n_chars follows);
 5. tokens: BPE ids of every text, with the digests of ids and decoded text.
 
-Edge cases: doc_ids are taken to be unique; of rows that repeat one, the near
-duplicate stage keeps one.  A row without doc_id can't be compared and is kept
-there.  Null and empty texts pass stages 2 to 4 unchanged.  Extra columns are
+Edge cases: stage 2 tells rows apart by doc_id and text, so rows that repeat a
+doc_id with different texts are compared like any others, and so are rows
+without doc_id (they come last in the order); rows alike in both are one, that
+whose other columns have the least hash.  Null and empty texts pass stages 2 to
+4 unchanged, white space alone too.  Extra columns are
 carried through stages 1 to 4.
 """
 
@@ -37,11 +39,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.where("doc_id is not null")
-    groups = ngram_jaccard.ngram_jaccard_join(named, width=WIDTH, percent=PERCENT)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
-        docs.where("doc_id is null"))
+    worded = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
+    named = docs.where(worded).withColumn("_row", row)
+    groups = ngram_jaccard.ngram_jaccard_join(named, "_row", width=WIDTH, percent=PERCENT)
+    stay = groups.where(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    rows = named.groupBy("_row").agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*others)), 256)).alias("_least"))
+    return rows.join(stay, "_row", "left_semi").select("_least.*").unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -396,6 +396,22 @@ def test_pipeline_near_duplicates_at_five_words_and_80_percent(spark):
     assert sorted(r.doc_id for r in kept) == [0, 2, 3, 4, 5]
 
 
+def test_pipeline_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(10)
+    a, b, c, d = (words(r, 40, 4000) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (None, c), (None, d), (None, d), (None, None), (None, None), (5, ""), (5, "")]
+    docs = frame(spark, [t for _, t in rows]).drop("doc_id").withColumnRenamed("row", "x")
+    docs = spark.createDataFrame([(i, *tuple(x)) for (i, _), x in zip(rows, docs.collect(), strict=True)],
+                                 "doc_id long, " + ", ".join(f"{n} {k}" for n, k in docs.dtypes))
+    for parts in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF)
+        assert got.columns == docs.columns
+        kept = sorted((x.doc_id or 0, x.text or "") for x in got.collect())
+        assert kept == sorted([(1, a), (2, b), (3, c), (0, d), (0, ""), (0, ""), (5, ""), (5, "")])
+
+
 @pytest.mark.parametrize("name", ["op6_url_filter", "op7_license_scan", "op3_pivot_topk", "op1_ngram_jaccard_join"])
 def test_sql_twin(spark, name):
     import duckdb
