@@ -13,13 +13,16 @@ positions refer to that form.  Items are taken in blocks of about
 grow: each further block is one more pass over the texts.
 
 Edge cases: null and empty texts match nothing; a null or blank item is left
-out, as is one under ``MIN_CHARS`` normalised characters, which would match
-everywhere; repeated rows, repeated items and null ids each give their own
+out; one under ``MIN_CHARS`` normalised characters has no error budget and
+matches between word boundaries only (a script without spaces has them
+everywhere); repeated rows, repeated items and null ids each give their own
 rows; an empty benchmark gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from attrita.llm.common import text_groups
 RATE = 0.08
 MIN_CHARS = 25
 BLOCK_CHARS = 500_000
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
@@ -43,6 +47,12 @@ def cut(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _inside_word(text: str, at: int) -> bool:
+    """Whether the place before character ``at`` lies within a word."""
+    around = text[max(0, at - 1):at + 1]
+    return 0 < at < len(text) and all(map(str.isalnum, around)) and not _UNSPACED.search(around)
+
+
 def _masks(pattern) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -76,14 +86,14 @@ def myers(masks: dict[str, int], m: int, text) -> tuple[int, int]:
 class Items:
     """A block of test items with the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[tuple], rate: float, min_chars: int):
         import ahocorasick
 
-        self.items, self.masks = [], []
+        self.items, self.masks, self.min_chars = [], [], min_chars
         self.pieces = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for ident, text in items:
-            budget = int(rate * len(text))
+            budget = int(rate * len(text)) if len(text) >= min_chars else 0
             for offset, piece in cut(text, budget):
                 places.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((ident, text, budget))
@@ -115,6 +125,11 @@ class Items:
         out = []
         for i, own in self.stretches(text).items():
             _, item, budget = self.items[i]
+            if len(item) < self.min_chars:
+                at = next((a for a in _places(item, text, own) if not (_inside_word(text, a) or _inside_word(text, a + len(item)))), None)
+                if at is not None:
+                    out.append((i, 0, at, at + len(item)))
+                continue
             best = None
             for a, b in own:
                 edits, end = myers(self.masks[i], len(item), text[a:b])
@@ -128,6 +143,14 @@ class Items:
         return out
 
 
+def _places(item: str, text: str, stretches: list[list[int]]):
+    """Starts of the item's occurrences within the stretches."""
+    for a, b in stretches:
+        while (a := text.find(item, a, b)) >= 0:
+            yield a
+            a += 1
+
+
 def _merged(stretches: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(stretches):
@@ -138,14 +161,14 @@ def _merged(stretches: list[list[int]]) -> list[list[int]]:
     return out
 
 
-_built: dict[int, Items] = {}
+_built: dict[tuple[int, float, int], Items] = {}
 
 
-def _items(block, rate: float) -> Items:
-    if block.id not in _built:
+def _items(block, rate: float, min_chars: int) -> Items:
+    if (key := (block.id, rate, min_chars)) not in _built:
         _built.clear()
-        _built[block.id] = Items(block.value, rate)
-    return _built[block.id]
+        _built[key] = Items(block.value, rate, min_chars)
+    return _built[key]
 
 
 class _Block:
@@ -159,7 +182,7 @@ class _Block:
         return self.broadcast.value
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: int) -> list[_Block]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[_Block]:
     """The normalised items in blocks of bounded size, one collected at a time."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col)
     total = rows.agg(F.sum(F.length(text_col))).first()[0] or 0
@@ -167,7 +190,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, min_chars: i
     out = []
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == b).collect()
-        items = sorted(((r[0], t) for r in part if len(t := normalise(r[1])) >= min_chars), key=repr)
+        items = sorted(((r[0], t) for r in part if (t := normalise(r[1]))), key=repr)
         if items:
             broadcast = benchmark.sparkSession.sparkContext.broadcast(items)
             out.append(_Block(broadcast, hash(repr(items))))
@@ -184,10 +207,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
     arrow = to_arrow_schema(schema)
     found = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark, item_col, item_text_col, min_chars):
+    for block in item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=block):
-            items = _items(block, rate)
+            items = _items(block, rate, min_chars)
             for part, texts in text_groups(batches):
                 rows = []
                 for at, text in enumerate(texts):
@@ -208,10 +231,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The rows whose text holds no test item, all columns as they are."""
     names = [text_col, *[c for c in docs.columns if c != text_col]]
     kept = docs.select(*names)
-    for block in item_blocks(benchmark, item_col, item_text_col, min_chars):
+    for block in item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=block):
-            items = _items(block, rate)
+            items = _items(block, rate, min_chars)
             for part, texts in text_groups(batches, 0):
                 yield part.filter(pa.array([not (n := normalise(t)) or not items.matches(n) for t in texts], type=pa.bool_()))
 

@@ -334,6 +334,18 @@ def test_decontaminate(spark):
     assert op.find_contamination(docs, bench.limit(0)).count() == 0 and op.drop_contaminated(docs, bench.limit(0)).columns == docs.columns
 
 
+def test_decontaminate_short_items(spark):
+    from attrita.llm import decontaminate as op
+
+    items = ["What is 2 + 2?", "cat", "中国的首都是哪里", " ", "a ca"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["so what is  2 + 2? four", "concatenate cats", "catcat cat.", "请问中国的首都是哪里呢", "what is 2 + 3?", None]
+    docs = frame(spark, texts)
+    got = sorted((x.doc_id, x.item_id, x.edits, x.start, x.end) for x in op.find_contamination(docs, bench).collect())
+    assert got == [(0, 0, 0, 3, 17), (2, 1, 0, 7, 10), (3, 2, 0, 2, 10)]
+    assert sorted(x.doc_id for x in op.drop_contaminated(docs, bench).collect()) == [1, 4, 5]
+
+
 def test_quality_mil(spark):
     from attrita.llm import quality_mil as op
 
