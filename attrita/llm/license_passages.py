@@ -30,6 +30,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attrita.llm.common import written
 from attrita.llm.license_scan import TEMPLATES, THRESHOLD, normalised_words
 
 _MIT_GRANT = (
@@ -124,6 +125,7 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("_text").isNotNull() & F.exists(F.array(text), anchored))
     rows = some.groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", F.sha2(F.concat(
         F.sha2("_text", 256), F.col("_id").isNull().cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256))
+    rows = written(rows, "passages")  # read twice below
     pairs = F.flatten(F.transform(F.array(F.split(text, " ")), lambda w: F.transform(
         F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))))
     hits = rows.select("_key", "_id", "_n", F.posexplode(pairs).alias("_at", "_gram")).join(F.broadcast(grams), "_gram")
