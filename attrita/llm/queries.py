@@ -19,6 +19,7 @@ MODULES = {
     "op8_bpe_stream": "bpe_stream",
     "op9_decontaminate": "decontaminate",
     "op10_quality_mil": "quality_mil",
+    "op13_periodic_runs": "periodic_runs",
 }
 
 
