@@ -19,6 +19,8 @@ MODULES = {
     "op8_bpe_stream": "bpe_stream",
     "op9_decontaminate": "decontaminate",
     "op10_quality_mil": "quality_mil",
+    "op11_piecewise_hash": "piecewise_hash",
+    "op12_source_divergence": "source_divergence",
     "op13_periodic_runs": "periodic_runs",
 }
 
