@@ -44,6 +44,8 @@ CORRELATION_COLUMNS = NUMERIC_COLUMNS + ["exited"]
 ORIGINAL_FEATURES = ["credit_score", "age", "tenure", "balance", "num_products", "estimated_salary"]
 ENGINEERED_FEATURES = ["balance_to_salary_ratio", "tenure_by_age", "products_per_year",
                        "complain_risk_score", "is_high_value", "has_zero_balance"]
+WIDE_CORRELATION_COLUMNS = NUMERIC_COLUMNS + ["has_cr_card", "is_active_member"] + ENGINEERED_FEATURES + [
+    "age_group", "credit_score_category", "tenure_category", "active_high_balance", "exited"]
 
 HISTOGRAM_BINS = 30          # feature histograms
 RISK_HISTOGRAM_BINS = 15     # risk score histogram
@@ -144,6 +146,8 @@ RISK_PLANS = [
 # FIXED VALUES: segmentation
 # --------------------------------------------------------------------------
 
+# Folds whose out-of-fold margins a margin model is calibrated on.
+CALIBRATION_FOLDS = 3
 N_CLUSTERS = 4
 KMEANS_RESTARTS = 10
 SEED = 42

@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,16 +27,19 @@ from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.functions.stats import rnd
+from attrita.ml.calibration import Calibrator, fit_calibrator
 from attrita.operators.evaluation import confusion_metrics, roc_auc
 from attrita.operators.features import ENGINEERED_COLUMNS, engineer_features
 from attrita.operators.quantile import exact_median
-from attrita.operators.split import stratified_split
+from attrita.operators.split import split_hash, stratified_split
 from attrita.sources.sinks import materialize
 
 NUMERIC_INPUTS = ["credit_score", "age", "tenure", "balance", "num_products", "has_cr_card",
                   "is_active_member", "estimated_salary"]
 CATEGORICAL_INPUTS = ["gender", "geography"]
 LABEL = "exited"
+#: Kinds whose raw output is a margin: calibrated, they give probabilities.
+MARGIN_KINDS = ("svm",)
 
 
 def encoder_stages(categorical: list[str] = CATEGORICAL_INPUTS, handle_invalid: str = "error"):
@@ -100,19 +104,22 @@ class TrainedModel:
     fit_seconds: float
     columns: list[str] = field(default_factory=feature_inputs)
     skipped_rows: int = 0
+    calibrator: Calibrator | None = None
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path + "/model")
         spark = SparkSession.getActiveSession()
         meta = json.dumps({"kind": self.kind, "median_balance": self.median_balance,
-                           "columns": self.columns, "fit_seconds": self.fit_seconds})
+                           "columns": self.columns, "fit_seconds": self.fit_seconds,
+                           "calibrator": asdict(self.calibrator) if self.calibrator else None})
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(path + "/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TrainedModel":
         meta = json.loads(spark.read.text(path + "/meta").first()[0])
         return TrainedModel(meta["kind"], PipelineModel.load(path + "/model"), meta["median_balance"],
-                            meta["fit_seconds"], meta["columns"])
+                            meta["fit_seconds"], meta["columns"],
+                            calibrator=Calibrator(**c) if (c := meta.get("calibrator")) else None)
 
 
 def split_features(profile: DataFrame, test_fraction: float = C.TEST_FRACTION):
@@ -154,13 +161,44 @@ def sized_for_training(df: DataFrame, rows_per_partition: int = 10_000, key: str
     return sized
 
 
+def with_fold(df: DataFrame, folds: int, key: str = "customer_id") -> DataFrame:
+    """``df`` plus ``fold`` 0..folds-1, by a hash of the key (rows without key: fold 0)."""
+    return df.withColumn("fold", F.coalesce(F.pmod(split_hash(key), F.lit(folds)), F.lit(0)).cast("int"))
+
+
+def fit_margin_model(train: DataFrame, kind: str, method: str, folds: int = C.CALIBRATION_FOLDS,
+                     **params) -> tuple[PipelineModel, Calibrator]:
+    """M9: a margin model and its calibrator.  Encoding and scaling are fitted once; the model is fitted on all rows
+    and, for the calibrator, once without each fold, whose margins it then gives."""
+    *stages, estimator = build_pipeline(kind, **params).getStages()
+    prep = Pipeline(stages=stages).fit(train)
+    vectors = with_fold(prep.transform(train), folds).select(LABEL, "fold", "scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = estimator.fit(vectors)
+        unseen = []
+        for f in range(folds):
+            others = vectors.where(F.col("fold") != f)
+            if others.select(LABEL).distinct().count() == 2:
+                own = estimator.fit(others).transform(vectors.where(F.col("fold") == f))
+                unseen.append(own.select(LABEL, vector_to_array("rawPrediction")[1].alias("margin")))
+        if not unseen:      # too few rows to hold any out
+            unseen = [model.transform(vectors).select(LABEL, vector_to_array("rawPrediction")[1].alias("margin"))]
+        margins = materialize(reduce(DataFrame.unionByName, unseen), "margins")
+    finally:
+        vectors.unpersist()
+    return PipelineModel(stages=[*prep.stages, model]), fit_calibrator(margins, "margin", LABEL, method)
+
+
 def train_model(profile: DataFrame, kind: str = "gbt", test_fraction: float = C.TEST_FRACTION,
-                feats: DataFrame | None = None, median: float | None = None, **params) -> tuple[TrainedModel, DataFrame]:
+                feats: DataFrame | None = None, median: float | None = None, calibration: str = "isotonic",
+                **params) -> tuple[TrainedModel, DataFrame]:
     """M3: fit on the training split; returns the model and the split feature table.
 
     A training row with a NULL or NaN label or input (a malformed field, an age
     outside every bin) can't be fitted and is left out of the fit;
-    ``TrainedModel.skipped_rows`` has the count.  The feature table keeps it."""
+    ``TrainedModel.skipped_rows`` has the count.  The feature table keeps it.
+    ``calibration`` is the method that turns a margin model's margins into
+    probabilities."""
     if feats is None:
         feats, median = split_features(profile, test_fraction)
     rows = feats.where(F.col("split") == "train")
@@ -168,25 +206,27 @@ def train_model(profile: DataFrame, kind: str = "gbt", test_fraction: float = C.
     train = sized_for_training(usable, ROWS_PER_TRAINING_PARTITION.get(kind, 10_000))
     try:
         t = time.time()
-        model = build_pipeline(kind, **params).fit(train)
+        if kind in MARGIN_KINDS:
+            model, calibrator = fit_margin_model(train, kind, calibration, **params)
+        else:
+            model, calibrator = build_pipeline(kind, **params).fit(train), None
         secs = time.time() - t
         skipped = rows.count() - train.count()
     finally:
         train.unpersist()
-    return TrainedModel(kind, model, median, secs, skipped_rows=skipped), feats
-
-
-def probability_column(kind: str) -> F.Column:
-    """M4: class-1 probability (raw margin for the SVM, which has no probability)."""
-    if kind == "svm":
-        return vector_to_array("rawPrediction")[1]
-    return vector_to_array("probability")[1]
+    return TrainedModel(kind, model, median, secs, skipped_rows=skipped, calibrator=calibrator), feats
 
 
 def score(trained: TrainedModel, feats: DataFrame) -> DataFrame:
-    """Apply the fitted pipeline; adds ``churn_probability``."""
+    """M4: apply the fitted pipeline; adds ``churn_probability``, the class-1
+    probability, for a margin model the calibrated one."""
     out = trained.model.transform(feats)
-    return out.withColumn("churn_probability", probability_column(trained.kind))
+    if trained.kind not in MARGIN_KINDS:
+        return out.withColumn("churn_probability", vector_to_array("probability")[1])
+    if trained.calibrator is None:
+        raise ValueError("a margin is no probability: this model was saved without a calibrator, train it again")
+    return trained.calibrator.apply(out.withColumn("_margin", vector_to_array("rawPrediction")[1]), "_margin",
+                                    "churn_probability").drop("_margin")
 
 
 def score_profile(trained: TrainedModel, profile: DataFrame) -> DataFrame:
@@ -194,19 +234,18 @@ def score_profile(trained: TrainedModel, profile: DataFrame) -> DataFrame:
     return score(trained, engineer_features(profile, trained.median_balance))
 
 
-def evaluate(scored: DataFrame, kind: str, threshold: float = 0.5) -> dict:
-    """M5/M6: exact AUC plus confusion metrics at ``threshold`` (0 for SVM margins)."""
-    thr = 0.0 if kind == "svm" else threshold
+def evaluate(scored: DataFrame, kind: str | None = None, threshold: float = 0.5) -> dict:
+    """M5/M6: exact AUC plus confusion metrics at ``threshold``; ``kind`` names the result."""
     scored = materialize(scored.select(LABEL, "churn_probability"), "scores")    # the model runs once
     out = roc_auc(scored, LABEL, "churn_probability").first().asDict()
-    out.update(confusion_metrics(scored, LABEL, "churn_probability", thr).first().asDict())
-    return out
+    out.update(confusion_metrics(scored, LABEL, "churn_probability", threshold).first().asDict())
+    return {"model": kind, **out}
 
 
 def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"),
                 params: dict[str, dict] | None = None) -> DataFrame:
     """M12 (+ M7-M9, M11): fit each model on the same split, score the test
-    rows, rank by AUC; ``vote`` averages the probability-producing models."""
+    rows, rank by AUC; ``vote`` averages all models' probabilities."""
     params = params or {}
     feats, median = split_features(profile)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
@@ -217,16 +256,15 @@ def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"
         trained, _ = train_model(profile, kind, feats=feats, median=median, **params.get(kind, {}))
         # Each row carries the probabilities of all models so far: no join for the vote.
         scored = score(trained, test)
-        m = evaluate(scored, kind)
+        m = evaluate(scored)
         rows.append((kind, m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"],
                      round(trained.fit_seconds, 3)))
-        if kind != "svm":
-            voters.append(f"_p{len(voters)}")
-            columns = [*columns, voters[-1]]
-            test = scored.withColumn(voters[-1], F.col("churn_probability")).select(*columns)
+        voters.append(f"_p{len(voters)}")
+        columns = [*columns, voters[-1]]
+        test = scored.withColumn(voters[-1], F.col("churn_probability")).select(*columns)
     if len(voters) > 1:
         # Soft vote - mean of the model probabilities.
-        m = evaluate(test.withColumn("churn_probability", soft_vote(voters)), "vote")
+        m = evaluate(test.withColumn("churn_probability", soft_vote(voters)))
         rows.append(("vote", m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"], None))
     feats.unpersist()
     spark = profile.sparkSession

@@ -18,7 +18,9 @@ from attrita import config as C
 from attrita.operators.prefix import null_safe_join
 from attrita.functions.bins import equal_width_bin
 from attrita.functions.stats import pct, rnd
+from attrita.operators.broadcast import bounded_local
 from attrita.operators.quantile import exact_quantiles, long_values
+from attrita.operators.selection import MAX_GROUPS, sketch
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
@@ -63,6 +65,36 @@ def churn_rate_by_code(df: DataFrame, key: str, labels: list[str], first_code: i
                     F.coalesce("churned", F.lit(0)).cast("long").alias("churned")))
 
 
+#: Coded columns of the overview: their labels and first code.
+OVERVIEW_CODES = {"is_active_member": (C.ACTIVITY_LABELS, 0), "age_group": (C.AGE_LABELS, 1),
+                  "credit_score_category": (C.CREDIT_LABELS, 1), "tenure_category": (C.TENURE_LABELS, 1)}
+OVERVIEW = ["geography", "gender", "num_products", *OVERVIEW_CODES]
+
+
+def churn_overview(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
+    """A6-A12 + J2 in one pass: (dimension, level, label, churn_rate_pct,
+    customers, churned) by each of ``dims`` on its own.
+
+    One aggregate over grouping sets: each row is combined under all dimensions
+    before the shuffle, and ``grouping_id`` tells a set's own column from the
+    others, so a NULL level stays a level.  Codes without customers are kept,
+    with a null rate."""
+    dims = dims or OVERVIEW
+    of_set = {(1 << len(dims)) - 1 - (1 << len(dims) - 1 - i): c for i, c in enumerate(dims)}
+    own = F.element_at(F.create_map(*[F.lit(x) for k, c in of_set.items() for x in (k, c)]), F.col("_set").cast("int"))
+    level = F.coalesce(*[F.when(F.col("dimension") == c, F.col(c).cast("string")) for c in dims])
+    rates = (df.select("exited", *dims).groupingSets([[c] for c in dims], *dims)
+             .agg(F.grouping_id().alias("_set"), rnd(pct(F.sum("exited"), F.count(F.lit(1)))).alias("churn_rate_pct"),
+                  F.count(F.lit(1)).alias("customers"), F.sum("exited").cast("long").alias("churned"))
+             .withColumn("dimension", own).select("dimension", level.alias("level"), "churn_rate_pct", "customers", "churned"))
+    codes = [(c, str(first + i), label) for c, (labels, first) in OVERVIEW_CODES.items() if c in dims for i, label in enumerate(labels)]
+    known = _spark(df).createDataFrame(codes, "dimension string, level string, label string")
+    none = F.lit(0).cast("long")
+    return (rates.join(known, ["dimension", "level"], "full_outer")
+            .select("dimension", "level", F.coalesce("label", "level").alias("label"), "churn_rate_pct",
+                    F.coalesce("customers", none).alias("customers"), F.coalesce("churned", none).alias("churned")))
+
+
 def min_max(df: DataFrame, cols: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """Min and max of several columns in one aggregate (one small row)."""
     row = df.agg(*[e for c in cols for e in (F.min(c).alias(f"mn_{c}"), F.max(c).alias(f"mx_{c}"))]).first()
@@ -134,7 +166,9 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
     """A3/A4: count, mean, sample std, min, 25/50/75 %, max per column (per group).
 
     Long form (by..., column, stats...).  Quantiles are exact (linearly
-    interpolated, two jobs) by default; with ``approx_accuracy`` they come
+    interpolated) by default: the aggregate of the moments holds the sketches
+    that bracket their ranks as well, and a second pass picks the values.  With
+    ``approx_accuracy`` they come
     from ``percentile_approx`` in the same single aggregate as the moments
     (bounded memory per group, rank error about 1/accuracy) - the option for
     many groups or when exact values are not needed.
@@ -142,24 +176,24 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
     by = by or []
     keys = by + ["column"]
 
+    quartiles = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+
     def stats(c: str) -> F.Column:
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        approx = [] if approx_accuracy is None else [
-            rnd(F.percentile_approx(v, p, approx_accuracy).cast("double")).alias(name)
-            for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        ranks = [sketch(v, list(quartiles)).alias("sketched")] if approx_accuracy is None else [
+            rnd(F.percentile_approx(v, p, approx_accuracy).cast("double")).alias(name) for p, name in quartiles.items()]
         return F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), rnd(F.avg(v)).alias("mean"),
-                        rnd(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *approx)
+                        rnd(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *ranks)
 
     # One wide row per group, turned into a row per column afterwards; a column without values has none.
     wide = df.groupBy(*by).agg(F.array(*[stats(c) for c in cols]).alias("_stats"))
     moments = wide.select(*by, F.inline("_stats")).where("count > 0")
     if approx_accuracy is not None:
         return moments.select(*keys, *DESCRIBE_STATS)
-    q = (exact_quantiles(df, cols, [0.25, 0.5, 0.75], by)
-         .groupBy(*keys)
-         .agg(*[rnd(F.max(F.when(F.col("prob") == p, F.col("value")))).alias(name)
-                for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
-    return null_safe_join(moments, q, keys).select(*keys, *DESCRIBE_STATS)
+    moments = bounded_local(moments, MAX_GROUPS)
+    q = (exact_quantiles(df, cols, list(quartiles), by, moments.withColumnRenamed("count", "n"))
+         .groupBy(*keys).agg(*[rnd(F.max(F.when(F.col("prob") == p, F.col("value")))).alias(name) for p, name in quartiles.items()]))
+    return null_safe_join(q, moments, keys).select(*keys, *DESCRIBE_STATS)
 
 
 def describe_transposed(df: DataFrame, cols: list[str]) -> DataFrame:

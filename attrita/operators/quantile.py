@@ -1,20 +1,18 @@
 """Exact quantiles (linear interpolation, like pandas and SQL quantile_cont).
 
 Spark's exact ``percentile`` merges one value->count map per group in a single
-task, which does not survive a continuous column at scale.  Here the values
-are first collapsed to (value, count) by a partial aggregation, then ranked
-with ``ordered_cumulative``; the rows holding each requested rank are picked
-by a filter on the group total carried by every row (no join on group keys).
+task, which does not survive a continuous column at scale.  Here a sketch
+brackets the wanted ranks and one pass over the values counts what lies below
+and inside the brackets (``selection``); the column is neither sorted nor
+shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.operators.prefix import ordered_cumulative
+from attrita.operators.selection import at_ranks, sketch
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -25,33 +23,34 @@ def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    by: list[str] | None = None) -> DataFrame:
-    """Rows (by..., column, prob, value) for every column x prob (x group)."""
+def bracketed(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, n, sketched): the sketches that ``exact_quantiles`` starts from, one wide aggregate."""
+    def own(c):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("n"), sketch(v, probs).alias("sketched"))
+
+    return df.groupBy(*(by or [])).agg(F.array(*[own(c) for c in cols]).alias("_all")).select(
+        *(by or []), F.inline("_all")).where("n > 0")
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
+                    brackets: DataFrame | None = None) -> DataFrame:
+    """Rows (by..., column, prob, value) for every column x prob (x group).
+    ``brackets``: what ``bracketed`` gives for the same arguments, if it is known."""
     by = by or []
     keys = by + ["column"]
-    vc = long_values(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered_cumulative(vc, keys, "v", ["n"])
-    conds, hits = [], []
-    start = F.col("cum_n") - F.col("n")
-    for p in probs:
-        # Same double arithmetic as pos = (N - 1) * p, lo = floor, hi = ceil.
-        pos = (F.col("total_n") - 1).cast("double") * F.lit(float(p))
-        lo, hi, frac = F.floor(pos), F.ceil(pos), pos - F.floor(pos)
-        hit_lo = (start <= lo) & (lo < F.col("cum_n"))
-        hit_hi = (start <= hi) & (hi < F.col("cum_n"))
-        conds.append(hit_lo | hit_hi)
-        hits.append(F.when(hit_lo | hit_hi, F.struct(
-            F.lit(float(p)).alias("prob"),
-            F.when(hit_lo, F.col("v")).alias("v_lo"), F.when(hit_hi, F.col("v")).alias("v_hi"),
-            frac.alias("frac"))))
-    # One pass over the ranked values: each row emits the targets it holds.
-    picked = (ranked.where(reduce(lambda a, b: a | b, conds))
-              .select(*keys, F.inline(F.array_compact(F.array(*hits))))
-              .groupBy(*keys, "prob")
-              .agg(F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"), F.first("frac").alias("frac")))
-    return picked.select(*keys, "prob",
-                         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("value"))
+    # Same double arithmetic as pos = (N - 1) * p, lo = floor, hi = ceil.
+    pos = lambda n, p: (n - 1).cast("double") * F.lit(float(p))
+    wanted = [(f"{i}{end}", lambda n, p=p, cut=cut: cut(pos(n, p)))
+              for i, p in enumerate(probs) for end, cut in (("lo", F.floor), ("hi", F.ceil))]
+    found = at_ranks(long_values(df, cols, by), keys, "v", brackets if brackets is not None else bracketed(df, cols, probs, by),
+                     sorted(probs), wanted)
+    place = F.regexp_extract("target", r"^\d+", 0).cast("int")
+    picked = found.select(*keys, "n", "v", "target", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), place + 1).alias("prob")).groupBy(
+        *keys, "prob", "n").agg(F.max(F.when(F.col("target").endswith("lo"), F.col("v"))).alias("v_lo"),
+                                F.max(F.when(F.col("target").endswith("hi"), F.col("v"))).alias("v_hi"))
+    at = (F.col("n") - 1).cast("double") * F.col("prob")
+    return picked.select(*keys, "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (at - F.floor(at))).alias("value"))
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:

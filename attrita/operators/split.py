@@ -1,10 +1,10 @@
 """M1: exact, reproducible stratified train/test split.
 
 Each row gets a pseudo-random but deterministic position from its key (two
-rounds of the Lehmer generator, arithmetic any SQL engine reproduces), the
-position within its class comes from ``ordered_cumulative`` (no window over a
-whole class), and the first ceil(test_fraction * class size) positions form
-the test set.  Re-running, or losing an executor mid-way, gives the same split.
+rounds of the Lehmer generator, arithmetic any SQL engine reproduces), and the
+first ceil(test_fraction * class size) positions of a class form the test set.
+Only the last of them is looked for, by bracketed selection: no class is sorted.
+Re-running, or losing an executor mid-way, gives the same split.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attrita import config as C
-from attrita.operators.broadcast import bounded_broadcast
-from attrita.operators.prefix import null_safe_join, ordered_cumulative
-from attrita.sources.sinks import materialize
+from attrita.operators.broadcast import bounded_local
+from attrita.operators.prefix import null_safe_join
+from attrita.operators.selection import at_ranks, sketch
 
 LEHMER_A = 48271
 LEHMER_M = 2147483647
@@ -34,18 +34,15 @@ def stratified_split(df: DataFrame, key: str = "customer_id", label: str = "exit
                      test_fraction: float = C.TEST_FRACTION) -> DataFrame:
     """``df`` plus ``split`` in {"train", "test"}, exactly stratified by ``label``.
 
-    Only (label, position, key) is ranked; the last test position of each class
-    then decides for its rows, so the full rows are not shuffled.  Rows that
-    repeat a key within a class fall on the same side.  A row without key has
-    no position and trains."""
-    h = split_hash(key)
-    narrow = df.where(F.col(key).isNotNull()).select(label, h.alias("_h"), F.col(key).alias("_k"),
-                                                     F.lit(1).alias("_one"))
-    ranked = ordered_cumulative(narrow, [label], "_h", ["_one"], tiebreak_cols=["_k"])
+    The last test position of each class decides for its rows, so the full rows
+    are not shuffled.  Rows that repeat a key within a class fall on the same
+    side.  A row without key has no position and trains."""
+    narrow = df.where(F.col(key).isNotNull()).select(label, split_hash(key).alias("_h"), F.col(key).alias("_k"))
     pct = int(round(test_fraction * 100))      # ceil(n * pct / 100) in integers
-    n_test = F.floor((F.col("total__one") * F.lit(pct) + F.lit(99)) / F.lit(100))
-    cuts = materialize(ranked.where(F.col("cum__one") == n_test)
-                       .select(label, F.struct("_h", "_k").alias("_cut")), "split-cuts")
-    placed = null_safe_join(df, bounded_broadcast(cuts, MAX_BROADCAST_CLASSES), [label], "left")
-    in_test = F.col(key).isNotNull() & (F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_cut"))
+    brackets = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("n"), sketch(F.col("_h"), [pct / 100]).alias("sketched"))
+    last = lambda n: F.floor((n * F.lit(pct) + F.lit(99)) / F.lit(100)) - 1
+    cuts = at_ranks(narrow, [label], "_h", brackets, [pct / 100], [("cut", last)], ties=["_k"])
+    cuts = bounded_local(cuts.select(label, F.struct("_h", "_k").alias("_cut")), MAX_BROADCAST_CLASSES)
+    placed = null_safe_join(df, cuts, [label], "left")
+    in_test = F.col(key).isNotNull() & (F.struct(split_hash(key).alias("_h"), F.col(key).alias("_k")) <= F.col("_cut"))
     return placed.select(*df.columns, F.when(in_test, F.lit("test")).otherwise(F.lit("train")).alias("split"))

@@ -19,6 +19,7 @@ from attrita.functions.stats import rnd
 from attrita.operators import correlation as corr
 from attrita.operators import evaluation as ev
 from attrita.operators import explore as ex
+from attrita.operators import gram
 from attrita.operators import rules as ru
 from attrita.operators import segments as sg
 from attrita.operators.features import (align_columns, category_levels, engineer_features, one_hot_drop_first,
@@ -160,6 +161,11 @@ def q_churn_by_tenure_category(spark, sf_dir):
                                  C.TENURE_LABELS)
 
 
+def q_churn_overview(spark, sf_dir):
+    """All the churn rates by one column from one scan."""
+    return ex.churn_overview(_features(spark, sf_dir, ["age_group", "credit_score_category", "tenure_category"]))
+
+
 def q_churn_by_risk_level(spark, sf_dir):
     return ex.churn_rate_by_equal_width(_features(spark, sf_dir, ["complain_risk_score"]), "complain_risk_score",
                                         C.RISK_SCORE_LEVELS)
@@ -182,6 +188,11 @@ def q_correlation_matrix(spark, sf_dir):
     return corr.correlation_matrix(_profile(spark, sf_dir), C.CORRELATION_COLUMNS)
 
 
+def q_wide_correlation_matrix(spark, sf_dir):
+    """A17 over every numeric feature, engineered ones and the label included."""
+    return gram.wide_correlation_matrix(_features(spark, sf_dir), C.WIDE_CORRELATION_COLUMNS)
+
+
 def q_churn_correlation(spark, sf_dir):
     return corr.correlation_with(_profile(spark, sf_dir), C.CORRELATION_COLUMNS)
 
@@ -291,10 +302,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "churn_by_credit_category": q_churn_by_credit_category,
     "churn_by_tenure_category": q_churn_by_tenure_category,
     "churn_by_risk_level": q_churn_by_risk_level,
+    "churn_overview": q_churn_overview,
     "feature_histogram": q_feature_histogram,
     "feature_histogram_by_class": q_feature_histogram_by_class,
     "risk_score_histogram": q_risk_score_histogram,
     "correlation_matrix": q_correlation_matrix,
+    "wide_correlation_matrix": q_wide_correlation_matrix,
     "churn_correlation": q_churn_correlation,
     "feature_power": q_feature_power,
     "segment_profile": q_segment_profile,

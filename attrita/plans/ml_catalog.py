@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrita import config as C
+from attrita.ml import calibration as cal
 from attrita.ml import clustering as cl
 from attrita.ml import explain as xp
 from attrita.ml import models as md
@@ -51,7 +52,22 @@ def _segmentation(spark, sf_dir):
 
 def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2-M4 + R5-R7: model probability per customer with its risk level."""
-    trained, feats = _trained(spark, sf_dir)
+    return _scores(spark, sf_dir, "gbt")
+
+
+def q_svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 + M4 + R5-R7: the linear SVM's calibrated probability per customer."""
+    return _scores(spark, sf_dir, "svm")
+
+
+def q_rule_calibration(spark, sf_dir):
+    """M4: isotonic calibration of the rule score."""
+    scored = ru.rule_scores(_profile(spark, sf_dir), GEO).select("exited", "rule_score")
+    return cal.calibration_table(scored, "rule_score", "exited")
+
+
+def _scores(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    trained, feats = _trained(spark, sf_dir, kind)
     scored = md.score(trained, feats)
     out = ru.rule_scores(scored.select(*feats.columns, "churn_probability"), GEO,
                          probability=F.col("churn_probability"))
@@ -225,6 +241,8 @@ def q_stream_inactivity_alerts(spark, sf_dir):
 ML_QUERIES = {
     "stream_inactivity_alerts": q_stream_inactivity_alerts,
     "gbt_scores": q_gbt_scores,
+    "svm_scores": q_svm_scores,
+    "rule_calibration": q_rule_calibration,
     "gbt_test_metrics": q_gbt_test_metrics,
     "model_leaderboard": q_model_leaderboard,
     "feature_importance": q_feature_importance,

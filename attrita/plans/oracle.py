@@ -165,6 +165,33 @@ def _corr_matrix() -> str:
     return _with(PROFILE, "\n" + "\nUNION ALL ".join(selects))
 
 
+def _wide_corr() -> str:
+    """Pairwise complete, one aggregate over all pairs, then unpivoted."""
+    cols = C.WIDE_CORRELATION_COLUMNS
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    both = lambda a, b: f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+    wide = ", ".join(f"round(covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) {both(a, b)} * stddev_pop({b}) {both(a, b)}, 0), 6) AS c{k}, "
+                     f"count(*) {both(a, b)} AS n{k}" for k, (a, b) in enumerate(pairs))
+    rows = " UNION ALL ".join(f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, c{k} AS corr, n{k} AS rows FROM wide"
+                              for k, (a, b) in enumerate(pairs) for x, y in dict.fromkeys(((a, b), (b, a))))
+    return _with(FEATURES, f", wide AS (SELECT {wide} FROM features)\n{rows}")
+
+
+def _overview() -> str:
+    codes = {"is_active_member": (C.ACTIVITY_LABELS, 0), "age_group": (C.AGE_LABELS, 1),
+             "credit_score_category": (C.CREDIT_LABELS, 1), "tenure_category": (C.TENURE_LABELS, 1)}
+    rates = " UNION ALL ".join(
+        f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS level, churn_rate_pct, customers, churned FROM ({_rate_by(c, 'features')})"
+        for c in ["geography", "gender", "num_products", *codes])
+    dim = _values([(c, str(first + i), lab) for c, (labels, first) in codes.items() for i, lab in enumerate(labels)],
+                  ["dimension", "level", "label"])
+    return _with(FEATURES, f""", rates AS ({rates})
+SELECT coalesce(r.dimension, d.dimension) AS dimension, coalesce(r.level, d.level) AS level,
+       coalesce(d.label, r.level) AS label, r.churn_rate_pct,
+       CAST(coalesce(r.customers, 0) AS BIGINT) AS customers, CAST(coalesce(r.churned, 0) AS BIGINT) AS churned
+FROM rates r FULL OUTER JOIN {dim} d ON r.dimension = d.dimension AND r.level = d.level""")
+
+
 def _corr_with() -> str:
     feats = [c for c in C.CORRELATION_COLUMNS if c != "exited"]
     u = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_corr(c, 'exited')} AS c FROM profile" for c in feats)
@@ -544,6 +571,8 @@ FROM d LEFT JOIN c ON c.exited = d.exited"""),
         "churn_by_credit_category": _rate_by_code("credit_score_category", C.CREDIT_LABELS, 1, FEATURES),
         "churn_by_tenure_category": _rate_by_code("tenure_category", C.TENURE_LABELS, 1, FEATURES),
         "churn_by_risk_level": _risk_levels(),
+        "churn_overview": _overview(),
+        "wide_correlation_matrix": _wide_corr(),
         "feature_histogram": _histogram_query(NUM, C.HISTOGRAM_BINS, False),
         "feature_histogram_by_class": _histogram_query(NUM, C.HISTOGRAM_BINS, True),
         "risk_score_histogram": _histogram_query(["complain_risk_score"], C.RISK_HISTOGRAM_BINS, True, True),
@@ -635,5 +664,13 @@ SELECT factor AS feature, round(avg(abs(wh / 100.0)), 6) AS mean_abs_contributio
             "rank <= min(CASE WHEN pct >= 80 THEN rank END) OVER () AS within_80pct"),
         "top_correlations": _importance("feature, importance, rank", "WHERE rank <= 10"),
         "score_leaderboard": _score_board(),
+        "rule_calibration": _with(SCORED, """,
+c AS (SELECT rule_score AS score, count(*) AS n, sum(CASE WHEN exited = 1 THEN 1 ELSE 0 END) AS pos FROM scored GROUP BY rule_score),
+r AS (SELECT *, row_number() OVER (ORDER BY score) AS i, sum(n) OVER (ORDER BY score) AS cn, sum(pos) OVER (ORDER BY score) AS cp FROM c),
+spans AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.pos)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS rate FROM r a JOIN r b ON a.i <= b.i),
+least AS (SELECT r.i, s.j, min(s.rate) AS m FROM r JOIN spans s ON s.j <= r.i AND s.k >= r.i GROUP BY r.i, s.j),
+best AS (SELECT i, max(m) AS v FROM least GROUP BY i)
+SELECT r.score, r.n AS customers, CAST(r.pos AS BIGINT) AS churned, round(r.pos::DOUBLE / r.n::DOUBLE, 6) AS observed,
+       round(best.v, 6) AS calibrated FROM r JOIN best USING (i)"""),
         "stream_inactivity_alerts": SILENCES,
     }

@@ -37,7 +37,7 @@ def test_actions_follow_level(spark):
     df = spark.createDataFrame([HIGH, MEDIUM, LOW], CANON_SCHEMA)
     got = {r.customer_id: r for r in retention_actions(df, "Germany").collect()}
     assert got[1].n_actions == 5 and "Simplification" in got[1].action_text
-    assert got[1].plan == "Immediate retention intervention" and got[1].roi_x == (75000 - 800) / 800
+    assert got[1].plan == "URGENT ACTION REQUIRED - High Risk Customer" and got[1].roi_x == (75000 - 800) / 800
     assert got[3].n_actions == 0 and got[3].risk_level == "LOW"
 
 
