@@ -221,6 +221,17 @@ EXPLAIN_BALANCE_BANDS = [(50000, "1-50k"), (150000, "50k-150k"), (200000, "150k-
 GBT_PARAMS = dict(maxIter=100, maxDepth=5, stepSize=0.05, subsamplingRate=0.8,
                   featureSubsetStrategy="0.8", seed=SEED)
 TEST_FRACTION = 0.2
+# Grid search (M10): parameters tried, sizes of the ensembles read off one fit, folds.
+GBT_GRID = {"maxDepth": (3, 5), "stepSize": (0.05, 0.1)}
+GBT_GRID_SIZES = (50, 100)
+RF_GRID = {"maxDepth": (5, 8), "minInstancesPerNode": (1, 5)}
+RF_GRID_SIZES = (50, 100)
+GRID_FOLDS = 5
+# The same in the registered queries, small enough for a test run.
+QUERY_GBT_GRID = {"maxDepth": (3, 5), "stepSize": (0.1,)}
+QUERY_RF_GRID = {"maxDepth": (5, 8)}
+QUERY_GRID_SIZES = (10, 20)
+QUERY_GRID_FOLDS = 3
 
 # --------------------------------------------------------------------------
 # Parameters of the profile built from the star-schema test tables

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -243,21 +244,26 @@ def evaluate(scored: DataFrame, kind: str | None = None, threshold: float = 0.5)
 
 
 def leaderboard(profile: DataFrame, kinds: list[str] = ("lr", "rf", "gbt", "svm"),
-                params: dict[str, dict] | None = None) -> DataFrame:
+                params: dict[str, dict] | None = None, tune: Callable[[DataFrame], dict[str, dict]] | None = None) -> DataFrame:
     """M12 (+ M7-M9, M11): fit each model on the same split, score the test
-    rows, rank by AUC; ``vote`` averages all models' probabilities."""
+    rows, rank by AUC; ``vote`` averages all models' probabilities.
+
+    ``tune``: given the split's features, the best parameters of each kind that
+    it has searched on the training rows; they add a row ``<kind>_tuned`` each."""
     params = params or {}
     feats, median = split_features(profile)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    entries = [(kind, kind, params.get(kind, {})) for kind in kinds]
+    entries += [(f"{kind}_tuned", kind, best) for kind, best in sorted((tune(feats) if tune else {}).items())]
     test = feats.where(F.col("split") == "test")
     rows, voters = [], []
     columns = test.columns
-    for kind in kinds:
-        trained, _ = train_model(profile, kind, feats=feats, median=median, **params.get(kind, {}))
+    for name, kind, given in entries:
+        trained, _ = train_model(profile, kind, feats=feats, median=median, **given)
         # Each row carries the probabilities of all models so far: no join for the vote.
         scored = score(trained, test)
         m = evaluate(scored)
-        rows.append((kind, m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"],
+        rows.append((name, m["roc_auc"], m["f1"], m["accuracy"], m["precision"], m["recall"],
                      round(trained.fit_seconds, 3)))
         voters.append(f"_p{len(voters)}")
         columns = [*columns, voters[-1]]

@@ -16,11 +16,13 @@ from attrita.ml import calibration as cal
 from attrita.ml import clustering as cl
 from attrita.ml import explain as xp
 from attrita.ml import models as md
+from attrita.ml import tuning
 from attrita.functions.rules import weight_entries
 from attrita.operators import correlation as corr
 from attrita.operators import rules as ru
 from attrita.operators import segments as sg
 from attrita.operators.features import engineer_features
+from attrita.sources.sinks import materialize
 
 GEO = C.TEST_HIGH_RISK_REGION
 _MEMO: dict = {}
@@ -91,6 +93,26 @@ def q_model_leaderboard(spark, sf_dir):
     return md.leaderboard(_profile(spark, sf_dir))
 
 
+QUERY_GRIDS = (tuning.Grid("gbt", C.QUERY_GBT_GRID, C.QUERY_GRID_SIZES), tuning.Grid("rf", C.QUERY_RF_GRID, C.QUERY_GRID_SIZES))
+
+
+def _grid(spark, sf_dir) -> DataFrame:
+    def make():
+        feats = _memo(spark, sf_dir, "features", lambda: materialize(md.split_features(_profile(spark, sf_dir))[0], "features"))
+        return tuning.grid_search(feats, QUERY_GRIDS, C.QUERY_GRID_FOLDS)
+    return _memo(spark, sf_dir, "grid", make)
+
+
+def q_grid_search(spark, sf_dir):
+    """Boosted trees and random forest over their grids."""
+    return _grid(spark, sf_dir)
+
+
+def q_tuned_leaderboard(spark, sf_dir):
+    """M10 + M12: the tuned models beside the baseline, and the vote of all."""
+    return md.leaderboard(_profile(spark, sf_dir), ["lr"], tune=lambda feats: tuning.best_params(_grid(spark, sf_dir)))
+
+
 def q_feature_importance(spark, sf_dir):
     """E1 + W3."""
     trained, feats = _trained(spark, sf_dir)
@@ -245,6 +267,8 @@ ML_QUERIES = {
     "rule_calibration": q_rule_calibration,
     "gbt_test_metrics": q_gbt_test_metrics,
     "model_leaderboard": q_model_leaderboard,
+    "grid_search": q_grid_search,
+    "tuned_leaderboard": q_tuned_leaderboard,
     "feature_importance": q_feature_importance,
     "top_features": q_top_features,
     "linear_contributions": q_linear_contributions,
