@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from attrita.llm.common import Recent, shuffle_width, text_groups
+from attrita.llm.common import Recent, begin, shuffle_width, text_groups
 from attrita.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -82,6 +82,10 @@ class UnitEncoder:
     def __init__(self, file: str):
         self.tokenizer, self.kind = _tokenizer(file), id_type(file)
         self.known = Recent(CACHED_UNITS)
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.tokenizer.pre_tokenizer else " "
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that begin with a space
+        self.begins[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
     def units(self, text: str) -> list[str]:
         """The text cut at single spaces, which begin the next unit and are left out."""
@@ -96,7 +100,9 @@ class UnitEncoder:
 
     def _fresh(self, units: list[str]) -> Iterator[bytes]:
         """Ids of " " + unit each: a line of units is encoded at once and cut
-        at the tokens' places; units that might touch a neighbour go alone."""
+        where a token begins with a space, as no unit holds one; a line in which
+        a token swallows one is cut at the tokens' places.  Units that might
+        touch a neighbour go alone."""
         width = np.dtype(self.kind).itemsize
         for i in range(0, len(units), 5_000):
             part = units[i:i + 5_000]
@@ -104,12 +110,18 @@ class UnitEncoder:
             held = dict(zip(alone, self._one_by_one([" " + u for u in alone]), strict=True))
             line = [u for u in part if u not in held] if alone else part
             e = self.tokenizer.encode(" " + " ".join(line) if line else "", add_special_tokens=False)
-            starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            sizes = np.fromiter(map(len, line), dtype=np.int64, count=len(line)) + 1
-            cuts = (np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts)) * width).tolist()
-            ids = np.array(e.ids, dtype=self.kind).tobytes()
-            held.update(zip(line, [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-            yield from map(held.__getitem__, part)
+            ids = np.array(e.ids, dtype=self.kind)
+            heads = np.flatnonzero(self.begins[ids])
+            if len(heads) != len(line):
+                starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                sizes = np.fromiter(map(len, line), dtype=np.int64, count=len(line)) + 1
+                heads = np.searchsorted(starts, np.cumsum(sizes) - sizes)
+            cuts, ids = (np.append(heads, len(ids)) * width).tolist(), ids.tobytes()
+            found = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if alone:
+                held.update(zip(line, found, strict=True))
+                found = map(held.__getitem__, part)
+            yield from found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.units(t) if t else [] for t in texts]
@@ -123,6 +135,10 @@ def _encoder(file: str) -> UnitEncoder:
     return UnitEncoder(file)
 
 
+def release() -> None:
+    _encoder.cache_clear()
+
+
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                       vocabulary: str | None = None, end_id: int = END_ID) -> str:
     """Encode every text and write the corpus folder ``path``."""
@@ -138,6 +154,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     schema = pa.schema([("kind", pa.string()), ("seq", pa.int64()), ("value", pa.binary())])
 
     def run(batches):
+        begin(__name__)
         seq, offset, width = 0, 0, len(end)
         for part, texts in text_groups(batches):
             coded = [c + end for c in _encoder(file).encode(texts)]
