@@ -44,6 +44,10 @@ CORRELATION_COLUMNS = NUMERIC_COLUMNS + ["exited"]
 ORIGINAL_FEATURES = ["credit_score", "age", "tenure", "balance", "num_products", "estimated_salary"]
 ENGINEERED_FEATURES = ["balance_to_salary_ratio", "tenure_by_age", "products_per_year",
                        "complain_risk_score", "is_high_value", "has_zero_balance"]
+# The late-file queries: days a file covers, one event in so many is late, by so many files.
+LATE_SLOT_DAYS, LATE_EVERY, LATE_SLOTS = 3, 40, 4
+# The CSV query spoils a line in so many, in five ways.
+SPOILT_EVERY = 29
 WIDE_CORRELATION_COLUMNS = NUMERIC_COLUMNS + ["has_cr_card", "is_active_member"] + ENGINEERED_FEATURES + [
     "age_group", "credit_score_category", "tenure_category", "active_high_balance", "exited"]
 
@@ -146,6 +150,10 @@ RISK_PLANS = [
 # FIXED VALUES: segmentation
 # --------------------------------------------------------------------------
 
+# Columns and centres (in standard deviations) of the query that judges given clusters.
+CENTRE_COLUMNS = ["credit_score", "age", "tenure", "balance", "num_products", "estimated_salary", "is_active_member"]
+GIVEN_CENTRES = [[0.0, -0.8, 0.2, -0.5, -0.3, -0.2, 0.9], [0.1, 0.9, 0.2, -0.4, 0.4, 0.1, 0.9],
+                 [-0.2, 0.1, -0.1, 1.3, 0.0, 0.2, -0.4], [0.0, 0.0, -0.4, -0.3, 0.1, -0.1, -1.1]]
 # Folds whose out-of-fold margins a margin model is calibrated on.
 CALIBRATION_FOLDS = 3
 N_CLUSTERS = 4

@@ -16,7 +16,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 
 from attrita import config as C
 from attrita.ml.models import assembler, encoder_stages
@@ -81,9 +82,13 @@ def silhouette(seg: Segmentation, feats: DataFrame) -> float:
     return float(ev.evaluate(out))
 
 
+def scaled_array() -> Column:
+    """The standardised features of an assigned row, as an array (what ``operators.centres`` works on)."""
+    return vector_to_array("scaled")
+
+
 def pca_projection(seg: Segmentation, feats: DataFrame) -> DataFrame:
     """2-D coordinates per customer with its cluster (for a scatter)."""
-    from pyspark.ml.functions import vector_to_array
     out = seg.pca.transform(seg.assign(feats))
     arr = vector_to_array("pca")
     return out.select("customer_id", "cluster", arr[0].alias("pc1"), arr[1].alias("pc2"))

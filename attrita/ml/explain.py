@@ -1,21 +1,22 @@
 """Model explanation.
 
 E1: impurity importances of the tree model; permutation importance, where
-each feature is replaced by its value on another row (a random cyclic shift
-of a hash order, done as a join on the shifted position) and the exact AUC
-drop is measured.  E2: additive contributions of a linear model on
+each feature is replaced by its value on another row (a cyclic shift of a hash
+order, done as a join on the shifted position) and the exact AUC drop is
+measured.  E2: additive contributions of a linear model on
 standardised features, coef_i * z_i, exact in log-odds; E3/E4 aggregate them.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.functions.stats import rnd
-from attrita.ml.models import CATEGORICAL_INPUTS, LABEL, TrainedModel, feature_inputs, score
+from attrita.ml.models import CATEGORICAL_INPUTS, LABEL, MARGIN_KINDS, TrainedModel, feature_inputs
 from attrita.operators.evaluation import roc_auc
 from attrita.operators.prefix import ordered_cumulative
 from attrita.operators.split import split_hash
@@ -71,35 +72,44 @@ def permutation_importance(trained: TrainedModel, feats: DataFrame, columns: lis
     """Exact AUC drop when one input column is permuted across rows.
 
     Rows get a hash position 0..n-1 (exact, distributed ranks).  Permuting a
-    column means taking it from the row at position (p + shift) mod n; one
-    self-join on the computed position brings each row its donor row, one
-    explode makes a variant per permuted column, one scoring pass scores them
-    all, and the exact AUC is computed per permuted column (grouped).
+    column means taking it from the row at position (p + shift) mod n.  Rows are
+    encoded once, into the vector that the model reads; one join on the computed
+    position brings each row its donor's vector.  A permuted column is then the
+    row's own vector with that column's places taken from the donor, scored as
+    one more column: a row stays one row, and only (column, score, label)
+    triples, combined by score, are shuffled for the exact AUC of each column.
     """
     columns = columns or [c for c in feature_inputs() if not c.endswith("_vec")] + CATEGORICAL_INPUTS
-    h = feats.withColumn("_h", F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))).withColumn("_one", F.lit(1))
-    ranked = ordered_cumulative(h, [], "_h", ["_one"], tiebreak_cols=[key])
-    pos = materialize(ranked.withColumn("_pos", F.col("cum__one") - 1).drop("_h", "_one", "cum__one", "total__one"),
-                      "permutation-positions")
+    *prep, model = trained.model.stages
+    vector = model.getFeaturesCol()
+    names = expanded_feature_names(trained, feats)
+    places = {c: [i for i, n in enumerate(names) if n == c or c in CATEGORICAL_INPUTS and n.startswith(f"{c}_")] for c in columns}
+    h = F.pmod(split_hash(key) + F.lit(seed), F.lit(2147483647))
+    coded = PipelineModel(stages=prep).transform(feats).select(
+        key, LABEL, vector_to_array(vector).alias("_x"), h.alias("_h"), F.lit(1).alias("_one"))
+    ranked = ordered_cumulative(coded, [], "_h", ["_one"], tiebreak_cols=[key])
+    pos = materialize(ranked.select((F.col("cum__one") - 1).alias("_pos"), LABEL, "_x"), "permutation-positions")
     n = pos.count()
     shift = max(1, n // 2)
-    donors = pos.select(F.pmod(F.col("_pos") - F.lit(shift), F.lit(n)).alias("_pos"),
-                        F.struct(*[F.col(c) for c in columns]).alias("_donor"))
-    paired = pos.join(donors, "_pos")
-    base_cols = [c for c in feats.columns]
-    variants = F.array(
-        F.struct(F.lit("__none__").alias("permuted"), *[F.col(c).alias(c) for c in base_cols]),
-        *[F.struct(F.lit(p).alias("permuted"),
-                   *[(F.col("_donor")[c] if c == p else F.col(c)).alias(c) for c in base_cols])
-          for p in columns])
-    long = paired.select(F.inline(variants))
-    scored = score(trained, long)
+    donors = pos.select(F.pmod(F.col("_pos") - F.lit(shift), F.lit(max(1, n))).alias("_pos"), F.col("_x").alias("_donor"))
+    rows = pos.join(donors, "_pos")
+    scores = []
+    for k, c in enumerate([None, *columns]):
+        own = F.array(*[F.col("_donor" if c and i in places[c] else "_x")[i] for i in range(len(names))])
+        out = model.copy().setFeaturesCol(f"_v{k}").setPredictionCol(f"_c{k}").setRawPredictionCol(f"_r{k}")
+        if trained.kind not in MARGIN_KINDS:
+            out = out.setProbabilityCol(f"_q{k}")
+        rows = out.transform(rows.withColumn(f"_v{k}", array_to_vector(own)))
+        # A calibrated margin and the margin itself have the same order.
+        value = vector_to_array(f"_r{k}" if trained.kind in MARGIN_KINDS else f"_q{k}")[1]
+        rows = rows.withColumn(f"_s{k}", value).drop(f"_v{k}", f"_c{k}", f"_r{k}", f"_q{k}")
+        scores.append(F.struct(F.lit(c or "__none__").alias("permuted"), F.col(f"_s{k}").alias("score")))
+    long = rows.select(LABEL, F.inline(F.array(*scores)))
     # One row per permuted column: collected once, so the scoring pass runs once.
-    aucs = {r["permuted"]: r["roc_auc"]
-            for r in roc_auc(scored, LABEL, "churn_probability", by=["permuted"]).collect()}
+    aucs = {r["permuted"]: r["roc_auc"] for r in roc_auc(long, LABEL, "score", by=["permuted"]).collect()}
     base_auc = aucs.pop("__none__", None)
-    rows = [(c, None if base_auc is None or a is None else float(base_auc - a)) for c, a in aucs.items()]
-    return (feats.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
+    drops = [(c, None if base_auc is None or a is None else float(base_auc - a)) for c, a in aucs.items()]
+    return (feats.sparkSession.createDataFrame(drops, "feature string, auc_drop double")
             .orderBy(F.desc_nulls_last("auc_drop"), "feature"))
 
 

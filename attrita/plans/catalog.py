@@ -8,6 +8,7 @@ express.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.functions.stats import rnd
+from attrita.operators import centres
 from attrita.operators import correlation as corr
 from attrita.operators import evaluation as ev
 from attrita.operators import explore as ex
@@ -27,7 +29,10 @@ from attrita.operators.features import (align_columns, category_levels, engineer
 from attrita.operators.quantile import exact_median, exact_quantiles
 from attrita.operators.split import stratified_split
 from attrita.session import scratch_path
+from attrita.sources.customer_csv import customer_lines, ingest_customer_csv
 from attrita.sources.profile import build_customer_profile
+from attrita.sources.reuse import ReusedTables
+from attrita.sources.tables import table_path
 from attrita.streaming import activity as act
 
 GEO = C.TEST_HIGH_RISK_REGION
@@ -36,17 +41,22 @@ YES_NO = ["has_cr_card", "is_active_member"]
 INACTIVITY_DAYS = 1.0
 
 
-_MATERIALIZED: dict[str, str] = {}
+#: The tables that the profile is built from.
+PROFILE_TABLES = ["customer", "nation", "orders", "region"]
+_MATERIALIZED: dict[str, ReusedTables] = {}
 
 
-def use_materialized_profile(spark: SparkSession, sf_dir: str) -> str:
-    """Build the profile of ``sf_dir`` once and write it under the shared
-    checkpoint folder; later queries on ``sf_dir`` read that table (S3), as a
-    deployment would refresh the profile once per day and query it many times."""
-    path = scratch_path(spark, f"profile-{uuid.uuid4().hex[:12]}")
-    build_customer_profile(spark, sf_dir).write.mode("overwrite").parquet(path)
-    _MATERIALIZED[sf_dir] = path
-    return path
+def _reused_profile(spark: SparkSession, sf_dir: str, tables: ReusedTables) -> DataFrame:
+    name = "profile-" + hashlib.blake2b(sf_dir.encode(), digest_size=6).hexdigest()
+    return tables.get(name, [table_path(sf_dir, t) for t in PROFILE_TABLES], lambda: build_customer_profile(spark, sf_dir))
+
+
+def use_materialized_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From now on queries on ``sf_dir`` read the profile as a written table
+    (S3), as a deployment that refreshes it and queries it many times; it is
+    built now, and again when the files that it is built from have changed."""
+    _MATERIALIZED[sf_dir] = ReusedTables(spark)
+    return _reused_profile(spark, sf_dir, _MATERIALIZED[sf_dir])
 
 
 def drop_materialized_profile(sf_dir: str) -> None:
@@ -54,8 +64,8 @@ def drop_materialized_profile(sf_dir: str) -> None:
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _MATERIALIZED.get(sf_dir)
-    return spark.read.parquet(path) if path else build_customer_profile(spark, sf_dir)
+    tables = _MATERIALIZED.get(sf_dir)
+    return _reused_profile(spark, sf_dir, tables) if tables else build_customer_profile(spark, sf_dir)
 
 
 def _features(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -66,6 +76,24 @@ def q_customer_profile(spark, sf_dir):
     return _profile(spark, sf_dir)
 
 
+def q_ingested_customers(spark, sf_dir):
+    """S1 + P1: the profile written as CSV lines, some of them spoilt by customer
+    number, and read back: customers (reason "") and quarantine (values "" or -1)."""
+    lines = customer_lines(_profile(spark, sf_dir))
+    field = lambda i, new: F.array_join(F.concat(F.slice("f", 1, i), F.array(F.lit(new)), F.slice("f", i + 2, 99)), ",")
+    k = F.pmod("customer_id", F.lit(C.SPOILT_EVERY))
+    f = F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    spoilt = (F.when(k == 1, F.array_join(F.slice("f", 1, 13), ",")).when(k == 2, F.concat("value", F.lit(",extra")))
+              .when(k == 3, field(6, "forty")).when(k == 4, field(13, "7")).when(k == 5, field(13, "")).otherwise(F.col("value")))
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex[:12]}")
+    lines.withColumn("f", f).select(spoilt.alias("value")).write.text(path + "/lines")
+    got = ingest_customer_csv(spark, path + "/lines", path + "/table", header=False)
+    none = [F.lit("" if t == "string" else -1).cast(t).alias(c) for c, t in got.customers.dtypes if c != "customer_id"]
+    number = F.split("line", ",")[0].cast("long")
+    return got.customers.withColumn("reason", F.lit("")).unionByName(
+        got.quarantine.select(number.alias("customer_id"), *none, "reason"))
+
+
 def q_customer_features(spark, sf_dir):
     return _features(spark, sf_dir)
 
@@ -201,6 +229,11 @@ def q_feature_power(spark, sf_dir):
     return corr.feature_power(_features(spark, sf_dir), C.ORIGINAL_FEATURES, C.ENGINEERED_FEATURES)
 
 
+def q_given_centre_quality(spark, sf_dir):
+    """G1 + G2 + G4 on given centres: standardised customers, their nearest centre, cost and silhouette."""
+    return centres.centre_quality(_profile(spark, sf_dir), C.CENTRE_COLUMNS, C.GIVEN_CENTRES)
+
+
 def q_segment_profile(spark, sf_dir):
     return sg.segment_profile(_profile(spark, sf_dir))
 
@@ -284,6 +317,7 @@ def q_weekly_activity(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_profile": q_customer_profile,
+    "ingested_customers": q_ingested_customers,
     "customer_features": q_customer_features,
     "median_balance": q_median_balance,
     "kpis": q_kpis,
@@ -310,6 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wide_correlation_matrix": q_wide_correlation_matrix,
     "churn_correlation": q_churn_correlation,
     "feature_power": q_feature_power,
+    "given_centre_quality": q_given_centre_quality,
     "segment_profile": q_segment_profile,
     "segment_sizes": q_segment_sizes,
     "segment_summary": q_segment_summary,

@@ -192,6 +192,58 @@ SELECT coalesce(r.dimension, d.dimension) AS dimension, coalesce(r.level, d.leve
 FROM rates r FULL OUTER JOIN {dim} d ON r.dimension = d.dimension AND r.level = d.level""")
 
 
+def _centres() -> str:
+    """Silhouettes from all pairs of customers, as they are defined."""
+    cols, centres = C.CENTRE_COLUMNS, C.GIVEN_CENTRES
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z{i}" for i, c in enumerate(cols))
+    to = lambda c: " + ".join(f"(z{i} - ({x}::DOUBLE)) * (z{i} - ({x}::DOUBLE))" for i, x in enumerate(c))
+    dist = ", ".join(f"{to(c)} AS d{k}" for k, c in enumerate(centres))
+    least = f"least({', '.join(f'd{k}' for k in range(len(centres)))})"
+    pick = " ".join(f"WHEN d{k} = {least} THEN {k}" for k in range(len(centres)))
+    apart = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(cols)))
+    mean = ", ".join(f"avg(z{i}) AS m{i}" for i in range(len(cols)))
+    around = " + ".join(f"(n.z{i} - m.m{i}) * (n.z{i} - m.m{i})" for i in range(len(cols)))
+    return _with(PROFILE, f""",
+s AS (SELECT customer_id, {z} FROM profile), d AS (SELECT *, {dist} FROM s),
+n AS (SELECT *, {least} AS distance, CASE {pick} END AS cluster FROM d),
+size AS (SELECT cluster, count(*) AS c FROM n GROUP BY cluster),
+p AS (SELECT a.customer_id, a.cluster, a.distance, b.cluster AS other, sum({apart}) AS total, count(*) AS many
+      FROM n a JOIN n b ON a.customer_id <> b.customer_id GROUP BY ALL),
+ab AS (SELECT customer_id, cluster, distance, max(CASE WHEN other = cluster THEN total / many END) AS a,
+              min(CASE WHEN other <> cluster THEN total / many END) AS b FROM p GROUP BY ALL),
+sil AS (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS v FROM ab),
+m AS (SELECT cluster, {mean} FROM n GROUP BY cluster),
+i AS (SELECT n.cluster, sum({around}) AS inertia FROM n JOIN m ON n.cluster = m.cluster GROUP BY n.cluster),
+k AS (SELECT cluster, count(*) AS customers, sum(distance) AS cost, sum(v) AS v, count(v) AS vs FROM sil GROUP BY cluster)
+SELECT CAST(k.cluster AS INTEGER) AS cluster, customers, round(cost, 6) AS cost, round(inertia, 6) AS inertia,
+       round(v / vs, 6) AS mean_silhouette FROM k JOIN i ON k.cluster = i.cluster
+UNION ALL SELECT -1, CAST(sum(customers) AS BIGINT), round(sum(cost), 6), (SELECT round(sum(inertia), 6) FROM i),
+       round(sum(v) / sum(vs), 6) FROM k""")
+
+
+LATE = f"""
+WITH a AS (SELECT *, epoch_us(ts) AS t, CAST(floor(floor(epoch_us(ts) / 86400000000) / {C.LATE_SLOT_DAYS})
+             + CASE WHEN event_id % {C.LATE_EVERY} = 0 THEN {C.LATE_SLOTS} ELSE 0 END AS BIGINT) AS slot
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+m AS (SELECT slot, max(max(t)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS mark
+      FROM a GROUP BY slot),
+j AS (SELECT a.*, m.mark, CAST(floor(t / 604800000000) AS BIGINT) * 604800000000 AS week,
+             coalesce(CAST(floor(t / 604800000000) AS BIGINT) * 604800000000 + 604800000000 <= m.mark, false) AS is_late
+      FROM a JOIN m USING (slot))
+"""
+
+
+def _ingested() -> str:
+    cols = ["credit_score", "geography", "gender", "age", "tenure", "balance", "num_products", "has_cr_card",
+            "is_active_member", "estimated_salary", "exited"]
+    none = {c: "''" if c in ("geography", "gender") else "-1" for c in cols}
+    kept = ", ".join(f"CASE WHEN reason = '' THEN {c} ELSE {none[c]} END AS {c}" for c in cols)
+    return _with(PROFILE, f""", r AS (SELECT *, CASE customer_id % {C.SPOILT_EVERY}
+    WHEN 1 THEN 'fields 13' WHEN 2 THEN 'fields 15' WHEN 3 THEN 'type Age' WHEN 4 THEN 'label'
+    WHEN 5 THEN 'missing Exited' ELSE '' END AS reason FROM profile)
+SELECT customer_id, {kept}, reason FROM r""")
+
+
 def _corr_with() -> str:
     feats = [c for c in C.CORRELATION_COLUMNS if c != "exited"]
     u = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_corr(c, 'exited')} AS c FROM profile" for c in feats)
@@ -572,6 +624,13 @@ FROM d LEFT JOIN c ON c.exited = d.exited"""),
         "churn_by_tenure_category": _rate_by_code("tenure_category", C.TENURE_LABELS, 1, FEATURES),
         "churn_by_risk_level": _risk_levels(),
         "churn_overview": _overview(),
+        "ingested_customers": _ingested(),
+        "given_centre_quality": _centres(),
+        "stream_late_rows": LATE + """SELECT event_id, user_id, ts, value, make_timestamp(CAST(mark AS BIGINT)) AS watermark
+FROM j WHERE is_late""",
+        "stream_weekly_in_time": LATE + """SELECT user_id, make_timestamp(week) AS week_start, count(*) AS events,
+       count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(sum(value), 6) AS total_value
+FROM j WHERE NOT is_late GROUP BY user_id, week""",
         "wide_correlation_matrix": _wide_corr(),
         "feature_histogram": _histogram_query(NUM, C.HISTOGRAM_BINS, False),
         "feature_histogram_by_class": _histogram_query(NUM, C.HISTOGRAM_BINS, True),
