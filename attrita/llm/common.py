@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,6 +43,35 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_turn = [""]
+
+
+def begin(owner: str) -> None:
+    """Called as a task of module ``owner`` begins.  Workers are reused, so what
+    a worker remembers for another operator (its module's ``release``) goes first
+    and the freed memory returns to the system."""
+    if _turn[0] == owner:
+        return
+    _turn[0] = owner
+    for name, module in list(sys.modules.items()):
+        if name.startswith("attrita.llm.") and name != owner and hasattr(module, "release"):
+            module.release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps what it has
+
+
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, with underscores added until no column of ``taken`` has that name in any case."""
+    names = {c.lower() for c in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], text: int = 1,
                 chars: int = GROUP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the record batches with their texts as Python strings; a
@@ -67,8 +99,10 @@ def map_text(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, list[st
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    owner = work.__module__
 
     def run(batches):
+        begin(owner)
         for part, texts in text_groups(batches, text):
             out = work(part, texts)
             yield pa.RecordBatch.from_arrays(
@@ -112,6 +146,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    _powers.clear()
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, SEGMENT_BYTES + 4096)
