@@ -20,8 +20,11 @@ Steps, all on Spark:
 5. the rest: posting lists that still hold several components are cut into
    chunks, and chunk meets chunk: pairs from different components whose parity
    sketches allow the similarity go on to the filters of the other orders and
-   are verified.  No link is lost, no pair inside a component is spent on, and
-   only pairs past the sketch become rows.
+   are verified.  ``FORESTS`` rounds send out of each chunk pair only a forest
+   over its components, fewer pairs than it has members, and tie what links
+   there are; a last round takes all pairs that still lie between components.
+   No link is lost, no pair inside a component is spent on, and a group of many
+   linked texts gives rows in proportion to its size.
 
 A parity sketch has one bit per hash class, the parity of the set's shared
 tokens in it; the number of bits in which two sketches differ never exceeds the
@@ -48,13 +51,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.llm.common import (U, connected_components, grouped_words, map_text, mix, shuffle_width, text_groups,
+from attrita.llm.common import (U, begin, connected_components, grouped_words, map_text, mix, shuffle_width, text_groups,
                                 written)
 
 WIDTH = 4
 PERCENT = 85
 STARS = 4
 CHUNK = 512
+FORESTS = 2
 ORDERS = 3
 SKETCH_BITS = 512
 
@@ -111,6 +115,7 @@ def _token_blobs(docs: DataFrame, text_col: str, width: int, buckets: int) -> Da
                         ("tokens", pa.binary())])
 
     def run(batches):
+        begin(__name__)
         for _, texts in text_groups(batches, 0, 4_000_000):
             sets = {set_key(s): s for s in shingle_sets(texts, width) if len(s)}
             if not sets:
@@ -237,8 +242,10 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
             .where(F.col("orders") == 2 ** (ORDERS + 1) - 2).select("a", "b"))
 
 
-def _across(posts: DataFrame, comps: DataFrame, live: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between different components, each once."""
+def _across(posts: DataFrame, comps: DataFrame, live: DataFrame, percent: int, forest: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) between different components, each once.  With
+    ``forest`` (a salt) only so many that they would tie the same components
+    together if all were links: fewer than a chunk pair has members."""
     p = (posts.where("k = 1").select("token", "key").join(comps.select(F.col("v").alias("key"), "comp"), "key", "left")
          .withColumn("comp", F.coalesce("comp", "key")))
     lists = p.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
@@ -247,8 +254,9 @@ def _across(posts: DataFrame, comps: DataFrame, live: DataFrame, tried: DataFram
     own = live.select("key", "n", (F.col("n") - F.length("tok") / 8).cast("long").alias("alone"), "odd")
     held = written(p.join(lists, "token").withColumn("chunk", chunk).join(own, "key")
                    .groupBy("token", "chunk").agg(F.collect_list(F.struct("key", "comp", "n", "alone", "odd")).alias("m")), "chunks")
-    side = lambda c: held.select("token", F.col("chunk").alias(f"c{c}"), F.col("m").alias(c))
-    met = side("x").join(side("y"), "token").where("cx <= cy").select("cx", "cy", "x", "y")
+    one = held.select("token", F.col("chunk").alias("cx"), F.col("m").alias("x"))
+    other = held.select("token", F.explode(F.sequence(F.lit(0).cast("long"), "chunk")).alias("cx"), F.col("m").alias("y"))
+    met = one.join(other, ["token", "cx"]).select("x", "y")
 
     def columns(members):
         rows = members.flatten()
@@ -258,21 +266,31 @@ def _across(posts: DataFrame, comps: DataFrame, live: DataFrame, tried: DataFram
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                kx, cx, nx, ax, ox = columns(batch.column(2).slice(i, 1))
-                ky, cy, ny, ay, oy = columns(batch.column(3).slice(i, 1))
+                kx, cx, nx, ax, ox = columns(batch.column(0).slice(i, 1))
+                ky, cy, ny, ay, oy = columns(batch.column(1).slice(i, 1))
+                names, label = np.unique(np.concatenate((cx, cy)), return_inverse=True)
+                lx, ly, tree = label[:len(cx)], label[len(cx):], np.arange(len(names))
                 a, b = [], []
                 for j in range(len(kx)):
                     apart = np.bitwise_count(oy ^ ox[j]).sum(axis=1, dtype=np.int64) + ay + ax[j]
-                    near = ((100 - percent) * (ny + nx[j]) >= (100 + percent) * apart) & (cy != cx[j])
+                    near = ((100 - percent) * (ny + nx[j]) >= (100 + percent) * apart) & (tree[ly] != tree[lx[j]])
                     near &= 100 * np.minimum(ny, nx[j]) >= percent * np.maximum(ny, nx[j])
-                    if near.any():
-                        a.append(np.minimum(ky[near], kx[j]))
-                        b.append(np.maximum(ky[near], kx[j]))
+                    found = np.flatnonzero(near)
+                    if forest is not None:
+                        some = []
+                        while len(found):
+                            some.append(found[np.argmin(mix((ky[found] ^ kx[j]).view(U) + U(forest)))])
+                            tree[tree == tree[ly[some[-1]]]] = tree[lx[j]]
+                            found = found[tree[ly[found]] != tree[lx[j]]]
+                        found = np.array(some, dtype=np.int64)
+                    if len(found):
+                        a.append(np.minimum(ky[found], kx[j]))
+                        b.append(np.maximum(ky[found], kx[j]))
                 if a:
                     both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -290,11 +308,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = written(_postings(live), "postings")
     stars = written(_stars(posts, percent), "stars")
     links = written(_verified(stars, live, percent), "links")
-    comps = connected_components(links)
-    more = written(_verified(_across(posts, comps, live, stars, percent), live, percent), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        comps = connected_components(links)
+    tried, comps = stars, connected_components(links)
+    salts = [*range(FORESTS), None]
+    while salts:
+        found = written(_across(posts, comps, live, percent, salt := salts.pop(0)), "across")
+        if found.isEmpty():
+            break  # no candidate lies between two components any more
+        pairs = found.join(tried, ["a", "b"], "left_anti")
+        more = written(_verified(pairs, live, percent), "links")
+        if more.isEmpty():
+            salts = salts[-1:] if salt is not None else []
+        else:
+            links, tried = links.union(more), tried.union(found)
+            comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     least = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("least"))
     known = (least.join(comps.withColumnRenamed("v", "key"), "key", "left").join(degree, "key", "left")
