@@ -2,7 +2,7 @@
 
 All pairs are co-moment aggregates evaluated together, so the whole matrix is
 one scan with partial aggregation; the 1-row result is unpivoted to long form
-(feature_a, feature_b, corr) and mirrored.
+(feature_a, feature_b, corr), both orders of a pair at once.
 """
 
 from __future__ import annotations
@@ -17,12 +17,9 @@ def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """All ordered pairs (a, b) with their correlation (diagonal included)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     wide = df.agg(*[safe_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                 F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    upper = wide.select(F.inline(entries))
-    lower = (upper.where(F.col("feature_a") != F.col("feature_b"))
-             .select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr"))
-    return upper.unionByName(lower)
+    entries = F.array(*[F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.col(f"c{i}").alias("corr"))
+                        for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys(((a, b), (b, a)))])
+    return wide.select(F.inline(entries))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,5 +1,9 @@
 """Profiling jobs (A1-A16, U1): KPIs, describe, churn rates, bins, histograms.
 
+A customer without a label (NULL) is a customer, but neither churned nor
+retained: counts of customers include it, rates, classes and shares of classes
+are over the labelled ones.
+
 Each job is one or two aggregate passes over the customer table; group keys
 are low-cardinality attributes, and partial aggregation runs before every
 shuffle, so a hot key (a third of all rows in one country, say) arrives at
@@ -39,9 +43,9 @@ def kpis(df: DataFrame) -> DataFrame:
     """A1/A2: rows, churn rate %, churned, retained, distinct countries, columns."""
     return df.agg(
         F.count(F.lit(1)).alias("total_customers"),
-        rnd(pct(F.sum("exited"), F.count(F.lit(1)))).alias("churn_rate_pct"),
+        rnd(pct(F.sum("exited"), F.count("exited"))).alias("churn_rate_pct"),
         F.sum("exited").cast("long").alias("churned"),
-        (F.count(F.lit(1)) - F.sum("exited")).cast("long").alias("retained"),
+        (F.count("exited") - F.sum("exited")).cast("long").alias("retained"),
         F.countDistinct("geography").alias("countries"),
         F.lit(len(df.columns)).alias("n_columns"),
     )
@@ -50,9 +54,9 @@ def kpis(df: DataFrame) -> DataFrame:
 def churn_rate_by(df: DataFrame, key: str) -> DataFrame:
     """Churn rate %, customers and churned per value of ``key``."""
     return (df.groupBy(key)
-            .agg(rnd(pct(F.sum("exited"), F.count(F.lit(1)))).alias("churn_rate_pct"),
+            .agg(rnd(pct(F.sum("exited"), F.count("exited"))).alias("churn_rate_pct"),
                  F.count(F.lit(1)).alias("customers"),
-                 F.sum("exited").cast("long").alias("churned")))
+                 F.coalesce(F.sum("exited"), F.lit(0)).cast("long").alias("churned")))
 
 
 def churn_rate_by_code(df: DataFrame, key: str, labels: list[str], first_code: int = 1) -> DataFrame:
@@ -84,8 +88,8 @@ def churn_overview(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
     own = F.element_at(F.create_map(*[F.lit(x) for k, c in of_set.items() for x in (k, c)]), F.col("_set").cast("int"))
     level = F.coalesce(*[F.when(F.col("dimension") == c, F.col(c).cast("string")) for c in dims])
     rates = (df.select("exited", *dims).groupingSets([[c] for c in dims], *dims)
-             .agg(F.grouping_id().alias("_set"), rnd(pct(F.sum("exited"), F.count(F.lit(1)))).alias("churn_rate_pct"),
-                  F.count(F.lit(1)).alias("customers"), F.sum("exited").cast("long").alias("churned"))
+             .agg(F.grouping_id().alias("_set"), rnd(pct(F.sum("exited"), F.count("exited"))).alias("churn_rate_pct"),
+                  F.count(F.lit(1)).alias("customers"), F.coalesce(F.sum("exited"), F.lit(0)).cast("long").alias("churned"))
              .withColumn("dimension", own).select("dimension", level.alias("level"), "churn_rate_pct", "customers", "churned"))
     codes = [(c, str(first + i), label) for c, (labels, first) in OVERVIEW_CODES.items() if c in dims for i, label in enumerate(labels)]
     known = _spark(df).createDataFrame(codes, "dimension string, level string, label string")

@@ -3,8 +3,9 @@
 Works for any segment column: the K-means cluster id from ``attrita.ml``, or a
 business attribute.  The heavy step is one grouped aggregate over the customer
 table (partial aggregation before the shuffle); everything after it runs on
-one row per segment, so the unpartitioned rank window is bounded by the
-number of segments, not by the data.
+one row per segment.  Up to ``MAX_SEGMENTS`` of them are ranked in one window
+over a local table of that bound; more are ranked by range-partitioned running
+sums, so any column may be the segment.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 
 from attrita import config as C
 from attrita.functions.stats import pct, rnd
+from attrita.operators.broadcast import bounded_local
+from attrita.operators.prefix import ordered_cumulative
 
 SEGMENT = "segment"
+MAX_SEGMENTS = 10_000
 
 
 def segment_stats(df: DataFrame, segment_col: str = SEGMENT) -> DataFrame:
@@ -26,8 +30,8 @@ def segment_stats(df: DataFrame, segment_col: str = SEGMENT) -> DataFrame:
     n = F.count(F.lit(1))
     per = (df.groupBy(F.col(segment_col).alias(SEGMENT))
            .agg(n.alias("size"),
-                pct(F.sum("exited"), n).alias("churn_rate"),
-                F.sum("exited").cast("long").alias("churn_count"),
+                pct(F.sum("exited"), F.count("exited")).alias("churn_rate"),
+                F.coalesce(F.sum("exited"), F.lit(0)).cast("long").alias("churn_count"),
                 F.avg("age").alias("avg_age"),
                 F.avg("balance").alias("avg_balance"),
                 F.avg("estimated_salary").alias("avg_salary"),
@@ -38,11 +42,17 @@ def segment_stats(df: DataFrame, segment_col: str = SEGMENT) -> DataFrame:
                 F.avg("tenure").alias("avg_tenure"),
                 F.mode("gender", True).alias("gender"),
                 F.mode("geography", True).alias("geography")))
-    everyone = Window.partitionBy()                       # over the segment rows only
-    by_risk = Window.orderBy(F.desc("churn_rate"), F.asc(SEGMENT))
-    return per.select("*",
-                      pct(F.col("size"), F.sum("size").over(everyone)).alias("size_pct"),
-                      (F.row_number().over(by_risk) - 1).alias("rank"))
+    local = bounded_local(per, MAX_SEGMENTS)
+    if local is not per:
+        everyone = Window.partitionBy()                       # over at most MAX_SEGMENTS rows
+        by_risk = Window.orderBy(F.desc("churn_rate"), F.asc(SEGMENT))
+        return local.select("*", pct(F.col("size"), F.sum("size").over(everyone)).alias("size_pct"),
+                            (F.row_number().over(by_risk) - 1).alias("rank"))
+    order = F.coalesce(-F.col("churn_rate"), F.lit(float("inf")))       # segments without a rate come last
+    ranked = ordered_cumulative(per.withColumn("_order", order).withColumn("_one", F.lit(1)), [], "_order", ["_one", "size"],
+                                tiebreak_cols=[SEGMENT])
+    return ranked.select(*per.columns, pct(F.col("size"), F.col("total_size")).alias("size_pct"),
+                         (F.col("cum__one") - 1).cast("int").alias("rank"))
 
 
 def _risk_label(rank: F.Column) -> F.Column:

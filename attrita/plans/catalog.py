@@ -19,6 +19,7 @@ from attrita import config as C
 from attrita.functions.stats import rnd
 from attrita.operators import centres
 from attrita.operators import correlation as corr
+from attrita.operators import escalation as esc
 from attrita.operators import evaluation as ev
 from attrita.operators import explore as ex
 from attrita.operators import gram
@@ -311,6 +312,11 @@ def q_inactivity_silences(spark, sf_dir):
     return act.inactivity_silences(act.load_events(spark, sf_dir), INACTIVITY_DAYS)
 
 
+def q_escalations(spark, sf_dir):
+    """The monitoring plan's escalation triggers with their actions."""
+    return esc.escalations(act.load_events(spark, sf_dir))
+
+
 def q_weekly_activity(spark, sf_dir):
     return act.weekly_activity(act.load_events(spark, sf_dir))
 
@@ -365,4 +371,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inactivity_alerts": q_inactivity_alerts,
     "inactivity_silences": q_inactivity_silences,
     "weekly_activity": q_weekly_activity,
+    "escalations": q_escalations,
 }

@@ -221,6 +221,27 @@ UNION ALL SELECT -1, CAST(sum(customers) AS BIGINT), round(sum(cost), 6), (SELEC
        round(sum(v) / sum(vs), 6) FROM k""")
 
 
+def _escalations() -> str:
+    day = 86_400_000_000
+    marks = " UNION ALL ".join(
+        f"SELECT user_id, '{name}' AS trigger, t AS moment FROM e WHERE event_type = '{kind}' AND value >= {low}"
+        + ("" if high == float("inf") else f" AND value < {high}") for name, kind, low, high in C.ESCALATION_SIGNS)
+    actions = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ESCALATION_ACTIONS.items())
+    return f"""
+WITH e AS (SELECT user_id, event_type, coalesce(value, 0) AS value, epoch_us(ts) AS t FROM events
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+newest_event AS (SELECT max(t) AS newest FROM e),
+w AS (SELECT user_id, CAST(floor(t / {7 * day}) AS BIGINT) * {7 * day} AS week, sum(value) AS total FROM e GROUP BY ALL),
+d AS (SELECT a.user_id, 'Balance drop' AS trigger, a.week + {7 * day} AS moment FROM w a
+      LEFT JOIN w b ON a.user_id = b.user_id AND b.week = a.week + {7 * day}, newest_event
+      WHERE a.total > 0 AND a.week + {7 * day} <= newest AND coalesce(b.total, 0) < a.total * {C.ESCALATION_DROP_TO}),
+q AS (SELECT user_id, 'No activity' AS trigger, max(t) AS moment FROM e GROUP BY user_id
+      HAVING (SELECT newest FROM newest_event) - max(t) >= {round(C.ESCALATION_INACTIVE_DAYS * day)}),
+everything AS (SELECT * FROM q UNION ALL SELECT * FROM d UNION ALL {marks})
+SELECT user_id, trigger, CASE trigger {actions} END AS action, count(*) AS occurrences, make_timestamp(CAST(max(moment) AS BIGINT)) AS last_at
+FROM everything GROUP BY user_id, trigger"""
+
+
 LATE = f"""
 WITH a AS (SELECT *, epoch_us(ts) AS t, CAST(floor(floor(epoch_us(ts) / 86400000000) / {C.LATE_SLOT_DAYS})
              + CASE WHEN event_id % {C.LATE_EVERY} = 0 THEN {C.LATE_SLOTS} ELSE 0 END AS BIGINT) AS slot
@@ -625,6 +646,7 @@ FROM d LEFT JOIN c ON c.exited = d.exited"""),
         "churn_by_risk_level": _risk_levels(),
         "churn_overview": _overview(),
         "ingested_customers": _ingested(),
+        "escalations": _escalations(),
         "given_centre_quality": _centres(),
         "stream_late_rows": LATE + """SELECT event_id, user_id, ts, value, make_timestamp(CAST(mark AS BIGINT)) AS watermark
 FROM j WHERE is_late""",
