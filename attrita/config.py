@@ -55,7 +55,7 @@ ESCALATION_DROP_TO = 0.5
 # Parameters: days without activity (30 in the plan; the events table covers 30 days in all), and the event types and
 # values that stand for a sign in the events table, which has no feedback or closing events.
 ESCALATION_INACTIVE_DAYS = 1.0
-ESCALATION_SIGNS = [("Closed account attempt", "error", 400.0, float("inf")), ("Negative feedback", "error", 200.0, 400.0)]
+ESCALATION_SIGNS = [("Closed account attempt", "error", 250.0, float("inf")), ("Negative feedback", "error", 150.0, 250.0)]
 # The late-file queries: days a file covers, one event in so many is late, by so many files.
 LATE_SLOT_DAYS, LATE_EVERY, LATE_SLOTS = 3, 40, 4
 # The CSV query spoils a line in so many, in five ways.

@@ -19,7 +19,7 @@ def test_triggers(spark):
         (1, START, "click", 100.0), (1, START + 8 * DAY, "click", 40.0), (1, START + 15 * DAY, "click", 20.0),     # 100 -> 40 -> 20
         (2, START, "click", 100.0), (2, START + 15 * DAY, "click", 60.0),       # a week without events in between
         (3, START + 14 * DAY, "click", 100.0),                                  # its next week has not begun
-        (4, START + 16 * DAY, "error", 250.0), (4, START + 16 * DAY, "error", 500.0), (4, START + 16 * DAY, "error", 50.0),
+        (4, START + 16 * DAY, "error", 249.0), (4, START + 16 * DAY, "error", 250.0), (4, START + 16 * DAY, "error", 50.0),
         (5, START + 10 * DAY, "click", None), (None, START, "error", 999.0), (6, None, "error", 999.0),
     ]
     events = spark.createDataFrame([(i, t, u, k, v) for i, (u, t, k, v) in enumerate(rows)],
