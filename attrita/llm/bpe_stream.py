@@ -42,12 +42,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attrita.llm.common import Recent, map_text
+from attrita.llm.common import Recent, begin, map_text
 
 VOCABULARY = "word_bpe_49k.json"
 #: Units, words and token pairs that a worker remembers (a generation).
 CACHED_UNITS, CACHED_WORDS = 400_000, 300_000
 CACHED_PAIRS = 500_000
+#: Ids decoded at once.
+DECODED = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -189,6 +191,21 @@ class Transducer:
         return out[::-1]
 
 
+class SpacedDecoder:
+    """Ids in, text out as the library decodes a file without a decoder: tokens
+    joined by spaces, added tokens too.  Its state is whether a token is out."""
+
+    def __init__(self, names: dict[int, str]):
+        self.names, self.begun = names, False
+
+    def feed(self, ids: Iterable[int]) -> str:
+        text = " ".join(map(self.names.__getitem__, ids))
+        if text and self.begun:
+            text = " " + text
+        self.begun = self.begun or bool(text)
+        return text
+
+
 class StreamingBpe:
     """A tokenizer file's encoding and decoding."""
 
@@ -264,15 +281,15 @@ class StreamingBpe:
         yield machine.decode(b"", final=True)
 
     @staticmethod
-    def _joined(parts: list[tuple[bytes, str, str]]) -> tuple[bytes, str, str]:
-        data, ids, spelled = zip(*parts, strict=True) if parts else ((), (), ())
-        return b"".join(data), " ".join(filter(None, ids)), " ".join(filter(None, spelled))
+    def _joined(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        data, ids = zip(*parts, strict=True) if parts else ((), ())
+        return b"".join(data), " ".join(filter(None, ids))
 
-    def _record(self, ids: list[int]) -> tuple[bytes, str, str]:
-        """Ids as little-endian 32-bit integers, decimal ids, token text."""
-        return array("i", ids).tobytes(), " ".join(map(str, ids)), self.token_text(ids)
+    def _record(self, ids: list[int]) -> tuple[bytes, str]:
+        """Ids as little-endian 32-bit integers, decimal ids."""
+        return array("i", ids).tobytes(), " ".join(map(str, ids))
 
-    def _units(self, units: list[str]) -> Iterator[tuple[bytes, str, str]]:
+    def _units(self, units: list[str]) -> Iterator[tuple[bytes, str]]:
         """The records of white-space units."""
         special = {u for u in units if self.cut.search(u)} if self.cut else set()
         split = [[] if u in special else list(self.words(u)) for u in units]
@@ -284,17 +301,24 @@ class StreamingBpe:
             else:
                 yield held[words[0]] if len(words) == 1 else self._joined([held[w] for w in words])
 
-    def coded(self, texts: list[str | None]) -> list[tuple[bytes, str, str]]:
-        """Per text: its ids as 32-bit integers, the decimal ids and the token
-        text, each unit worked out once while it is remembered."""
+    def coded(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Per text: its ids as 32-bit integers and the decimal ids, each unit
+        worked out once while it is remembered."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         held = self.known.hold(set().union(*cut), self._units)
         return [self._joined([held[u] for u in units]) for units in cut]
 
     def digests(self, texts: list[str | None]) -> list[tuple[bytes, int, str, str]]:
         """Per text: ids as 32-bit integers, n_tokens, sha256 of the decimal ids, sha256 of the token text."""
-        return [(data, len(data) // 4, hashlib.sha256(ids.encode()).hexdigest(),
-                 hashlib.sha256(spelled.encode("utf-8", "surrogatepass")).hexdigest()) for data, ids, spelled in self.coded(texts)]
+        return [(data, len(data) // 4, hashlib.sha256(ids.encode()).hexdigest(), self.decoded_sha256(data))
+                for data, ids in self.coded(texts)]
+
+    def decoded_sha256(self, data: bytes) -> str:
+        """Digest of the decoded text of ids as 32-bit integers, decoded ``DECODED`` ids at a time."""
+        digest, machine = hashlib.sha256(), SpacedDecoder(self.names)
+        for at in range(0, len(data), 4 * DECODED):
+            digest.update(machine.feed(memoryview(data)[at:at + 4 * DECODED].cast("i")).encode("utf-8", "surrogatepass"))
+        return digest.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -302,6 +326,10 @@ def tokenizer(file: str) -> StreamingBpe:
     return StreamingBpe(file)
 
 
+def release() -> None:
+    tokenizer.cache_clear()
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      vocabulary: str | None = None) -> DataFrame:
     """``id_col``, ids array, n_tokens, ids_sha256, decoded_sha256 of every whole
@@ -326,6 +354,7 @@ def decode_documents(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "i
     file = vocabulary or default_vocabulary()
 
     def run(batches):
+        begin(__name__)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
                 ["".join(tokenizer(file).decode(x or [])) for x in batch.column(1).to_pylist()], type=pa.string())],

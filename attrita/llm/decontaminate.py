@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from attrita.llm.common import text_groups
+from attrita.llm.common import begin, text_groups
 
 RATE = 0.08
 MIN_CHARS = 25
@@ -164,6 +164,10 @@ def _merged(stretches: list[list[int]]) -> list[list[int]]:
 _built: dict[tuple[int, float, int], Items] = {}
 
 
+def release() -> None:
+    _built.clear()
+
+
 def _items(block, rate: float, min_chars: int) -> Items:
     if (key := (block.id, rate, min_chars)) not in _built:
         _built.clear()
@@ -210,6 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for block in item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=block):
+            begin(__name__)
             items = _items(block, rate, min_chars)
             for part, texts in text_groups(batches):
                 rows = []
@@ -234,6 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     for block in item_blocks(benchmark, item_col, item_text_col):
 
         def run(batches, block=block):
+            begin(__name__)
             items = _items(block, rate, min_chars)
             for part, texts in text_groups(batches, 0):
                 yield part.filter(pa.array([not (n := normalise(t)) or not items.matches(n) for t in texts], type=pa.bool_()))

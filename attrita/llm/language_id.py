@@ -388,6 +388,10 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
+def release() -> None:
+    _scorers.clear()
+
+
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
             vocabulary: str | None = None) -> DataFrame:
     """``id_col``, lang_pred, score (posterior of the predicted language)."""

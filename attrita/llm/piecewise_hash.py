@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attrita.llm.common import map_text, mix, to_bytes, written
+from attrita.llm.common import begin, map_text, mix, to_bytes, written
 
 #: Most chunks of a fingerprint's finer part.
 CHUNKS = 64
@@ -154,6 +154,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
+        begin(__name__)
         part, held, out = TaskContext.get().partitionId(), None, []
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):

@@ -8,8 +8,8 @@ codes is scored.  Encoder, attention and output are learned together from
 document labels alone (class-weighted cross-entropy, Adam, fixed seed).
 
 The fit uses a bounded sample: per class the ``SAMPLE_DOCS`` labelled documents
-with the smallest id hash, and of a document at most ``SAMPLE_PASSAGES`` evenly
-spaced passages (at most 40 MB at the driver).  Scoring covers all passages.
+with the smallest id hash, all their passages (264 bytes each at the driver).
+Scoring covers all passages of all documents.
 
 Edge cases: a null or empty text is one passage without words and gets a score
 like any other; null labels and null ids are not learned from, repeated or
@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.llm.common import U, map_text, mix, text_groups, to_bytes, word_hashes
+from attrita.llm.common import U, begin, map_text, mix, text_groups, to_bytes, word_hashes
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 1_500
-SAMPLE_PASSAGES = 48
 CODE, GATE = 24, 16
 EPOCHS, RATE = 250, 0.02
 THRESHOLD = 0.3
@@ -143,12 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), docs[id_col] == sample["_id"]).select(text_col, "_label")
 
     def run(batches):
+        begin(__name__)
         for part, texts in text_groups(batches, 0):
             x, offsets = passage_features(texts)
-            out = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                at = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).round().astype(np.int64))
-                out.append(x[at].astype("<f2").tobytes())
+            out = [x[a:b].astype("<f2").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary()), part.column(1)], names=["x", "label"])
 
     bags = sorted(tuple(r) for r in rows.mapInArrow(run, "x binary, label int").collect())
@@ -185,6 +182,7 @@ def keep_good(docs: DataFrame, model: AttentionMil | None, text_col: str = "text
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin(__name__)
         for part, texts in text_groups(batches, 0):
             yield part.filter(pa.array(known.value.scores(texts) >= threshold))
 

@@ -3,13 +3,15 @@
 Every whole text is searched for candidates: assignments, access keys and hex
 runs (the base kinds), and other key-like strings.  The hashes of all
 candidates are counted over the corpus by distinct repositories and distinct
-owners.  A string that many owners hold is a copied example; one that a single
-owner holds and that looks random is taken for a live credential.
+owners.  A string that many owners hold, or that stands in many repositories for
+each of its owners, is a copied example; one that a single owner holds in fewer
+and that looks random is taken for a live credential.
 
 ``kind`` of a span: assign, access, hex (base kinds, always reported) and live
 (a key-like string outside the base spans, reported only when its counts say
 owner-specific).  ``verdict`` of a finding: example (``EXAMPLE_OWNERS`` owners or
-more), live (one owner, random-looking), or plain.
+more, or ``EXAMPLE_REPOSITORIES`` repositories an owner), live (one owner,
+random-looking), or plain.
 
 Spans are code points, end exclusive, of the whole match; base matches are
 leftmost and non-overlapping per kind, too short ones are dropped.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrita.llm.common import map_text, written
+from attrita.llm.common import begin, free_name, text_groups, written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -45,6 +47,8 @@ KINDS = ("assign", "access", "hex", "live")
 VALUE_CHARS, ACCESS_CHARS = 6, 20
 #: Owners from which on a string counts as a widely copied example.
 EXAMPLE_OWNERS = 3
+#: Distinct repositories for each owner from which on it does too, even with few owners.
+EXAMPLE_REPOSITORIES = 100
 #: Bits a character below which a key-like string counts as plain text.
 LIVE_ENTROPY = 3.5
 
@@ -106,11 +110,10 @@ def _map_nested(rows: DataFrame, schema: str, work) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    from attrita.llm.common import text_groups
-
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        begin(__name__)
         for part, texts in text_groups(batches):
             out = work(part, texts)
             yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type)
@@ -120,7 +123,8 @@ def _map_nested(rows: DataFrame, schema: str, work) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id",
-                 owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS,
+                 example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """``id_col``, text_hash (xxhash64 of the text), n_assign, n_access, n_hex,
     base_sha256, spans (all, as kind:start:end) and findings: per span kind,
     start, end, hash of the secret, n_repositories, n_owners, verdict."""
@@ -129,7 +133,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = table.select("row", "repository", "owner", F.explode("found").alias("f")).select("row", "repository", "owner", "f.*")
     frequency = each.groupBy("hash").agg(F.count_distinct("repository").alias("n_repositories"),
                                          F.count_distinct("owner").alias("n_owners"))
-    verdict = (F.when(F.col("n_owners") >= example_owners, "example")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories * F.col("n_owners"))
+    verdict = (F.when(copied, "example")
                .when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("plain"))
     judged = each.drop("repository", "owner").join(frequency, "hash").withColumn("verdict", verdict)
     shown = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
@@ -148,11 +153,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     example replaced by ``mark`` (overlapping spans by one); ``chars_col``, if
     given, gets the new length of the texts that change."""
     found = scan_secrets(docs, id_col, text_col, repository_col, owner_col)
+    own_id, own_hash, where = (free_name(c, docs.columns) for c in ("_id", "_hash", "_spans"))
     spans = (found.where("findings is not null")
-             .select(id_col, "text_hash", F.filter("findings", lambda f: f["verdict"] != "example").alias("f"))
-             .where(F.size("f") > 0).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"))
-             .agg(F.first(F.transform("f", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e")))).alias("_spans")))
-    rows = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(text_col) == spans["_hash"]), "left")
+             .select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_hash),
+                     F.filter("findings", lambda f: f["verdict"] != "example").alias("f"))
+             .where(F.size("f") > 0).groupBy(own_id, own_hash)
+             .agg(F.first(F.transform("f", lambda f: F.struct(f["start"].alias("s"), f["end"].alias("e")))).alias(where)))
+    rows = docs.join(spans, docs[id_col].eqNullSafe(spans[own_id]) & (F.xxhash64(docs[text_col]) == spans[own_hash]), "left")
 
     def cut(batches):
         for batch in batches:
@@ -170,11 +177,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     fields = {f.name: f for f in docs.schema.fields}
     from pyspark.sql.types import StructType
 
-    changed = rows.where("_spans is not null").select(text_col, "_spans", *names).mapInArrow(
+    changed = rows.where(F.col(where).isNotNull()).select(text_col, where, *names).mapInArrow(
         cut, StructType([fields[text_col], *[fields[c] for c in names]]))
     if chars_col:
         changed = changed.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    kept = rows.where("_spans is null")
+    kept = rows.where(F.col(where).isNull())
     return kept.select(*docs.columns).unionByName(changed.select(*docs.columns))
 
 

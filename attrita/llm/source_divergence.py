@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attrita.llm.common import written
+from attrita.llm.common import begin, written
 from attrita.operators.broadcast import bounded_broadcast
 
 MIN_DOCS = 10
@@ -78,6 +78,7 @@ def _counted(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
                                               pa.array([*map(d.__getitem__, names), documents], pa.int64())], schema=schema)
 
     def run(batches):
+        begin(__name__)
         held: dict[tuple[str, str], list] = {}
         size = 0
         for batch in batches:
