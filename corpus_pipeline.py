@@ -17,7 +17,9 @@ doc_id with different texts are compared like any others, and so are rows
 without doc_id (they come last in the order); rows alike in both are one, that
 whose other columns have the least hash.  Null and empty texts pass stages 2 to
 4 unchanged, white space alone too.  Extra columns are
-carried through stages 1 to 4.
+carried through stages 1 to 4, whatever their names.  Stage 1 scores null and
+empty texts like any others; without labels it keeps all rows.  An empty table
+stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrita.llm import bpe_stream, decontaminate, ngram_jaccard, quality_mil, secret_scan
-from attrita.llm.common import written
+from attrita.llm.common import free_name, written
 
 #: Words a shingle and least similarity (per cent) of the near-duplicate stage.
 WIDTH = 5
@@ -40,13 +42,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worded = F.col("text").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    key, least = free_name("_row", docs.columns), free_name("_least", docs.columns)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
-    named = docs.where(worded).withColumn("_row", row)
-    groups = ngram_jaccard.ngram_jaccard_join(named, "_row", width=WIDTH, percent=PERCENT)
-    stay = groups.where(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    named = docs.where(worded).withColumn(key, row)
+    groups = ngram_jaccard.ngram_jaccard_join(named.select(F.col(key).alias("_row"), "text"), "_row", width=WIDTH, percent=PERCENT)
+    stay = groups.where(F.col("_row") == F.col("component_id")).select(F.col("_row").alias(key)).distinct()
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
-    rows = named.groupBy("_row").agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*others)), 256)).alias("_least"))
-    return rows.join(stay, "_row", "left_semi").select("_least.*").unionByName(docs.where(~worded))
+    rows = named.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*others)), 256)).alias(least))
+    return rows.join(stay, key, "left_semi").select(f"{least}.*").unionByName(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
