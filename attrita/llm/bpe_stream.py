@@ -192,18 +192,22 @@ class Transducer:
 
 
 class SpacedDecoder:
-    """Ids in, text out as the library decodes a file without a decoder: tokens
-    joined by spaces, added tokens too.  Its state is whether a token is out."""
+    """Ids in, UTF-8 text out as the library decodes a file without a decoder:
+    tokens joined by spaces, added tokens too.  Its state is whether a token is
+    out already; the bytes of many ids are gathered at once from one table."""
 
     def __init__(self, names: dict[int, str]):
-        self.names, self.begun = names, False
+        spelled = [(" " + names.get(i, "")).encode("utf-8", "surrogatepass") for i in range(max(names, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in spelled], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def feed(self, ids: Iterable[int]) -> str:
-        text = " ".join(map(self.names.__getitem__, ids))
-        if text and self.begun:
-            text = " " + text
-        self.begun = self.begun or bool(text)
-        return text
+    def feed(self, ids: np.ndarray, begun: bool) -> bytes:
+        """The next part of the text; ``begun``: whether ids were fed before."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        out = self.flat[np.repeat(self.starts[ids] - before, sizes) + np.arange(int(sizes.sum()))].tobytes()
+        return out if begun else out[1:]
 
 
 class StreamingBpe:
@@ -225,6 +229,7 @@ class StreamingBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.spaced = SpacedDecoder(self.names)
         self.bytes = {c: b for b, c in byte_symbols().items()}
         self.known, self.known_words = Recent(CACHED_UNITS), Recent(CACHED_WORDS)
 
@@ -315,9 +320,9 @@ class StreamingBpe:
 
     def decoded_sha256(self, data: bytes) -> str:
         """Digest of the decoded text of ids as 32-bit integers, decoded ``DECODED`` ids at a time."""
-        digest, machine = hashlib.sha256(), SpacedDecoder(self.names)
-        for at in range(0, len(data), 4 * DECODED):
-            digest.update(machine.feed(memoryview(data)[at:at + 4 * DECODED].cast("i")).encode("utf-8", "surrogatepass"))
+        digest, ids = hashlib.sha256(), np.frombuffer(data, dtype="<i4")
+        for at in range(0, len(ids), DECODED):
+            digest.update(self.spaced.feed(ids[at:at + DECODED], at > 0))
         return digest.hexdigest()
 
 

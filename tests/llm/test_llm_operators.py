@@ -57,6 +57,33 @@ def test_ngram_jaccard(spark, monkeypatch):
     assert op.ngram_jaccard_join(frame(spark, [])).count() == 0
 
 
+def test_ngram_jaccard_rows_grow_with_a_group(spark, monkeypatch):
+    """Near copies of one text, most pairs just under or over the threshold: one component, rows in proportion."""
+    from attrita.llm import ngram_jaccard as op
+
+    made = {}
+    plain = op.written
+
+    def counted(df, name, *rest):
+        out = plain(df, name, *rest)
+        if name == "across":
+            made[size] = made.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(op, "written", counted)
+    for size in (150, 300, 600):
+        r = random.Random(size)
+        texts = []
+        for i in range(size):
+            copy = [f"b{k}" for k in range(200)]
+            for at in r.sample(range(200), 2):
+                copy[at] = f"e{i}x{at}"
+            texts.append(" ".join(copy))
+        got = op.ngram_jaccard_join(frame(spark, texts)).select("component_id").distinct().count()
+        assert got == 1
+    assert made.get(600, 0) <= 8 * max(made.get(150, 0), 150)
+
+
 def test_word_hashes_do_not_depend_on_segments(monkeypatch):
     from attrita.llm import common
 
@@ -143,6 +170,100 @@ def test_pivot_topk(spark):
     assert op.pivot_topk(df.limit(0)).count() == 0
 
 
+def test_thousands_of_url_rules(spark, monkeypatch):
+    """Rules and globs from tables, against regular expressions; slices of few URLs change nothing."""
+    import tracemalloc
+
+    from attrita.llm import url_filter as op
+
+    r = random.Random(11)
+    names = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    host = lambda: ".".join(r.choice(names) for _ in range(r.randrange(1, 4)))
+    path = lambda: "/" + "/".join(r.choice(names) for _ in range(r.randrange(0, 3)))
+    rules = [(r.choice(["block", "allow"]), host(), path()) for _ in range(400)]
+    globs = [(r.choice(["*", f"{r.choice(names)}.*", f"*.{host()}"]), r.choice([f"*{r.choice(names)}?{r.choice(names)}", f"{path()}*", "/x*"])) for _ in range(2000)]
+    own, shapes = op.rule_tables(spark.createDataFrame(rules + rules[:5], "action string, host string, path string"),
+                                 spark.createDataFrame(globs, "host string, path string"))
+    assert set(own) == set(rules) and set(shapes) == set(globs)
+    urls = [None, "no scheme", *(f"http://{host()}{path()}" for _ in range(400))]
+    monkeypatch.setattr(op, "STATE_BYTES", 300_000)
+    tracemalloc.start()
+    got = op.judge(urls, own, shapes)
+    assert op._compiled(own, shapes)[0].words > 400
+    assert tracemalloc.get_traced_memory()[1] < 120_000_000
+    tracemalloc.stop()
+    ranked = sorted(own, key=lambda x: (-len(x[1] + x[2]), x[0] != "block"))
+    turn = lambda g: re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g))
+    seen = [(turn(h), turn(p)) for h, p in shapes]
+    for i, u in enumerate(urls):
+        h, p = op.host_and_path(u)
+        rule = next((x for x in ranked if (h == x[1] or h.endswith("." + x[1])) and p.startswith(x[2])), None)
+        verdict = rule[0] if rule else "block" if any(a.fullmatch(h) and b.fullmatch(p) for a, b in seen) else "allow"
+        assert (got["host"][i], got["path"][i], got["verdict"][i]) == (h, p, verdict)
+        assert got["rule"][i] == (rule[1] + rule[2] if rule else None)
+    with pytest.raises(ValueError):
+        op.rule_tables(spark.createDataFrame([("drop", "a", "/")], "action string, host string, path string"), None)
+
+
+def test_pivot_topk_in_small_blocks(spark, monkeypatch):
+    """Blocks, groups of blocks and carried thresholds change nothing."""
+    from attrita.llm import pivot_topk as op
+
+    r = np.random.default_rng(12)
+    rows = [(int(i % 400), [float(x) for x in r.normal(0, 0.2, 6).round(1)]) for i in range(500)] + [(500 + i, [0.5] * 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = sorted(map(tuple, op.pivot_topk(df, every=10).collect()))
+    monkeypatch.setattr(op, "BLOCK", 16)
+    monkeypatch.setattr(op, "GROUP", 3)
+    got = sorted(map(tuple, op.pivot_topk(df, every=10).collect()))
+    assert [(q, k, s) for q, k, _, s in got] == [(q, k, s) for q, k, _, s in want] and len(got) > 200
+    vectors = {}
+    for v, x in rows:
+        vectors.setdefault(v, []).append(np.floor(256 * np.float32(x).astype(float)))
+    assert all(any(int(a @ b) == s for a in vectors[q] if len(a) for b in vectors[v] if len(a) == len(b)) for q, _, v, s in got)
+
+
+def test_pivots_eliminate():
+    """Of the vectors of sf0.1, which have no clusters, under a tenth are evaluated, with exact results."""
+    import pyarrow.parquet as pq
+
+    from attrita.llm import pivot_topk as op
+
+    column = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].combine_chunks()
+    x = np.array([v for v in op.integer_rows(column) if v is not None])
+    pivots, ids = op.Pivots(list(x[:op.SAMPLE])), np.arange(len(x))
+    block, evaluated, asked = op.Block(ids, ids, None, x, pivots.distances(x), pivots), 0, range(0, len(x), 50)
+    for j in asked:
+        best, n = op.top_of_block(block, j, block, 5)
+        evaluated += n
+        scores = x @ x[j]
+        scores[j] = -np.inf
+        assert [p for p, _ in best] == np.lexsort((ids, -scores))[:5].tolist()
+        assert (block.bounds(block, j) >= x @ x[j]).all()
+        least = best[-1][1]
+        again, fewer = op.top_of_block(block, j, block, 5, known=float(least))
+        assert fewer <= n and [s for _, s in again if s >= least] == [s for _, s in best]
+    assert evaluated < 0.1 * len(asked) * len(x)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e8, 1e150])
+def test_pivot_bounds_hold_for_awkward_vectors(scale):
+    """Copies, zeros, dependent and huge vectors: bounds never fall below a score."""
+    from attrita.llm import pivot_topk as op
+
+    r = np.random.default_rng(4)
+    x = np.floor(r.normal(0, 50, (60, 6)) * scale)
+    x[10:20] = x[0]
+    x[20:25] = 0
+    x[25:30] = 3 * x[1]
+    for rows in (x, x[20:25], x[:1]):
+        pivots, ids = op.Pivots(list(rows)), np.arange(len(rows))
+        block = op.Block(ids, ids, None, rows, pivots.distances(rows), pivots)
+        for j in range(len(rows)):
+            assert (block.bounds(block, j) >= (rows @ rows[j]) * (1 - 1e-12)).all()
+            assert len(op.top_of_block(block, j, block, 5)[0]) == min(5, len(rows) - 1)
+
+
 AWKWARD = ["a", "The", "the.,", "  ", " ", "\n", "\t", "é", "'s", "don't", "12", "!", " ", "ΑΣ", "İ", "<|endoftext|>", "日本",
            "x́", "\x1c", "\x85", "🙂", "thing,", "a" * 90]
 
@@ -367,6 +488,83 @@ def test_quality_mil(spark):
     assert op.fit(docs, labels.limit(0)) is None and op.score_documents(docs, None).first().score == 1.0
 
 
+def plain_score(model, passages):
+    """One document, passage by passage."""
+    p, codes, weights = model.p, [], []
+    for x in passages:
+        x = [(a - m) / s for a, m, s in zip(x, model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(a * w for a, w in zip(x, p["w"][:, j], strict=True)) + p["b"][j]) for j in range(len(p["b"]))]
+        gate = 0.0
+        for j in range(p["v"].shape[1]):
+            t = math.tanh(sum(a * b for a, b in zip(h, p["v"][:, j], strict=True)))
+            s = 1 / (1 + math.exp(-sum(a * b for a, b in zip(h, p["u"][:, j], strict=True))))
+            gate += t * s * p["a"][j]
+        codes.append(h)
+        weights.append(math.exp(gate))
+    z = [sum(w * h[j] for w, h in zip(weights, codes, strict=True)) / sum(weights) for j in range(len(p["c"]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["d"][0]))), [w / sum(weights) for w in weights]
+
+
+def bags(r, n=12):
+    from attrita.llm import quality_mil as op
+
+    texts = [words(r, r.randrange(1, 400), 50) for _ in range(n)] + [None, ""]
+    x, offsets = op.passage_features(texts)
+    return x.astype(np.float64), offsets, np.array([i % 2 for i in range(n + 2)])
+
+
+def test_attention_equals_a_plain_forward_pass():
+    from attrita.llm import quality_mil as op
+
+    x, offsets, label = bags(random.Random(3))
+    model = op.AttentionMil().fit(x, offsets, label, epochs=5)
+    f = model.forward(x, offsets)
+    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        score, weights = plain_score(model, x[a:b].tolist())
+        assert f["score"][i] == pytest.approx(score, abs=1e-9)
+        assert f["weight"][a:b] == pytest.approx(weights, abs=1e-9)
+
+
+def test_first_step_follows_the_numeric_gradient():
+    """Adam's first step is the gradient over its own size, so its sign is the gradient's, for every kind of parameter."""
+    from attrita.llm import quality_mil as op
+
+    x, offsets, label = bags(random.Random(5))
+    model = op.AttentionMil()
+    before = {k: v.copy() for k, v in model.p.items()}
+    model.fit(x, offsets, label, epochs=1, rate=1e-3)
+    moved = {k: before[k] - v for k, v in model.p.items()}
+    share = np.array([(label == k).sum() for k in (0, 1)])
+
+    def loss():
+        s = model.forward(x, offsets)["score"]
+        return -(np.where(label == 1, np.log(s), np.log(1 - s)) / (2 * share[label])).sum()
+
+    r = np.random.default_rng(1)
+    for name, value in before.items():
+        for _ in range(12):
+            at = tuple(int(r.integers(n)) for n in value.shape)
+            model.p = {k: v.copy() for k, v in before.items()}
+            model.p[name][at] += 1e-5
+            up = loss()
+            model.p[name][at] -= 2e-5
+            slope = (up - loss()) / 2e-5 + 1e-5 * value[at]
+            if abs(slope) > 1e-5:
+                assert moved[name][at] == pytest.approx(1e-3 * np.sign(slope), rel=2e-2)
+
+
+def test_quality_of_odd_labels(spark):
+    """Null ids, one class only, empty tables."""
+    from attrita.llm import quality_mil as op
+
+    docs = frame(spark, ["good words here", "bad %%% words", None], [1, 2, None])
+    one = op.fit(docs, spark.createDataFrame([(1, 1), (2, 1), (None, 0)], "doc_id long, quality int"))
+    rows = op.score_documents(docs, one).collect()
+    assert {x.doc_id for x in rows} == {1, 2, None} and all(x.score > 0.5 for x in rows)
+    assert op.score_documents(docs.limit(0), one).count() == 0
+    assert op.fit(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is None
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -437,3 +635,59 @@ def test_sql_twin(spark, name):
     want = con.execute(queries.oracle_sql()[name]).df()[list(got.columns)]
     rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_a_secret_copied_through_one_owners_repositories(spark, monkeypatch):
+    """Both counts decide: one owner with many repositories holds an example, with few a live key."""
+    from attrita.llm import secret_scan as op
+
+    key, rare = "Zx81Kq9Lm2Np4Rt6Vw8Yb0Cd", "Qa72Ws63Ed54Rf45Tg36Yh27"
+    texts = [f"say {key} here {i}" for i in range(6)] + [f"and {rare} once"] * 2 + ["nothing"]
+    docs = frame(spark, texts)
+    few = {x.doc_id: x.spans for x in op.scan_secrets(docs, example_repositories=7).collect()}
+    many = {x.doc_id: x.spans for x in op.scan_secrets(docs, example_repositories=6).collect()}
+    assert all(few[i] == "live:4:28" for i in range(6)) and few[6] == "live:4:28"
+    assert all(many[i] == "" for i in range(6)) and many[6] == many[7] == "live:4:28"
+
+
+def test_names_that_operators_use_inside(spark):
+    """Extra columns named like the operators' own ones pass through."""
+    import corpus_pipeline
+
+    from attrita.llm import secret_scan as op
+
+    rows = [(0, "password = hunter2hunter2", 24, 1, 2, 3, "r", 5), (1, "plain words here", 16, 1, 2, 3, "r", 5), (None, None, 0, 1, 2, 3, "r", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _id int, _hash int, _spans int, _row string, _least int"
+                                 ).selectExpr("*", "'s' as source")
+    got = {x.doc_id: x for x in op.redact(docs, chars_col="n_chars").collect()}
+    assert got[0].text == "[SECRET]" and got[0].n_chars == 8 and got[1].text == "plain words here" and got[None].text is None
+    assert op.redact(docs).columns == docs.columns
+    kept = corpus_pipeline.near_duplicates(spark, docs.union(docs), SF)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [0, 1]
+
+
+def test_workers_let_go_of_other_operators(monkeypatch):
+    from attrita.llm import bpe_stream, common, decontaminate
+
+    monkeypatch.setattr(common, "_turn", [""])
+    bpe_stream.tokenizer(bpe_stream.default_vocabulary())
+    decontaminate._built[1, 0.1, 2] = None
+    common.begin("attrita.llm.bpe_stream")
+    assert bpe_stream.tokenizer.cache_info().currsize == 1 and not decontaminate._built
+    common.begin("attrita.llm.ngram_jaccard")
+    assert bpe_stream.tokenizer.cache_info().currsize == 0
+
+
+def test_decoding_in_pieces():
+    """The incremental decoder gives the library's text however the ids are cut."""
+    from tokenizers import Tokenizer
+
+    from attrita.llm import bpe_stream as op
+
+    file = op.default_vocabulary()
+    ids = Tokenizer.from_file(file).encode("Some words, élan\U0001f600 and <|x|> more..", add_special_tokens=False).ids
+    want = Tokenizer.from_file(file).decode(ids, skip_special_tokens=False)
+    for size in (1, 2, 3, 100):
+        machine, flat = op.SpacedDecoder(op.tokenizer(file).names), np.array(ids)
+        assert b"".join(machine.feed(flat[i:i + size], i > 0) for i in range(0, len(ids), size)).decode() == want
+    assert op.SpacedDecoder({}).feed(np.empty(0, dtype=np.int64), False) == b""
