@@ -9,7 +9,8 @@ step for all patterns is
 with the shift carried from word to word.  The canonical URL is the host (A-Z
 lower-cased), a zero byte, and the path.  In a glob ``*`` stands for any run
 that stays within the host or the path, ``?`` for one such byte; patterns are
-matched from end to end.  All URLs of a batch take the same step together.
+matched from end to end.  URLs take the same step together, as many at once as
+``STATE_BYTES`` of state hold: memory follows from that and the rules alone.
 
 A rule (action, host, path) fits its host, all subdomains, and every path that
 starts with the rule's; the longest rule wins (block before allow on a tie).
@@ -34,6 +35,10 @@ from attrita.llm.common import map_text
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: (host glob, path glob) that block where no rule fits.
 GLOBS = (("ads.*", "*"), ("*.ads.*", "*"), ("ads-*", "*"), ("*.ads-*", "*"), ("*", "*/ads/*"), ("*", "*.exe"), ("*", "*.zip"))
+#: State that is held at once: URLs times words of eight bytes.
+STATE_BYTES = 16_000_000
+#: Rules that a rule table may hold; a worker keeps them all as bit masks.
+MAX_RULES = 20_000
 _REST = re.compile(r"([^/?#]*)([^?#]*)", re.DOTALL)
 U = np.uint64
 
@@ -104,16 +109,36 @@ def judge(urls: list[str | None], rules: tuple = RULES, globs: tuple = GLOBS) ->
     """host, path, rule, verdict of each url."""
     automaton, ranked = _compiled(rules, globs)
     parts = [host_and_path(u) for u in urls]
-    hit = automaton.matches([h.encode("utf-8", "surrogatepass").replace(b"\0", b"\1") + b"\0"
-                             + p.encode("utf-8", "surrogatepass").replace(b"\0", b"\1") for h, p in parts])
-    n = len(ranked)
-    fits, other = hit[:, :n] | hit[:, n:2 * n], hit[:, 2 * n:].any(axis=1)
-    first = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if n else np.full(len(urls), -1)
+    n, first, other = len(ranked), np.full(len(urls), -1), np.zeros(len(urls), dtype=bool)
+    some = max(1, STATE_BYTES // (8 * automaton.words))
+    for at in range(0, len(urls), some):
+        hit = automaton.matches([h.encode("utf-8", "surrogatepass").replace(b"\0", b"\1") + b"\0"
+                                 + p.encode("utf-8", "surrogatepass").replace(b"\0", b"\1") for h, p in parts[at:at + some]])
+        fits, other[at:at + some] = hit[:, :n] | hit[:, n:2 * n], hit[:, 2 * n:].any(axis=1)
+        if n:
+            first[at:at + some] = np.where(fits.any(axis=1), fits.argmax(axis=1), -1)
     return {"host": [h for h, _ in parts], "path": [p for _, p in parts],
             "rule": [ranked[i][1] + ranked[i][2] if i >= 0 else None for i in first],
             "verdict": [ranked[i][0] if i >= 0 else "block" if o else "allow" for i, o in zip(first, other, strict=True)]}
 
 
+def rule_tables(rules: DataFrame | None, globs: DataFrame | None) -> tuple[tuple, tuple]:
+    """Rules (action, host, path) and globs (host, path) from tables of at most ``MAX_RULES`` rows each, in an order of
+    their own; null and unknown actions are an error, repeated rows one rule."""
+    def rows(table: DataFrame | None, columns: tuple[str, ...]) -> tuple:
+        if table is None:
+            return ()
+        found = table.select(*columns).distinct().limit(MAX_RULES + 1).collect()
+        if len(found) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} rules")
+        return tuple(sorted(tuple("" if x is None else x for x in r) for r in found))
+
+    own = rows(rules, ("action", "host", "path"))
+    if any(a not in ("block", "allow") for a, _, _ in own):
+        raise ValueError("an action is block or allow")
+    return own, rows(globs, ("host", "path"))
+
+
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES,
                 globs: tuple = GLOBS) -> DataFrame:
     """``id_col``, host, path, rule, verdict: one row per row."""
