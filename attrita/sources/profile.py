@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attrita import config as C
-from attrita.operators.broadcast import bounded_broadcast
+from attrita.operators.broadcast import bounded_local
 from attrita.sources.tables import load_table
 
 def wall_clock(t: dt.datetime) -> F.Column:
@@ -61,11 +61,9 @@ def build_customer_profile(spark: SparkSession, sf_dir: str,
     nation = load_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = load_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
 
-    nation = bounded_broadcast(nation, GEO_MAX_ROWS)
-    region = bounded_broadcast(region, GEO_MAX_ROWS)
-    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
-           .select("n_nationkey", "r_name"))
-    geo = bounded_broadcast(geo, GEO_MAX_ROWS)
+    # One small job joins and checks the dimension; up to the bound it is a local table from then on.
+    geo = bounded_local(nation.join(region, nation.n_regionkey == region.r_regionkey)
+                        .select("n_nationkey", "r_name"), GEO_MAX_ROWS)
 
     hist = order_history(orders, cutoff, active_since).where(F.col("n_before") > 0)
     key = F.col("customer_id")
