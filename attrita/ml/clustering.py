@@ -1,7 +1,7 @@
 """Customer segmentation (G1-G4): standardise, K-means with restarts, PCA.
 
-The assembled, scaled feature vectors are cached once and every restart and
-the PCA read that cache; each K-means iteration is one distributed pass with
+The assembled, scaled feature vectors are written once and every restart and
+the PCA read that copy; each K-means iteration is one distributed pass with
 map-side partial sums per centre.  Cluster ids are arbitrary, so everything
 downstream reports by risk rank (``attrita.operators.segments``).
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 
 from attrita import config as C
-from attrita.ml.models import assembler, encoder_stages
+from attrita.ml.models import ROWS_PER_TRAINING_PARTITION, assembler, encoder_stages, laid_out
 
 
 @dataclass
@@ -48,30 +47,31 @@ def prep_pipeline() -> Pipeline:
 
 
 def segment_customers(feats: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C.KMEANS_RESTARTS,
-                      seed: int = C.SEED, max_iter: int = 300, parallelism: int = 4) -> Segmentation:
+                      seed: int = C.SEED, max_iter: int = 300, parallelism: int = 4,
+                      key: str = "customer_id") -> Segmentation:
     """Best of ``restarts`` K-means fits (lowest within-cluster cost,
     ties to the smaller seed) and a 2-component PCA of the same scaled vectors.
 
-    Restarts are independent fits over one cached copy of the vectors; up to
+    Restarts are independent fits over one written copy of the vectors; up to
     ``parallelism`` of them run as concurrent Spark jobs (as CrossValidator's
     ``parallelism`` does), so small clusters of work overlap on the executors.
+    The vectors are laid out by ``key`` in partitions that follow from their
+    number, as training rows are: hundreds of iterations each run a task a
+    partition.  The copy is not persisted: each fit then keeps the vectors
+    itself, decoded once and not again in each iteration.
     """
     prep = prep_pipeline().fit(feats)
-    scaled = prep.transform(feats).select("scaled").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        scaled.count()
-
-        def fit(s: int):
-            km = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="scaled", initMode="k-means||").fit(scaled)
-            return km.summary.trainingCost, s, km
-
-        seeds = [seed + r for r in range(restarts)]
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
-            fits = list(pool.map(fit, seeds))
-        best_cost, best_seed, best = min(fits, key=lambda t: (t[0], t[1]))
-        pca = PCA(k=2, inputCol="scaled", outputCol="pca").fit(scaled)
-    finally:
-        scaled.unpersist()
+    scaled = laid_out(prep.transform(feats).select(key, "scaled"), ROWS_PER_TRAINING_PARTITION["kmeans"], key)
+
+    def fit(s: int):
+        km = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="scaled", initMode="k-means||").fit(scaled)
+        return km.summary.trainingCost, s, km
+
+    seeds = [seed + r for r in range(restarts)]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(fit, seeds))
+    best_cost, best_seed, best = min(fits, key=lambda t: (t[0], t[1]))
+    pca = PCA(k=2, inputCol="scaled", outputCol="pca").fit(scaled)
     return Segmentation(prep, best, pca, float(best_cost), best_seed)
 
 
