@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 
 from attrita import config as C
 from attrita.ml.models import ROWS_PER_TRAINING_PARTITION, assembler, encoder_stages, laid_out
+from attrita.session import checkpoint_dir
+
+#: Vectors in so many partitions at most stay as they are.
+KEPT_PARTITIONS = 16
 
 
 @dataclass
@@ -55,13 +59,16 @@ def segment_customers(feats: DataFrame, k: int = C.N_CLUSTERS, restarts: int = C
     Restarts are independent fits over one written copy of the vectors; up to
     ``parallelism`` of them run as concurrent Spark jobs (as CrossValidator's
     ``parallelism`` does), so small clusters of work overlap on the executors.
-    The vectors are laid out by ``key`` in partitions that follow from their
-    number, as training rows are: hundreds of iterations each run a task a
-    partition.  The copy is not persisted: each fit then keeps the vectors
-    itself, decoded once and not again in each iteration.
+    Hundreds of iterations each run a task a partition, so vectors in more than
+    ``KEPT_PARTITIONS`` are laid out by ``key``, as training rows are.  The copy
+    is not persisted: each fit then keeps the vectors itself, decoded once and
+    not again in each iteration.
     """
     prep = prep_pipeline().fit(feats)
-    scaled = laid_out(prep.transform(feats).select(key, "scaled"), ROWS_PER_TRAINING_PARTITION["kmeans"], key)
+    checkpoint_dir(feats.sparkSession)
+    scaled = prep.transform(feats).select(key, "scaled").checkpoint()
+    if scaled.rdd.getNumPartitions() > KEPT_PARTITIONS:
+        scaled = laid_out(scaled, ROWS_PER_TRAINING_PARTITION["kmeans"], key)
 
     def fit(s: int):
         km = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="scaled", initMode="k-means||").fit(scaled)
