@@ -1,5 +1,7 @@
 """Iterative fits run over rows whose layout follows from their number, with their lineage cut."""
 
+import threading
+
 from attrita.ml import clustering as cl
 from attrita.ml import models as md
 from attrita.operators.features import engineer_features
@@ -30,3 +32,9 @@ def test_split_features_are_written_once(spark):
     plan = feats._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "Join" not in plan and "Repartition" not in plan
     assert feats.count() == 300 and median is not None
+
+
+def test_independent_fits_overlap_and_keep_their_order():
+    met = threading.Barrier(md.PARALLEL_FITS, timeout=30)      # broken unless all of them run at once
+    assert md.fit_together([lambda i=i: (met.wait(), i)[1] for i in range(md.PARALLEL_FITS)]) == list(range(md.PARALLEL_FITS))
+    assert md.fit_together([]) == []
