@@ -19,7 +19,9 @@ Encoding: a single space before a non-space character always starts a new
 pre-token (unless it stands inside a longer run of white space: such texts are
 cut only between non-space characters), so texts are cut there and each
 different unit is encoded by the tokenizers library once while it is
-remembered; the ids equal those of the whole text.
+remembered; the ids equal those of the whole text.  Cutting, finding the
+different units of a group of texts and putting their ids in place are array
+work; only different units become Python strings.
 
 Edge cases: a null or empty text is the end id alone; repeated doc_ids stay, in
 the order of their texts' hash; ids must be integers, a null doc_id sorts first
@@ -39,6 +41,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -50,9 +53,14 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Units that a worker remembers (a generation).
 CACHED_UNITS = 400_000
+#: Units that the library encodes as one line.
+LINE_UNITS = 200
+#: Characters of the texts that are encoded together.
+TOGETHER_CHARS = 4_000_000
 _NO_ID = -(1 << 63)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_SPACE_SPACE = re.compile(r" [^\S ]")
+#: A space that ends the text or stands before white space (whatever Python's ``\s`` matches).
+_ODD = f" (?:[{''.join(c for c in map(chr, range(0x3001)) if c.isspace())}]|$)"
 
 
 def default_vocabulary() -> str:
@@ -77,7 +85,7 @@ def id_type(file: str) -> str:
 
 
 class UnitEncoder:
-    """Text to id bytes; each different unit goes through the library once."""
+    """Texts to ids; each different unit goes through the library once."""
 
     def __init__(self, file: str):
         self.tokenizer, self.kind = _tokenizer(file), id_type(file)
@@ -87,47 +95,69 @@ class UnitEncoder:
         self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that begin with a space
         self.begins[[i for t, i in vocab.items() if t.startswith(space)]] = True
 
-    def units(self, text: str) -> list[str]:
-        """The text cut at single spaces, which begin the next unit and are left out."""
-        units = text.split(" ")
-        if "" in units[1:] or _SPACE_SPACE.search(text):
-            return _CUT.split(text)
-        return units
-
     def _one_by_one(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(e.ids, dtype=self.kind).tobytes()
 
     def _fresh(self, units: list[str]) -> Iterator[bytes]:
-        """Ids of " " + unit each: a line of units is encoded at once and cut
-        where a token begins with a space, as no unit holds one; a line in which
-        a token swallows one is cut at the tokens' places.  Units that might
-        touch a neighbour go alone."""
+        """Ids of " " + unit each: lines of units are encoded and cut where a
+        token begins with a space, as no unit holds one.  Units that might touch
+        a neighbour go alone, and all do where a token swallows a space."""
         width = np.dtype(self.kind).itemsize
         for i in range(0, len(units), 5_000):
             part = units[i:i + 5_000]
-            alone = [u for u in part if not u or u[0].isspace() or u[-1].isspace()]
+            alone = [u for u in part if u[-1].isspace()]
             held = dict(zip(alone, self._one_by_one([" " + u for u in alone]), strict=True))
             line = [u for u in part if u not in held] if alone else part
-            e = self.tokenizer.encode(" " + " ".join(line) if line else "", add_special_tokens=False)
-            ids = np.array(e.ids, dtype=self.kind)
+            lines = [" " + " ".join(line[j:j + LINE_UNITS]) for j in range(0, len(line), LINE_UNITS)]
+            coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.empty(0, self.kind), *[np.array(e.ids, dtype=self.kind) for e in coded]])
             heads = np.flatnonzero(self.begins[ids])
-            if len(heads) != len(line):
-                starts = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-                sizes = np.fromiter(map(len, line), dtype=np.int64, count=len(line)) + 1
-                heads = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-            cuts, ids = (np.append(heads, len(ids)) * width).tolist(), ids.tobytes()
-            found = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if len(heads) == len(line):
+                cuts, ids = (np.append(heads, len(ids)) * width).tolist(), ids.tobytes()
+                found = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                found = self._one_by_one([" " + u for u in line])
             if alone:
                 held.update(zip(line, found, strict=True))
                 found = map(held.__getitem__, part)
             yield from found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units(t) if t else [] for t in texts]
-        heads = iter(self._one_by_one([c[0] for c in cut if c]))
-        known = self.known.hold(set().union(*[c[1:] for c in cut]), self._fresh)
-        return [next(heads) + b"".join(map(known.__getitem__, c[1:])) if c else b"" for c in cut]
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """Each text cut at single spaces, which begin the next unit and are left out."""
+        pieces = pc.split_pattern(texts, " ")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        if len(odd):
+            order = np.arange(len(texts))
+            order[odd] = len(texts) + np.arange(len(odd))
+            cut = pa.array([_CUT.split(texts[i].as_py()) for i in odd.tolist()], type=pieces.type)
+            pieces = pa.concat_arrays([pieces, cut]).take(pa.array(order))
+        return pieces
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls) back to back, and the number of each text's."""
+        pieces = self.pieces(texts)
+        counts = pieces.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts
+        flat = pieces.flatten()
+        coded = flat.dictionary_encode()
+        codes, inner = coded.indices.to_numpy(), np.ones(len(flat), dtype=bool)
+        inner[first] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[codes[inner]] = True
+        units = coded.dictionary.to_numpy(zero_copy_only=False)[used].tolist()
+        known = self.known.hold(units, self._fresh)
+        values = [known[u] for u in units]
+        values.extend(self._one_by_one(flat.take(pa.array(first)).to_pylist()))
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // np.dtype(self.kind).itemsize
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(values), dtype=self.kind)
+        at = (np.cumsum(used) - 1)[codes]       # each piece's place among the values; texts' first pieces come last
+        at[first] = len(units) + np.arange(len(first))
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = ids[np.arange(n.sum()) + np.repeat(starts[at] - (ends - n), n)]
+        return ids, np.add.reduceat(n, first) if len(first) else n
 
 
 @lru_cache(maxsize=2)
@@ -155,17 +185,18 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         begin(__name__)
-        seq, offset, width = 0, 0, len(end)
-        for part, texts in text_groups(batches):
-            coded = [c + end for c in _encoder(file).encode(texts)]
-            lengths = np.array([len(c) // width for c in coded])
-            index = np.empty((len(coded), 2), dtype="<i8")
+        seq, offset = 0, 0
+        for part, _ in text_groups(batches, chars=TOGETHER_CHARS):
+            ids, lengths = _encoder(file).encode(part.column(1))
+            ids = np.insert(ids, np.cumsum(lengths), end_id)
+            lengths = lengths + 1
+            index = np.empty((len(lengths), 2), dtype="<i8")
             index[:, 0] = part.column(0).to_numpy()
             index[:, 1] = offset + np.cumsum(lengths) - lengths
             offset += int(lengths.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["ids", "index"]), pa.array([seq, seq + 1]),
-                 pa.array([b"".join(coded)[:-1], index.tobytes()[:-1]], type=pa.binary())], schema=schema)
+                 pa.array([ids.tobytes()[:-1], index.tobytes()[:-1]], type=pa.binary())], schema=schema)
             seq += 2
 
     rows = ordered.mapInArrow(run, "kind string, seq long, value binary").sortWithinPartitions("kind", "seq")

@@ -289,6 +289,25 @@ def test_token_files(spark, tmp_path):
     assert op.read_token_files(spark, op.write_token_files(frame(spark, []), str(tmp_path / "e"))).count() == 0
 
 
+def test_token_files_units_are_looked_up_once_a_group():
+    """Texts are cut and put together as arrays: of a group's words only the different ones are looked up and encoded."""
+    import pyarrow as pa
+
+    from attrita.llm import token_files as op
+
+    encoder = op.UnitEncoder(op.default_vocabulary())
+    asked, hold = [], encoder.known.hold
+    encoder.known.hold = lambda wanted, make: hold(asked.append(list(wanted)) or asked[-1], make)
+    texts = ["the cat saw the dog " * 500 + "end", "", " ", "  the  cat\n dog\u3000x \u3000y z ", "the cat\n the", "a <|endoftext|> b", *awkward(200, 7)] * 2
+    ids, lengths = encoder.encode(pa.array(texts).slice(1))
+    library = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+    assert lengths.tolist() == [len(x) for x in library]
+    assert ids.tolist() == [i for x in library for i in x]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    none, of_none = encoder.encode(pa.array([], type=pa.string()))
+    assert len(none) == len(of_none) == 0
+
+
 def test_secret_scan(spark):
     from attrita.llm import secret_scan as op
 
