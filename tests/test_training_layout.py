@@ -3,6 +3,7 @@
 import threading
 
 from attrita.ml import clustering as cl
+from attrita.ml import explain as xp
 from attrita.ml import models as md
 from attrita.operators.features import engineer_features
 from test_ml_stream import _planted
@@ -34,6 +35,16 @@ def test_split_features_are_written_once(spark):
     assert feats.count() == 300 and median is not None
 
 
+def test_contributions_read_the_written_features(spark):
+    """The profile's joins, and what they broadcast, run once for the fit and the bands."""
+    rows = _planted(spark, n=300)
+    trained, feats = md.train_model(rows.join(rows.select("customer_id").distinct(), "customer_id"), "lr", maxIter=2)
+    bands = xp.contributions_by_bands(xp.linear_contributions(trained, feats, list(xp.band_columns())))
+    plan = bands._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "Join" not in plan
+    assert bands.agg({"customers": "sum"}).first()[0] == 4 * 300
+
+
 def test_independent_fits_overlap_and_keep_their_order():
     met = threading.Barrier(md.PARALLEL_FITS, timeout=30)      # broken unless all of them run at once
     assert md.fit_together([lambda i=i: (met.wait(), i)[1] for i in range(md.PARALLEL_FITS)]) == list(range(md.PARALLEL_FITS))
