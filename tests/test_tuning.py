@@ -8,8 +8,10 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from attrita import config as C
 from attrita.ml import models as md
 from attrita.ml import tuning
+from attrita.plans import ml_catalog
 from tests.test_calibration import planted
 
 
@@ -46,6 +48,38 @@ def test_all_trees_of_a_forest_are_the_forest(vectors):
     assert first.where("score < 0 or score > 1").count() == 0 and first.count() == 2 * len(got)
 
 
+def test_sizes_are_sums_of_their_first_trees(vectors):
+    """In any order, and beyond the trees there are."""
+    model = md.classifier("rf", maxDepth=3, numTrees=4).fit(vectors)
+    got = {(r.customer_id, r.size): r.score for r in tuning.staged_scores(model, "rf", vectors, [9, 1, 3], ["customer_id"]).collect()}
+    each = [{r.customer_id: r.p for r in tree.transform(vectors).select("customer_id", vector_to_array("probability")[1].alias("p")).collect()}
+            for tree in model.trees]
+    want = {(c, size): sum(tree[c] for tree in each[:size]) / min(size, 4) for c in each[0] for size in (9, 1, 3)}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_the_query_searches_the_whole_grids(spark, monkeypatch, tmp_path):
+    """Every point of both grids is fitted at its largest size without each of the five folds (here stand-ins of two trees)."""
+    asked, classifier = [], md.classifier
+
+    def small(kind, **params):
+        asked.append((kind, params))
+        return classifier(kind, **{**params, "maxDepth": 1, tuning.SIZE[kind]: 2})
+
+    monkeypatch.setattr(md, "classifier", small)
+    monkeypatch.setattr(ml_catalog, "_MEMO", {})
+    monkeypatch.setattr(ml_catalog, "input_version", lambda *_: 0)
+    monkeypatch.setattr(ml_catalog, "_profile", lambda *_: planted(spark, 300))
+    rows = ml_catalog.ML_QUERIES["grid_search"](spark, str(tmp_path)).collect()
+    points = {"gbt": [{"maxDepth": d, "stepSize": s} for d in (3, 5) for s in (0.05, 0.1)],
+              "rf": [{"maxDepth": d, "minInstancesPerNode": n} for d in (5, 8) for n in (1, 5)]}
+    want = [(kind, {**point, tuning.SIZE[kind]: 100}) for kind in points for point in points[kind] for _ in range(5)]
+    assert sorted(map(str, asked)) == sorted(map(str, want))
+    assert {(r.model, r.params, r["size"]) for r in rows} == {
+        (kind, json.dumps(point, sort_keys=True), size) for kind in points for point in points[kind] for size in (50, 100)}
+    assert len(rows) == 16 and {r.folds for r in rows} == {C.GRID_FOLDS} == {5}
+
+
 def test_grid_search_finds_the_best_point(spark, feats):
     grids = (tuning.Grid("gbt", {"maxDepth": (1, 3)}, (1, 4)), tuning.Grid("rf", {"maxDepth": (1, 4)}, (2, 6)))
     board = tuning.grid_search(feats, grids, folds=3)
